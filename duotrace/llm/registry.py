@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .decontamination import op7
 from .sharding import op6
+from .substrings import op9
 
-QUERIES = {"op6_minimax_shards": op6, "op7_winnowing": op7}
+QUERIES = {"op6_minimax_shards": op6, "op7_winnowing": op7, "op9_block_anchors": op9}
 
 ORACLES = {}
