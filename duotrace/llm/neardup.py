@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bands import candidates, untested
 from ._graph import components
 from ._io import drop, parts, prepare, release, store, text_or_empty
-from ._packed import Packer, exchange, groups, unpack
 from ._text import LOWER, chunks, mix, rolling, span_hashes, splitmix, word_spans
 
 U = np.uint64
@@ -24,8 +24,6 @@ SEEDS = splitmix(REGISTERS, 21)
 BAND_SEEDS = splitmix(BANDS * 16, 22).reshape(16, BANDS)
 #: A pair whose estimate lies this many standard errors below the threshold is not verified.
 ERRORS = 6
-#: Buckets that need a second look are joined by broadcast up to this many (8 bytes each).
-BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -109,63 +107,21 @@ def _signatures(k: int, percent: int):
     return run
 
 
-def _star_mapper(n_parts: int):
-    """Bands meet first inside a mapper: a band's members there are linked to its least one, which alone travels on."""
-
-    def meet(keys, docs, levels_):
-        key, doc, lev = np.concatenate(keys), np.concatenate(docs), np.concatenate(levels_)
-        order = np.lexsort((doc, key))
-        key, doc, lev = key[order], doc[order], lev[order]
-        a, b = groups(key)
-        pivot = np.repeat(doc[a], b - a)
-        pairs = np.unique(np.stack([pivot, doc, lev], axis=1)[pivot != doc], axis=0)
-        return (key[a], doc[a], doc[a], lev[a]), pairs
-
-    def run(batches):
-        packer = Packer(n_parts, 5)
-        keys, docs, levs, held, seen = [], [], [], 0, set()
-
-        def send():
-            (key, a, b, lev), pairs = meet(keys, docs, levs)
-            yield from packer.add(key, key, a, b, lev.astype(np.int8), np.zeros(len(key), np.int8))
-            if len(pairs):
-                spread = mix(pairs[:, 0].astype(U) ^ mix(pairs[:, 1].astype(U)))
-                yield from packer.add(spread, spread, pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.int8), np.ones(len(pairs), np.int8))
-
-        for batch in batches:
-            rows = batch.to_pydict()
-            for doc, set_a, set_b, *both in zip(*(rows[c] for c in ("doc_id", "set_a", "set_b", "p0", "regs0", "p1", "regs1"))):
-                if (set_a, set_b) in seen:  # a copy in this mapper: its class has its links
-                    continue
-                seen.add((set_a, set_b))
-                for p, regs in (both[:2], both[2:]):
-                    if regs is not None:
-                        k = band_keys(np.frombuffer(regs, np.uint16), p)
-                        keys.append(k)
-                        docs.append(np.full(len(k), doc, np.int64))
-                        levs.append(np.full(len(k), p, np.int64))
-                        held += len(k)
-            if held >= 2_000_000:
-                yield from send()
-                keys, docs, levs, held, seen = [], [], [], 0, set()
-        if held:
-            yield from send()
-        yield from packer.flush()
-
-    return run
-
-
-def _star_reducer(table: pa.Table) -> pa.Table:
-    key, a, b, lev, done = unpack(table, U, np.int64, np.int64, np.int8, np.int8)
-    first = done == 0
-    order = np.lexsort((a[first], key[first]))
-    k, d, v = key[first][order], a[first][order], lev[first][order]
-    lo, hi = groups(k)
-    pivot = np.repeat(d[lo], hi - lo)
-    off = pivot != d
-    pairs = np.concatenate([np.stack([pivot[off], d[off], v[off]], axis=1), np.stack([a[~first], b[~first], lev[~first]], axis=1)])
-    pairs = np.unique(pairs, axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "p": pa.array(pairs[:, 2].astype(np.int32), pa.int32())})
+def _bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The band entries of a batch of signatures; a set that repeats in the batch is entered once."""
+    rows = batch.to_pydict()
+    ids, keys, tags, seen = [], [np.zeros(0, U)], [], set()
+    for doc, set_a, set_b, *both in zip(*(rows[c] for c in ("id", "set_a", "set_b", "p0", "regs0", "p1", "regs1"))):
+        if (set_a, set_b) in seen:
+            continue
+        seen.add((set_a, set_b))
+        for p, regs in (both[:2], both[2:]):
+            if regs is not None:
+                keys.append(band_keys(np.frombuffer(regs, np.uint16), p))
+                ids.append((doc, len(keys[-1])))
+                tags.append(p)
+    times = [n for _, n in ids]
+    return np.repeat(np.array([d for d, _ in ids], np.int64), times), np.concatenate(keys), np.repeat(np.array(tags, np.int64), times)
 
 
 def _prune(percent: int):
@@ -220,55 +176,6 @@ def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent:
     return out
 
 
-def _mixed_mapper(n_parts: int):
-    def run(batches):
-        packer = Packer(n_parts, 3)
-        for batch in batches:
-            rows = batch.to_pydict()
-            keys, comps = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for comp, *both in zip(*(rows[c] for c in ("component", "p0", "regs0", "p1", "regs1"))):
-                for p, regs in (both[:2], both[2:]):
-                    if regs is not None:
-                        k = band_keys(np.frombuffer(regs, np.uint16), p)
-                        keys.append(k)
-                        comps.append(np.full(len(k), comp, np.int64))
-            key, comp = np.concatenate(keys), np.concatenate(comps)
-            order = np.lexsort((comp, key))
-            key, comp = key[order], comp[order]
-            lo, hi = groups(key)
-            if len(lo):
-                yield from packer.add(key[lo], key[lo], comp[lo], comp[hi - 1])
-        yield from packer.flush()
-
-    return run
-
-
-def _mixed_reducer(table: pa.Table) -> pa.Table:
-    key, low, high = unpack(table, U, np.int64, np.int64)
-    order = np.argsort(key, kind="stable")
-    key, low, high = key[order], low[order], high[order]
-    lo, _ = groups(key)
-    if not len(lo):
-        return pa.table({"key": pa.array([], pa.int64())})
-    mixed = np.minimum.reduceat(low, lo) != np.maximum.reduceat(high, lo)
-    return pa.table({"key": pa.array(key[lo][mixed].view(np.int64), pa.int64())})
-
-
-def _band_rows(batches):
-    for batch in batches:
-        rows = batch.to_pydict()
-        docs, comps, levs, keys = [], [], [], [np.zeros(0, U)]
-        for doc, comp, *both in zip(*(rows[c] for c in ("doc_id", "component", "p0", "regs0", "p1", "regs1"))):
-            for p, regs in (both[:2], both[2:]):
-                if regs is not None:
-                    k = band_keys(np.frombuffer(regs, np.uint16), p)
-                    keys.append(k)
-                    docs += [doc] * len(k)
-                    comps += [comp] * len(k)
-                    levs += [p] * len(k)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), pa.int64()), pa.array(docs, pa.int64()), pa.array(comps, pa.int64()), pa.array(levs, pa.int32())], names=["key", "doc", "comp", "p"])
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a doc_id: doc_id, n_shingles, component_id, kept.
 
@@ -297,7 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     classes = store(classes.select("set_a", "set_b", "rep"))
     members = store(full.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).filter("doc_id <> rep").select("doc_id", "rep"))
 
-    pairs = exchange(full.select("doc_id", "set_a", "set_b", "p0", "regs0", "p1", "regs1"), _star_mapper(n), 5, _star_reducer, "a long, b long, p int")
+    signed = ["set_a", "set_b", "p0", "regs0", "p1", "regs1"]
+    pairs = candidates(full.select(F.col("doc_id").alias("id"), *signed), _bands, n)
     for x in ("a", "b"):
         pairs = pairs.join(members.select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")), x, "left").withColumn(x, F.coalesce(f"rep_{x}", x)).drop(f"rep_{x}")
     pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "p").filter("a < b").groupBy("a", "b").agg(F.min("p").alias("p")))
@@ -307,17 +215,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
     reps = full.join(members.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     reps = reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    reps = store(reps.select("doc_id", "component", "p0", "regs0", "p1", "regs1"))
-    mixed = store(exchange(reps, _mixed_mapper(n), 3, _mixed_reducer, "key long"))
-    few = mixed.count()
-    release(spark)
-    if few:
-        rows = reps.mapInArrow(_band_rows, "key long, doc long, comp long, p int").join(F.broadcast(mixed) if few <= BROADCAST_ROWS else mixed, "key", "left_semi")
-        rows = store(rows)
-        x, y = (rows.select("key", F.col("doc").alias(d), F.col("comp").alias(f"c_{d}"), *(["p"] if d == "a" else [])) for d in "ab")
-        # Within a band only pairs across components, each once.
-        more = x.join(y, "key").filter("c_a <> c_b and a < b").groupBy("a", "b").agg(F.min("p").alias("p"))
-        more = store(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    reps = store(reps.select(F.col("doc_id").alias("id"), "component", *signed))
+    more = untested(reps, _bands, n, pairs)
+    if more is not None:
         extra = _linked(more, sigs, docs, words, percent)
         if not extra.isEmpty():
             found = store(components(links.unionByName(extra)))
