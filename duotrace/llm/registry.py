@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .decontamination import op7
+from .lines import op3
 from .neardup import op2
 from .sharding import op6
 from .substrings import op9
 
-QUERIES = {"op2_hyperminhash": op2, "op6_minimax_shards": op6, "op7_winnowing": op7, "op9_block_anchors": op9}
+QUERIES = {"op2_hyperminhash": op2, "op3_fuzzy_lines": op3, "op6_minimax_shards": op6, "op7_winnowing": op7, "op9_block_anchors": op9}
 
 ORACLES = {}
