@@ -7,7 +7,8 @@ from .lines import op3
 from .neardup import op2
 from .sharding import op6
 from .substrings import op9
+from .suffix_tree import op10
 
-QUERIES = {"op2_hyperminhash": op2, "op3_fuzzy_lines": op3, "op6_minimax_shards": op6, "op7_winnowing": op7, "op9_block_anchors": op9}
+QUERIES = {"op2_hyperminhash": op2, "op3_fuzzy_lines": op3, "op6_minimax_shards": op6, "op7_winnowing": op7, "op9_block_anchors": op9, "op10_suffix_tree": op10}
 
 ORACLES = {}
