@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import release, store
+from ._io import store
 from ._packed import Packer, exchange, groups, unpack
 from ._text import mix
 
@@ -133,7 +133,6 @@ def untested(items: DataFrame, bands: Callable, n_parts: int, tested: DataFrame)
         return comps[order[np.searchsorted(ids[order], item)]], key, tag
 
     mixed = store(exchange(items, _mixed_mapper(by_component, n_parts), 3, _mixed_reducer, "key long"))
-    release(items.sparkSession)
     few = mixed.count()
     if not few:
         return None

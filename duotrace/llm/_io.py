@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts are long, so a batch is kept to a few MB; this bounds a Python worker's memory.
 BATCH_ROWS = 1000
+#: Spark removes a query's shuffle files at its end, so that the phases of an operator don't add up on disk.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -31,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # nothing executes this plan again
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
@@ -45,12 +51,6 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished phases: it does so when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts(spark: SparkSession) -> int:
     """Partitions for keyed packs: as many as the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ._bands import candidates, untested
 from ._graph import components
-from ._io import drop, parts, prepare, release, store, text_or_empty
+from ._io import drop, parts, prepare, store, text_or_empty
 from ._text import chunks, mix, rolling, splitmix
 
 U = np.uint64
@@ -169,16 +169,13 @@ def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_
     n = parts(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     pairs = store(candidates(docs.select("text"), _bands(characters, "text"), n).select("a", "b").distinct())
-    release(spark)
     needed = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     texts = store(_lines(docs).select("id", "line").join(needed, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
-    release(spark)
     links = _linked(pairs, texts, characters, percent)
     found = store(components(links))
     labelled = texts.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = store(labelled)
     drop(texts)
-    release(spark)
     more = untested(labelled, _bands(characters, "line"), n, pairs)
     if more is not None:
         extra = _linked(more, labelled, characters, percent)

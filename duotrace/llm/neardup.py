@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._bands import candidates, untested
 from ._graph import components
-from ._io import drop, parts, prepare, release, store, text_or_empty
+from ._io import drop, parts, prepare, store, text_or_empty
 from ._text import LOWER, chunks, mix, rolling, span_hashes, splitmix, word_spans
 
 U = np.uint64
@@ -166,13 +166,11 @@ def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent:
     near = store(sized.select("a", "b", pick("a").alias("ra"), pick("b").alias("rb")).mapInArrow(_prune(percent), "a long, b long"))
     needed = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     texts = store(docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")))
-    release(docs.sparkSession)
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
     both = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
     out = store(both.mapInArrow(_verify(k, percent), "a long, b long"))
     drop(texts)
     drop(near)
-    release(docs.sparkSession)
     return out
 
 
@@ -209,7 +207,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     for x in ("a", "b"):
         pairs = pairs.join(members.select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")), x, "left").withColumn(x, F.coalesce(f"rep_{x}", x)).drop(f"rep_{x}")
     pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "p").filter("a < b").groupBy("a", "b").agg(F.min("p").alias("p")))
-    release(spark)
     links = _linked(pairs, sigs, docs, words, percent)
     found = store(components(links))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import drop, parts, prepare, release, store, text_or_empty
+from ._io import drop, parts, prepare, store, text_or_empty
 from ._packed import Packer, exchange, groups, unpack
 from ._text import chunks, rolling, span_hashes, word_spans
 
@@ -190,13 +190,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
 
     hits = exchange(docs, _probe_mapper(n, window), 6, _probe_reducer(window), gathered)
     hits = store(hits.groupBy("doc_id").agg(F.collect_list("places").alias("places")))
-    release(spark)
     near = docs.join(hits, "doc_id").select("doc_id", "text", "places")
     repeats = exchange(near, _window_mapper(n, window), 5, _window_reducer, gathered)
     repeats = store(repeats.groupBy("doc_id").agg(F.collect_list("places").alias("places")))
     drop(hits)
-    del near
-    release(spark)
     out = docs.join(repeats, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_removal(window), "doc_id long, n_words long, n_removed long, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != null, F.col("doc_id")))
 
