@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from .decontamination import op7
 from .lines import op3
+from .media import op8
 from .neardup import op2
 from .packing import op5
 from .sharding import op6
 from .substrings import op9
 from .suffix_tree import op10
 
-QUERIES = {"op2_hyperminhash": op2, "op3_fuzzy_lines": op3, "op5_mixture_packing": op5, "op6_minimax_shards": op6, "op7_winnowing": op7, "op9_block_anchors": op9, "op10_suffix_tree": op10}
+QUERIES = {"op2_hyperminhash": op2, "op3_fuzzy_lines": op3, "op5_mixture_packing": op5, "op6_minimax_shards": op6, "op7_winnowing": op7, "op8_chunk_store": op8, "op9_block_anchors": op9, "op10_suffix_tree": op10}
 
 ORACLES = {}
