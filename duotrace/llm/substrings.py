@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import drop, parts, prepare, store, text_or_empty
-from ._packed import Packer, exchange, groups, unpack
-from ._text import chunks, rolling, span_hashes, word_spans
+from ._packed import Packer, exchange, groups, schema, unpack
+from ._text import chunks, mix, rolling, span_hashes, word_spans
 
 U = np.uint64
+EMPTY = pa.schema([("part", pa.int32()), ("c0", pa.binary()), ("c1", pa.binary())])
 
 
 def _numbered(data, offsets):
@@ -30,12 +31,20 @@ def _windows(hashes, k, of, position, counts, which=0):
     return rolling(hashes, k, which)[at], at
 
 
-def _by_doc(docs: np.ndarray, places: np.ndarray) -> pa.Table:
-    """A row for each document with its places as uint32 bytes."""
-    order = np.argsort(docs, kind="stable")
-    docs, places = docs[order], places[order].astype(np.uint32)
+def _to_docs(n_parts: int, docs: np.ndarray, places: np.ndarray) -> pa.Table:
+    """Places packed for their documents' partitions."""
+    packer = Packer(n_parts, 2)
+    spread = mix(docs.astype(U))
+    return pa.Table.from_batches([*packer.add(spread, docs, places.astype(np.uint32)), *packer.flush()], EMPTY)
+
+
+def _by_doc(table: pa.Table) -> pa.Table:
+    """A row for each document with its distinct places, as uint32 bytes."""
+    docs, places = unpack(table, np.int64, np.uint32)
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
     lo, hi = groups(docs)
-    return pa.table({"doc_id": pa.array(docs[lo], pa.int64()), "places": pa.array([places[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())})
+    return pa.table({"doc_id": pa.array(docs[lo], pa.int64()), "places": pa.array([np.unique(places[a:b]).tobytes() for a, b in zip(lo, hi)], pa.binary())})
 
 
 def _probe_mapper(n_parts: int, window: int):
@@ -78,7 +87,7 @@ def _probe_mapper(n_parts: int, window: int):
     return run
 
 
-def _probe_reducer(window: int):
+def _probe_reducer(n_parts: int, window: int):
     block = window // 2
 
     def run(table: pa.Table) -> pa.Table:
@@ -93,7 +102,7 @@ def _probe_reducer(window: int):
         if len(a):
             hit &= np.logical_or.reduceat(p % block == 0, a)
         hit = np.repeat(hit, b - a)
-        return _by_doc(np.concatenate((d[hit], doc[~probe])), np.concatenate((p[hit], pos[~probe])))
+        return _to_docs(n_parts, np.concatenate((d[hit], doc[~probe])), np.concatenate((p[hit], pos[~probe])))
 
     return run
 
@@ -108,7 +117,7 @@ def _window_mapper(n_parts: int, window: int):
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 starts, ends, first, of, position = _numbered(data, offsets)
                 counts = np.diff(first)
-                hits = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in places[k]])).astype(np.int64) + first[k - lo] for k in range(lo, hi)]
+                hits = [np.frombuffer(places[k], np.uint32).astype(np.int64) + first[k - lo] for k in range(lo, hi)]
                 hits = np.concatenate(hits) if hits else np.zeros(0, np.int64)
                 # A hit is extended to every window that holds it.
                 mark = np.zeros(len(starts) + 1, np.int64)
@@ -132,15 +141,18 @@ def _window_mapper(n_parts: int, window: int):
     return run
 
 
-def _window_reducer(table: pa.Table) -> pa.Table:
-    h, g, doc, pos, again = unpack(table, U, np.uint32, np.int64, np.uint32, np.uint8)
-    order = np.lexsort((pos, doc, g, h))
-    h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-    lead = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-    repeat = (doc != doc[lead]) | (pos != pos[lead])
-    return _by_doc(doc[repeat], pos[repeat])
+def _window_reducer(n_parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        h, g, doc, pos, again = unpack(table, U, np.uint32, np.int64, np.uint32, np.uint8)
+        order = np.lexsort((pos, doc, g, h))
+        h, g, doc, pos = h[order], g[order], doc[order], pos[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        lead = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+        repeat = (doc != doc[lead]) | (pos != pos[lead])
+        return _to_docs(n_parts, doc[repeat], pos[repeat])
+
+    return run
 
 
 def _removal(window: int):
@@ -148,13 +160,13 @@ def _removal(window: int):
         for batch in batches:
             ids, texts, places = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             totals, removed, kept = [], [], []
-            for text, lists in zip(texts, places):
+            for text, repeats in zip(texts, places):
                 words = (text or "").encode().split()
                 gone = 0
                 totals.append(len(words))
-                if lists:
+                if repeats:
                     mark = np.zeros(len(words) + window + 1, np.int64)
-                    at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])).astype(np.int64)
+                    at = np.frombuffer(repeats, np.uint32).astype(np.int64)
                     mark[at] += 1
                     mark[at + window] -= 1
                     stay = np.cumsum(mark)[: len(words)] == 0
@@ -188,11 +200,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("doc_id"), text_or_empty(text).alias("text"))
     gathered = "doc_id long, places binary"
 
-    hits = exchange(docs, _probe_mapper(n, window), 6, _probe_reducer(window), gathered)
-    hits = store(hits.groupBy("doc_id").agg(F.collect_list("places").alias("places")))
+    hits = exchange(docs, _probe_mapper(n, window), 6, _probe_reducer(n, window), schema(2))
+    hits = store(hits.groupBy("part").applyInArrow(_by_doc, gathered))
     near = docs.join(hits, "doc_id").select("doc_id", "text", "places")
-    repeats = exchange(near, _window_mapper(n, window), 5, _window_reducer, gathered)
-    repeats = store(repeats.groupBy("doc_id").agg(F.collect_list("places").alias("places")))
+    repeats = exchange(near, _window_mapper(n, window), 5, _window_reducer(n), schema(2))
+    repeats = store(repeats.groupBy("part").applyInArrow(_by_doc, gathered))
     drop(hits)
     out = docs.join(repeats, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_removal(window), "doc_id long, n_words long, n_removed long, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != null, F.col("doc_id")))
