@@ -18,7 +18,7 @@ U = np.uint64
 FIT_ROWS = 16_384
 #: Features: runs of so many bytes of the lower-cased text, white space as spaces, one before each text. Of those in at
 #: least SEEN fitted texts, the FEATURES with the greatest information gain are kept.
-RUNS, SEEN, FEATURES = (5, 6, 7), 5, 4096
+RUNS, SEEN, LEAST_G, FEATURES = (5, 6, 7), 5, 15.0, 4096
 #: Weight of the squared change of logit under a swap of group terms, and of the squared weights.
 COUNTERFACTUAL, RIDGE = 1.0, 2e-4
 TABLE_BITS = 20
@@ -137,6 +137,7 @@ def _count_reducer(all_: int, all_toxic: int):
         key, toxic, seen = key[a], np.add.reduceat(toxic, a), np.add.reduceat(seen, a)
         often = seen >= SEEN
         key, gain = key[often], _gain(seen[often], toxic[often], all_, all_toxic)
+        key, gain = key[2 * all_ * gain >= LEAST_G], gain[2 * all_ * gain >= LEAST_G]
         best = np.lexsort((key, -gain))[:FEATURES]
         return pa.table({"feature": pa.array(key[best].view(np.int64), pa.int64()), "gain": pa.array(gain[best], pa.float64())})
 
