@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import store
-from ._packed import Packer, exchange, groups, unpack
+from ._packed import Packer, exchange, groups, schema, unpack
 from ._text import mix
 
 U = np.uint64
@@ -47,98 +47,180 @@ def _meeting(bands: Callable, most: int = MEET_ROWS):
     return run
 
 
+PAIRS = pa.schema([("part", pa.int32()), ("c0", pa.binary()), ("c1", pa.binary()), ("c2", pa.binary())])
+
+
 def _star_mapper(bands: Callable, n_parts: int):
     """Bands meet first inside a mapper: members there are paired with their least one, which alone travels on."""
 
     def run(batches):
-        packer = Packer(n_parts, 5)
+        packer = Packer(n_parts, 4)
         for item, key, tag in _meeting(bands)(batches):
             lo, hi = groups(key)
             pivot = np.repeat(item[lo], hi - lo)
             off = pivot != item
             pairs = np.unique(np.stack([pivot[off], item[off], tag[off].astype(np.int64)], axis=1), axis=0)
-            yield from packer.add(key[lo], key[lo], item[lo], item[lo], tag[lo].astype(np.int8), np.zeros(len(lo), np.int8))
-            if len(pairs):
-                spread = mix(pairs[:, 0].astype(U) ^ mix(pairs[:, 1].astype(U)))
-                yield from packer.add(spread, spread, pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.int8), np.ones(len(pairs), np.int8))
+            yield from packer.add(key[lo], key[lo], item[lo], tag[lo].astype(np.int8), np.zeros(len(lo), np.int8))
+            yield from packer.add(_spread(pairs), pairs[:, 0].view(U), pairs[:, 1], pairs[:, 2].astype(np.int8), np.ones(len(pairs), np.int8))
         yield from packer.flush()
 
     return run
 
 
-def _star_reducer(table: pa.Table) -> pa.Table:
-    key, a, b, tag, done = unpack(table, U, np.int64, np.int64, np.int8, np.int8)
-    open_ = done == 0
-    order = np.lexsort((a[open_], key[open_]))
-    k, d, t = key[open_][order], a[open_][order], tag[open_][order]
-    lo, hi = groups(k)
-    pivot = np.repeat(d[lo], hi - lo)
-    off = pivot != d
-    pairs = np.concatenate([np.stack([pivot[off], d[off], t[off]], axis=1), np.stack([a[~open_], b[~open_], tag[~open_]], axis=1)])
-    pairs = np.unique(pairs, axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "p": pa.array(pairs[:, 2].astype(np.int32), pa.int32())})
+def _spread(pairs: np.ndarray) -> np.ndarray:
+    return mix(np.ascontiguousarray(pairs[:, 0]).view(U) ^ mix(np.ascontiguousarray(pairs[:, 1]).view(U)))
+
+
+def _star_reducer(n_parts: int):
+    """Pairs of the bands that end here, packed by pair: one pair may come from many bands."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, tag, done = unpack(table, U, np.int64, np.int8, np.int8)
+        open_ = done == 0
+        order = np.lexsort((y[open_], x[open_]))
+        k, d, t = x[open_][order], y[open_][order], tag[open_][order]
+        lo, hi = groups(k)
+        pivot = np.repeat(d[lo], hi - lo)
+        off = pivot != d
+        pairs = np.concatenate([np.stack([pivot[off], d[off], t[off]], axis=1), np.stack([x[~open_].view(np.int64), y[~open_], tag[~open_]], axis=1)])
+        pairs = np.ascontiguousarray(np.unique(pairs, axis=0))
+        packer = Packer(n_parts, 3)
+        batches = [*packer.add(_spread(pairs), pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.int8)), *packer.flush()]
+        return pa.Table.from_batches(batches, PAIRS)
+
+    return run
+
+
+def _pair_rows(table: pa.Table) -> pa.Table:
+    a, b, tag = unpack(table, np.int64, np.int64, np.int8)
+    order = np.lexsort((tag, b, a))
+    a, b, tag = a[order], b[order], tag[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.table({"a": pa.array(a[new], pa.int64()), "b": pa.array(b[new], pa.int64()), "p": pa.array(tag[new].astype(np.int32), pa.int32())})
 
 
 def candidates(items: DataFrame, bands: Callable, n_parts: int) -> DataFrame:
-    """(a, b, p): each band's members paired with its least one (in two steps, so a hot band never meets in one task)."""
-    return exchange(items, _star_mapper(bands, n_parts), 5, _star_reducer, "a long, b long, p int")
+    """(a, b, p), each pair once: a band's members paired with its least one (in two steps, so a hot band never meets in one task)."""
+    packed = exchange(items, _star_mapper(bands, n_parts), 4, _star_reducer(n_parts), schema(3))
+    return packed.groupBy("part").applyInArrow(_pair_rows, "a long, b long, p int")
 
 
 def _mixed_mapper(bands: Callable, n_parts: int):
     def run(batches):
-        packer = Packer(n_parts, 3)
+        packer = Packer(n_parts, 2)
         for comp, key, _ in _meeting(bands)(batches):
             lo, hi = groups(key)
-            yield from packer.add(key[lo], key[lo], comp[lo], comp[hi - 1])
+            two = comp[lo] != comp[hi - 1]
+            keys, comps = np.concatenate((key[lo], key[lo][two])), np.concatenate((comp[lo], comp[hi - 1][two]))
+            yield from packer.add(keys, keys, comps)
         yield from packer.flush()
 
     return run
 
 
 def _mixed_reducer(table: pa.Table) -> pa.Table:
-    key, low, high = unpack(table, U, np.int64, np.int64)
-    order = np.argsort(key, kind="stable")
-    key, low, high = key[order], low[order], high[order]
-    lo, _ = groups(key)
-    keep = key[:0]
-    if len(lo):
-        keep = key[lo][np.minimum.reduceat(low, lo) != np.maximum.reduceat(high, lo)]
+    key, comp = unpack(table, U, np.int64)
+    order = np.lexsort((comp, key))
+    key, comp = key[order], comp[order]
+    lo, hi = groups(key)
+    keep = key[lo][comp[lo] != comp[hi - 1]] if len(lo) else key
     return pa.table({"key": pa.array(keep.view(np.int64), pa.int64())})
 
 
+def _looked_up(batch, item: np.ndarray, column: str) -> np.ndarray:
+    ids = np.asarray(batch.column("id"))
+    order = np.argsort(ids, kind="stable")
+    return np.asarray(batch.column(column))[order[np.searchsorted(ids[order], item)]]
+
+
 def _rows(bands: Callable):
-    """Entries as rows; the batch's component column is looked up by entry."""
+    """Band entries as rows."""
 
     def run(batches):
         for batch in batches:
-            ids, comps = np.asarray(batch.column("id")), np.asarray(batch.column("component"))
             item, key, tag = bands(batch)
-            order = np.argsort(ids, kind="stable")
-            comp = comps[order[np.searchsorted(ids[order], item)]]
+            comp = _looked_up(batch, item, "component")
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), pa.array(item, pa.int64()), pa.array(comp, pa.int64()), pa.array(tag.astype(np.int32), pa.int32())], names=["key", "item", "comp", "p"])
 
     return run
 
 
-def untested(items: DataFrame, bands: Callable, n_parts: int, tested: DataFrame) -> DataFrame | None:
-    """(a, b, p): pairs that share a band, lie in different components and aren't in `tested`; None if no band holds two components.
+def _set_mapper(sets: Callable, n_parts: int):
+    """Every item's set elements, with the set's size on the way."""
+
+    def run(batches):
+        packer = Packer(n_parts, 3)
+        for batch in batches:
+            lists = sets(batch)
+            ids, sizes = np.asarray(batch.column("id")), np.array([len(x) for x in lists], np.int64)
+            h = np.concatenate([np.zeros(0, U), *lists])
+            yield from packer.add(mix(h), h, np.repeat(ids, sizes), np.repeat(sizes, sizes).astype(np.uint32))
+        yield from packer.flush()
+
+    return run
+
+
+def _alone_reducer(n_parts: int):
+    """For each item, its elements that end here and how many of them no other item has; packed by item."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, item, size = unpack(table, U, np.int64, np.uint32)
+        order = np.argsort(h, kind="stable")
+        h, item, size = h[order], item[order], size[order]
+        lo, hi = groups(h)
+        alone = np.repeat(hi - lo == 1, hi - lo)
+        order = np.argsort(item, kind="stable")
+        item, size, alone = item[order], size[order], alone[order]
+        lo, _ = groups(item)
+        packer = Packer(n_parts, 3)
+        sums = np.add.reduceat(alone.astype(np.int64), lo) if len(lo) else np.zeros(0, np.int64)
+        return pa.Table.from_batches([*packer.add(mix(item[lo].view(U)), item[lo], size[lo], sums.astype(np.uint32)), *packer.flush()], PAIRS)
+
+    return run
+
+
+def _alone_rows(table: pa.Table) -> pa.Table:
+    item, size, alone = unpack(table, np.int64, np.uint32, np.uint32)
+    order = np.argsort(item, kind="stable")
+    item, size, alone = item[order], size[order].astype(np.int64), alone[order].astype(np.int64)
+    lo, _ = groups(item)
+    sums = np.add.reduceat(alone, lo) if len(lo) else alone
+    return pa.table({"item": pa.array(item[lo], pa.int64()), "n": pa.array(size[lo], pa.int64()), "alone": pa.array(sums, pa.int64())})
+
+
+def untested(items: DataFrame, bands: Callable, n_parts: int, tested: DataFrame, bodies: Callable[[DataFrame], DataFrame], sets: Callable, percent: int) -> DataFrame | None:
+    """(a, b, p): pairs that share a band, lie in different components, aren't in `tested` and may reach the threshold.
+
+    items: stored, with `id`, `component` and what bands() reads. bodies(ids) gives rows (id, what sets() reads), and
+    sets(batch) each row's set of 64-bit numbers. None if no band holds two components.
 
-    items: stored, with `id`, `component` and what bands() reads.
+    Elements that no other of these items has bound a pair's similarity: with m = the lesser of the two sets' shared elements,
+    it is at most m / (sum of sizes - m). A band's items that can't reach the threshold with any of its others are left
+    out, and if then one component is left, the band; so a large group of near copies isn't paired with its misfits.
     """
 
     def by_component(batch):
-        ids, comps = np.asarray(batch.column("id")), np.asarray(batch.column("component"))
         item, key, tag = bands(batch)
-        order = np.argsort(ids, kind="stable")
-        return comps[order[np.searchsorted(ids[order], item)]], key, tag
+        return _looked_up(batch, item, "component"), key, tag
 
-    mixed = store(exchange(items, _mixed_mapper(by_component, n_parts), 3, _mixed_reducer, "key long"))
+    mixed = store(exchange(items, _mixed_mapper(by_component, n_parts), 2, _mixed_reducer, "key long"))
     few = mixed.count()
     if not few:
         return None
     rows = items.mapInArrow(_rows(bands), "key long, item long, comp long, p int")
     rows = store(rows.join(F.broadcast(mixed) if few <= BROADCAST_ROWS else mixed, "key", "left_semi"))
-    left = rows.select("key", F.col("item").alias("a"), F.col("comp").alias("c_a"), "p")
-    right = rows.select("key", F.col("item").alias("b"), F.col("comp").alias("c_b"))
-    pairs = left.join(right, "key").filter("c_a <> c_b and a < b").groupBy("a", "b").agg(F.min("p").alias("p"))
+    needed = bodies(rows.select(F.col("item").alias("id")).distinct())
+    sized = exchange(needed, _set_mapper(sets, n_parts), 3, _alone_reducer(n_parts), schema(3)).groupBy("part").applyInArrow(_alone_rows, "item long, n long, alone long")
+    rows = rows.join(store(sized), "item")
+    rows = store(rows.withColumn("slack", (100 + percent) * (F.col("n") - F.col("alone")) - percent * F.col("n")))
+    # slack >= percent * the other's size, for both, is the bound in whole numbers.
+    best = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("slack").alias("most"))
+    rows = store(rows.join(store(best), "key").filter((F.col("slack") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).drop("least", "most"))
+    still = store(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key"))
+    rows = store(rows.join(still, "key", "left_semi"))
+    left = rows.select("key", F.col("item").alias("a"), F.col("comp").alias("c_a"), F.col("n").alias("n_a"), F.col("slack").alias("s_a"), "p")
+    right = rows.select("key", F.col("item").alias("b"), F.col("comp").alias("c_b"), F.col("n").alias("n_b"), F.col("slack").alias("s_b"))
+    near = (F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b")) & (F.col("s_a") >= percent * F.col("n_b")) & (F.col("s_b") >= percent * F.col("n_a"))
+    pairs = left.join(right, "key").filter(near).groupBy("a", "b").agg(F.min("p").alias("p"))
     return store(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))

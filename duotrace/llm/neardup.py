@@ -138,15 +138,19 @@ def _prune(percent: int):
     return run
 
 
+def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    return [s for _, _, data, offsets in chunks(texts) for s in shingle_sets(data, offsets, k)]
+
+
 def _verify(k: int, percent: int):
     def run(batches):
         cache: dict[int, np.ndarray] = {}
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            right = [s for _, _, data, offsets in chunks(batch.column(3)) for s in shingle_sets(data, offsets, k)]
+            right = _sets(batch.column(3), k)
             new = [i for i, x in enumerate(a) if x not in cache and (i == 0 or a[i - 1] != x)]
             cache = {x: cache[x] for x in set(a) if x in cache}
-            got = [s for _, _, data, offsets in chunks(batch.column(2).take(pa.array(new, pa.int64()))) for s in shingle_sets(data, offsets, k)] if new else []
+            got = _sets(batch.column(2).take(pa.array(new, pa.int64())), k)
             cache |= {a[i]: s for i, s in zip(new, got)}
             keep = []
             for x, s in zip(a, right):
@@ -213,7 +217,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     reps = full.join(members.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     reps = reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     reps = store(reps.select(F.col("doc_id").alias("id"), "component", *signed))
-    more = untested(reps, _bands, n, pairs)
+    bodies = lambda ids: docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+    more = untested(reps, _bands, n, pairs, bodies, lambda batch: _sets(batch.column("text"), words), percent)
     if more is not None:
         extra = _linked(more, sigs, docs, words, percent)
         if not extra.isEmpty():
