@@ -147,29 +147,29 @@ def _rows(bands: Callable):
 
 
 def _set_mapper(sets: Callable, n_parts: int):
-    """Every item's set elements, with the set's size on the way."""
+    """Every item's set elements, with the set's size and the item's component on the way."""
 
     def run(batches):
-        packer = Packer(n_parts, 3)
+        packer = Packer(n_parts, 4)
         for batch in batches:
             lists = sets(batch)
-            ids, sizes = np.asarray(batch.column("id")), np.array([len(x) for x in lists], np.int64)
+            ids, comps, sizes = np.asarray(batch.column("id")), np.asarray(batch.column("component")), np.array([len(x) for x in lists], np.int64)
             h = np.concatenate([np.zeros(0, U), *lists])
-            yield from packer.add(mix(h), h, np.repeat(ids, sizes), np.repeat(sizes, sizes).astype(np.uint32))
+            yield from packer.add(mix(h), h, np.repeat(ids, sizes), np.repeat(comps, sizes), np.repeat(sizes, sizes).astype(np.uint32))
         yield from packer.flush()
 
     return run
 
 
 def _alone_reducer(n_parts: int):
-    """For each item, its elements that end here and how many of them no other item has; packed by item."""
+    """For each item, how many of its elements that end here no other component has; packed by item."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, item, size = unpack(table, U, np.int64, np.uint32)
-        order = np.argsort(h, kind="stable")
-        h, item, size = h[order], item[order], size[order]
+        h, item, comp, size = unpack(table, U, np.int64, np.int64, np.uint32)
+        order = np.lexsort((comp, h))
+        h, item, comp, size = h[order], item[order], comp[order], size[order]
         lo, hi = groups(h)
-        alone = np.repeat(hi - lo == 1, hi - lo)
+        alone = np.repeat(comp[lo] == comp[hi - 1], hi - lo)
         order = np.argsort(item, kind="stable")
         item, size, alone = item[order], size[order], alone[order]
         lo, _ = groups(item)
@@ -192,11 +192,11 @@ def _alone_rows(table: pa.Table) -> pa.Table:
 def untested(items: DataFrame, bands: Callable, n_parts: int, tested: DataFrame, bodies: Callable[[DataFrame], DataFrame], sets: Callable, percent: int) -> DataFrame | None:
     """(a, b, p): pairs that share a band, lie in different components, aren't in `tested` and may reach the threshold.
 
-    items: stored, with `id`, `component` and what bands() reads. bodies(ids) gives rows (id, what sets() reads), and
+    items: stored, with `id`, `component` and what bands() reads. bodies(ids) joins (id, component) to what sets() reads, and
     sets(batch) each row's set of 64-bit numbers. None if no band holds two components.
 
-    Elements that no other of these items has bound a pair's similarity: with m = the lesser of the two sets' shared elements,
-    it is at most m / (sum of sizes - m). A band's items that can't reach the threshold with any of its others are left
+    Elements that no other component of these items has bound a pair's similarity: with m = the lesser of the two sets'
+    other elements, it is at most m / (sum of sizes - m). A band's items that can't reach the threshold with any of its others are left
     out, and if then one component is left, the band; so a large group of near copies isn't paired with its misfits.
     """
 
@@ -210,8 +210,8 @@ def untested(items: DataFrame, bands: Callable, n_parts: int, tested: DataFrame,
         return None
     rows = items.mapInArrow(_rows(bands), "key long, item long, comp long, p int")
     rows = store(rows.join(F.broadcast(mixed) if few <= BROADCAST_ROWS else mixed, "key", "left_semi"))
-    needed = bodies(rows.select(F.col("item").alias("id")).distinct())
-    sized = exchange(needed, _set_mapper(sets, n_parts), 3, _alone_reducer(n_parts), schema(3)).groupBy("part").applyInArrow(_alone_rows, "item long, n long, alone long")
+    needed = bodies(rows.select(F.col("item").alias("id"), F.col("comp").alias("component")).distinct())
+    sized = exchange(needed, _set_mapper(sets, n_parts), 4, _alone_reducer(n_parts), schema(3)).groupBy("part").applyInArrow(_alone_rows, "item long, n long, alone long")
     rows = rows.join(store(sized), "item")
     rows = store(rows.withColumn("slack", (100 + percent) * (F.col("n") - F.col("alone")) - percent * F.col("n")))
     # slack >= percent * the other's size, for both, is the bound in whole numbers.

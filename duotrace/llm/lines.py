@@ -176,7 +176,7 @@ def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_
     labelled = texts.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = store(labelled)
     drop(texts)
-    bodies = lambda ids: labelled.select("id", "line").join(ids, "id", "left_semi")
+    bodies = lambda ids: labelled.select("id", "line").join(ids, "id")
     more = untested(labelled, _bands(characters, "line"), n, pairs, bodies, lambda batch: _line_sets(batch.column("line"), characters), percent)
     if more is not None:
         extra = _linked(more, labelled, characters, percent)
