@@ -146,6 +146,31 @@ def _rows(bands: Callable):
     return run
 
 
+def _listed(bands: Callable, wanted):
+    """A row for each item with a band among the wanted keys: its component and those bands."""
+
+    def run(batches):
+        keys = wanted.value
+        for batch in batches:
+            item, key, tag = bands(batch)
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            good = np.flatnonzero(keys[at] == key)
+            good = good[np.argsort(item[good], kind="stable")]
+            item, key, tag = item[good], key[good], tag[good]
+            lo, hi = groups(item)
+            cuts = pa.array(np.append(lo, len(item)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(item[lo], pa.int64()), pa.array(_looked_up(batch, item[lo], "component"), pa.int64()),
+                    pa.ListArray.from_arrays(cuts, pa.array(key.view(np.int64), pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(tag.astype(np.int32), pa.int32())),
+                ],
+                names=["item", "comp", "keys", "ps"],
+            )
+
+    return run
+
+
 def _set_mapper(sets: Callable, n_parts: int):
     """Every item's set elements, with the set's size and the item's component on the way."""
 
@@ -208,12 +233,18 @@ def untested(items: DataFrame, bands: Callable, n_parts: int, tested: DataFrame,
     few = mixed.count()
     if not few:
         return None
-    rows = items.mapInArrow(_rows(bands), "key long, item long, comp long, p int")
-    rows = store(rows.join(F.broadcast(mixed) if few <= BROADCAST_ROWS else mixed, "key", "left_semi"))
-    needed = bodies(rows.select(F.col("item").alias("id"), F.col("comp").alias("component")).distinct())
+    if few <= BROADCAST_ROWS:
+        wanted = items.sparkSession.sparkContext.broadcast(np.sort(mixed.toPandas()["key"].to_numpy(np.int64).view(U)))
+        listed = store(items.mapInArrow(_listed(bands, wanted), "item long, comp long, keys array<long>, ps array<int>"))
+    else:
+        rows = items.mapInArrow(_rows(bands), "key long, item long, comp long, p int").join(mixed, "key", "left_semi")
+        listed = store(rows.groupBy("item", "comp").agg(F.collect_list(F.struct("key", "p")).alias("e")).select("item", "comp", F.col("e.key").alias("keys"), F.col("e.p").alias("ps")))
+    needed = bodies(listed.select(F.col("item").alias("id"), F.col("comp").alias("component")))
     sized = exchange(needed, _set_mapper(sets, n_parts), 4, _alone_reducer(n_parts), schema(3)).groupBy("part").applyInArrow(_alone_rows, "item long, n long, alone long")
-    rows = rows.join(store(sized), "item")
-    rows = store(rows.withColumn("slack", (100 + percent) * (F.col("n") - F.col("alone")) - percent * F.col("n")))
+    # A set's partner has percent / 100 of its size at least, so an item that can't reach even that one leaves before its bands become rows.
+    slack = (100 + percent) * (F.col("n") - F.col("alone")) - percent * F.col("n")
+    able = listed.join(store(sized), "item").withColumn("slack", slack).filter(100 * F.col("slack") >= percent * percent * F.col("n"))
+    rows = store(able.select("item", "comp", "n", "slack", F.explode(F.arrays_zip("keys", "ps")).alias("e")).select("e.keys", "item", "comp", F.col("e.ps").alias("p"), "n", "slack").withColumnRenamed("keys", "key"))
     # slack >= percent * the other's size, for both, is the bound in whole numbers.
     best = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("slack").alias("most"))
     rows = store(rows.join(store(best), "key").filter((F.col("slack") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).drop("least", "most"))
