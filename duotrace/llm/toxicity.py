@@ -53,7 +53,7 @@ def run_hashes(data: np.ndarray) -> dict[int, np.ndarray]:
 
     def join(x, y, by):
         out = x * A
-        out[: len(y) - by] += y[by:] * B
+        out[: max(0, len(y) - by)] += y[by:] * B
         return out ^ (out >> U(29))
 
     with np.errstate(over="ignore"):
