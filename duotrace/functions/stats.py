@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,6 +52,22 @@ def clopper_pearson(k: int, n: int, confidence: float = 0.95) -> tuple[float, fl
     return low, high
 
 
+def poisson_uppers(counts: np.ndarray, tail: np.ndarray | float) -> np.ndarray:
+    """For every count, the mean at which it or fewer has probability `tail`; all are bisected together."""
+    k = np.arange(int(counts.max()) + 1)
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(k[1:]))))
+    low, high = np.zeros(len(counts)), counts + 20 + 10 * np.sqrt(counts + 1.0)
+    for _ in range(80):
+        mid = (low + high) / 2
+        terms = np.exp(k * np.log(mid)[:, None] - mid[:, None] - log_factorial)
+        above = np.where(k <= counts[:, None], terms, 0.0).sum(axis=1) > tail
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return (low + high) / 2
+
+
 def poisson_table(spark: SparkSession, most: int, confidence: float = 0.90) -> DataFrame:
     """(n, ul, low, high) for counts of 0 to most: a small table to join, in place of a UDF."""
-    return spark.createDataFrame([(n, poisson_upper(n, confidence), *garwood(n, confidence)) for n in range(most + 1)], "n long, ul double, low double, high double")
+    n, tail = np.arange(most + 1), (1 - confidence) / 2
+    ul, high = poisson_uppers(n, 1 - confidence), poisson_uppers(n, tail)
+    low = np.concatenate(([0.0], poisson_uppers(n[:-1], 1 - tail))) if most else np.zeros(1)
+    return spark.createDataFrame(list(zip(n.tolist(), ul.tolist(), low.tolist(), high.tolist())), "n long, ul double, low double, high double")

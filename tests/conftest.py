@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+REPO = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, REPO)
+os.environ["PYTHONPATH"] = REPO + os.pathsep + os.environ.get("PYTHONPATH", "")  # for the Python workers
 
 
 @pytest.fixture(scope="session")
