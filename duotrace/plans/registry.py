@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from duotrace.plans import search
+from duotrace.plans import search, sensitivity
 
-MODULES = (search,)
+MODULES = (search, sensitivity)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
