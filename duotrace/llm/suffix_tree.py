@@ -16,12 +16,12 @@ U = np.uint64
 #: Contexts have up to DEPTH of them; a text begins after DEPTH newlines.
 DEPTH = 5
 END_WORD = U(0xE0D)  # stands for the end token among word hashes
-#: A context is a candidate if it makes up this share of the training symbols, so there are at most DEPTH / SHARE.
-SHARE = 5e-6
+#: A context is a candidate if it occurs this often in the training symbols, however many those are.
+LEAST = 2
 #: It is retained if its next-symbol distribution diverges from its suffix's by this many nats in all (count times divergence).
 DIVERGENCE = 3.0
-#: Words that a mapper encodes as one block, and symbols that a scorer follows in one go.
-BLOCK_TOKENS, SEGMENT = 1_500_000, 512
+#: Words that a mapper encodes as one block.
+BLOCK_TOKENS = 750_000
 
 
 def _streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -30,24 +30,20 @@ def _streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [b"\n" * DEPTH + b" ".join(body[a:b].split()) + b"\n" for a, b in zip(at, at[1:])]
 
 
-def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of DEPTH + 1 symbols, packed into a number (the next symbol lowest), and their counts."""
-    if not streams:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    flat = np.frombuffer(b"".join(streams), np.uint8).astype(U)
+def runs(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Every text's runs of DEPTH + 1 symbols in order (a text of n symbols has n - DEPTH), packed into numbers, the next symbol lowest."""
+    flat = flat.astype(U)
     two = (flat[:-1] << U(8)) | flat[1:]
     six = (two[:-4] << U(32)) | (two[2:-2] << U(16)) | two[4:]
-    lengths = np.array([len(s) for s in streams])
-    ends = np.cumsum(lengths)
     keep = np.ones(len(six), bool)
+    ends = np.cumsum(lengths)[:-1]
     for k in range(DEPTH):  # runs that end in a later text's opening newlines predict nothing
-        at = ends[:-1] + k - DEPTH
-        keep[at] = False
-    return np.unique(six[keep], return_counts=True)
+        keep[ends + k - DEPTH] = False
+    return six[keep]
 
 
 def _encode(batches):
-    """Texts to blocks: the block's words with their training counts, its documents as numbers of those words, and the training symbols' grams."""
+    """Texts to blocks: the block's words with their training counts, its documents as numbers of those words, and their symbols."""
     from pyspark import TaskContext
 
     task, serial = TaskContext.get().partitionId(), 0
@@ -61,10 +57,10 @@ def _encode(batches):
         ids, sizes, train, words = (np.concatenate(x) for x in (ids, sizes, train, words))
         vocabulary, inverse = np.unique(words, return_inverse=True)
         counts = np.bincount(inverse, weights=np.repeat(train, sizes), minlength=len(vocabulary)).astype(np.uint32)
-        key, n = grams(streams)
+        lengths = np.array([len(x) for x in streams], np.uint32)
         serial += 1
-        row = [(task << 32) + serial, vocabulary, counts, ids, sizes.astype(np.uint32), inverse.astype(np.uint32), key, n.astype(np.uint32)]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row[1:])], names=["block", "words", "counts", "docs", "sizes", "tokens", "grams", "times"])
+        row = [(task << 32) + serial, vocabulary, counts, ids, sizes.astype(np.uint32), inverse.astype(np.uint32), np.frombuffer(b"".join(streams), np.uint8), lengths, train.astype(np.uint8)]
+        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row[1:])], names=["block", "words", "counts", "docs", "sizes", "tokens", "symbols", "lengths", "train"])
 
     for batch in batches:
         ids, train = np.asarray(batch.column(0)), np.asarray(batch.column(2).to_pylist(), bool)
@@ -74,9 +70,7 @@ def _encode(batches):
             h = span_hashes(low, starts, ends)
             h = np.insert(h, first[1:], END_WORD)
             sizes = np.diff(first) + 1
-            mine = train[lo:hi]
-            streams = [s for s, t in zip(_streams(data, offsets), mine) if t]
-            held.append((ids[lo:hi], sizes, mine, h, streams))
+            held.append((ids[lo:hi], sizes, train[lo:hi], h, _streams(data, offsets)))
             rows += len(h)
             if rows >= BLOCK_TOKENS:
                 yield block()
@@ -138,158 +132,161 @@ def _base(batches):
             )
 
 
-def _gram_mapper(n_parts: int):
-    """Grams go by the last three symbols of their contexts."""
+def _texts(batch):
+    """Each block's number, runs, which of them are training, and each document's count of runs."""
+    for block, symbols, lengths, train in zip(*(batch.column(c).to_pylist() for c in ("block", "symbols", "lengths", "train"))):
+        lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
+        yield block, runs(np.frombuffer(symbols, np.uint8), lengths), np.repeat(np.frombuffer(train, np.uint8) > 0, lengths - DEPTH), lengths - DEPTH
 
-    def run(batches):
-        packer = Packer(n_parts, 2)
-        for batch in batches:
-            for g, n in zip(batch.column("grams").to_pylist(), batch.column("times").to_pylist()):
-                key = np.frombuffer(g, U)
-                yield from packer.add(mix((key >> U(8)) & U(0xFFFFFF)), key, np.frombuffer(n, np.uint32))
-        yield from packer.flush()
 
-    return run
+def _sums(x: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, lo) if len(lo) else x[:0]
+
 
+def _last(key: np.ndarray, symbols: int) -> np.ndarray:
+    return key & U((1 << (8 * symbols)) - 1)
 
-def _shorten(key: np.ndarray, n: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the last `symbols` symbols of each gram."""
-    key = key & U((1 << (8 * symbols)) - 1)
-    order = np.argsort(key, kind="stable")
-    lo, _ = groups(key[order])
-    return key[order][lo], np.add.reduceat(n[order], lo) if len(lo) else n[:0]
 
+def _short_counts(batches):
+    """How often runs of three symbols occur in training texts."""
+    keys, times = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        for _, six, train, _ in _texts(batch):
+            key, n = np.unique(_last(six[train], 3).astype(np.uint32), return_counts=True)
+            keys.append(key), times.append(n)
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(inverse, weights=np.concatenate(times), minlength=len(key)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
 
-def _gram_reducer(least: float):
-    """Grams of candidate contexts of three symbols or more, and of all contexts of two (their sums go on)."""
 
-    def run(table: pa.Table) -> pa.Table:
-        key, n = unpack(table, U, np.uint32)
-        key, n = _shorten(key, n.astype(np.int64), DEPTH + 1)
-        out = []
-        for d in range(DEPTH, 1, -1):
-            key, n = _shorten(key, n, d + 1)
-            keep = np.ones(len(key), bool)
-            if d > 2:
-                lo, hi = groups(key >> U(8))
-                keep = np.repeat(np.add.reduceat(n, lo) >= least, hi - lo)
-            out.append((np.full(int(keep.sum()), d, np.int32), key[keep].view(np.int64), n[keep]))
-        d, key, n = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"d": pa.array(d, pa.int32()), "gram": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
+class Short:
+    """Contexts of up to two symbols: the alphabet bounds their number (65,793), not the corpus.
+
+    A distribution is smoothed towards the suffix's in proportion to the distinct symbols seen (the empty context's towards uniform).
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        order = np.argsort(gram)
+        gram, n = gram[order].astype(U), n[order].astype(float)
+        counts = np.bincount(gram.astype(np.int64) & 0xFF, weights=n, minlength=256)
+        self.empty = (counts + 1) / (counts.sum() + 256)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for d in (1, 2):
+            g, inverse = np.unique(_last(gram, d + 1), return_inverse=True)
+            times = np.bincount(inverse, weights=n, minlength=len(g))
+            below, _ = self.look(g)
+            lo, hi = groups(g >> U(8))
+            total = _sums(times, lo)
+            gain = _sums(times * np.log(times / np.repeat(total, hi - lo) / below), lo)
+            self.levels.append((g, times, g[lo] >> U(8), total, (hi - lo).astype(float), (total >= LEAST) & (gain >= DIVERGENCE)))
+
+    def look(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each run's smoothed probability by all levels so far, and the log10 that the longest retained context gives."""
+        p = self.empty[(gram & U(0xFF)).astype(np.int64)]
+        log = np.log10(p)
+        for d, (grams, times, contexts, total, kinds, kept) in enumerate(self.levels, 1):
+            if not len(grams):
+                continue
+            g = _last(gram, d + 1)
+            at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+            n = np.where(grams[at] == g, times[at], 0.0)
+            at = np.minimum(np.searchsorted(contexts, g >> U(8)), len(contexts) - 1)
+            known = (contexts[at] == g >> U(8)) & (total[at] >= LEAST)
+            p = np.where(known, (kinds[at] * p + n) / (total[at] + kinds[at]), p)
+            log = np.where(known & kept[at], np.log10(p), log)
+        return p, log
+
+
+def gram_logs(key: np.ndarray, n: np.ndarray, short: Short) -> np.ndarray:
+    """log10 probability of each run's last symbol after the others; sorted distinct runs with their training counts (0: only scored), all of the last three context symbols that occur."""
+    three, inverse = np.unique(_last(key, 3), return_inverse=True)
+    p, log = (x[inverse] for x in short.look(three))
+    for d in range(3, DEPTH + 1):
+        gram, inverse = np.unique(_last(key, d + 1), return_inverse=True)
+        times = np.bincount(inverse, weights=n, minlength=len(gram))
+        below = np.empty(len(gram))
+        below[inverse] = p
+        lo, hi = groups(gram >> U(8))
+        total, kinds = (np.repeat(_sums(x, lo), hi - lo) for x in (times, (times > 0).astype(float)))
+        known = total >= LEAST
+        seen = times > 0
+        parts_ = np.zeros(len(gram))
+        parts_[seen] = times[seen] * np.log(times[seen] / total[seen] / below[seen])
+        kept = known & (np.repeat(_sums(parts_, lo), hi - lo) >= DIVERGENCE)
+        now = np.where(known, (kinds * below + times) / np.maximum(total + kinds, 1), below)
+        p = now[inverse]
+        log = np.where(kept[inverse], np.log10(p), log)
+    return log
+
+
+def _homes(key: np.ndarray, n_parts: int) -> np.ndarray:
+    """Runs go by the last three symbols of their contexts."""
+    return ((mix((key >> U(8)) & U(0xFFFFFF)) >> U(32)) % U(n_parts)).astype(np.int32)
+
+
+def _planes(key: np.ndarray) -> bytes:
+    """Six bytes a run, all first bytes before all second ones, which compresses well when sorted."""
+    return np.ascontiguousarray(key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    return out.view(">u8").ravel().astype(U)
+
+
+def _gram_mapper(n_parts: int):
+    """A row for each block and partition: the block's distinct runs that belong there, sorted, with training counts."""
+
+    def run(batches):
+        for batch in batches:
+            for block, six, train, _ in _texts(batch):
+                seen, times = np.unique(six[train], return_counts=True)
+                key = np.unique(six)
+                n = np.zeros(len(key), np.uint32)
+                n[np.searchsorted(key, seen)] = times
+                home = _homes(key, n_parts)
+                order = np.argsort(home, kind="stable")
+                key, n, home = key[order], n[order], home[order]
+                lo, hi = groups(home)
+                spans = list(zip(lo.tolist(), hi.tolist()))
+                columns = [pa.array(home[lo], pa.int32()), pa.array([block] * len(lo), pa.int64()), pa.array([_planes(key[a:b]) for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "grams", "times"])
 
     return run
 
 
-def candidate_counts(blocks: DataFrame, n_parts: int, symbols: int) -> DataFrame:
-    """(d, gram, n): how often each symbol follows each candidate context of d symbols; at most DEPTH / SHARE contexts and the empty one."""
-    least = max(2.0, SHARE * symbols)
-    found = store(exchange(blocks.select("grams", "times"), _gram_mapper(n_parts), 2, _gram_reducer(least), "d int, gram long, n long"))
-    long = found.filter("d > 2")
-    pairs = found.filter("d = 2").groupBy("d", "gram").agg(F.sum("n").alias("n"))
-    ones = pairs.groupBy(F.lit(1).alias("d"), F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n"))
-    none = ones.groupBy(F.lit(0).alias("d"), F.col("gram").bitwiseAND(0xFF).alias("gram")).agg(F.sum("n").alias("n"))
-    short = pairs.unionByName(ones)
-    often = short.groupBy("d", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("all")).filter(F.col("all") >= least)
-    short = short.withColumn("context", F.shiftright("gram", 8)).join(often, ["d", "context"], "left_semi").select("d", "gram", "n")
-    return long.unionByName(short).unionByName(none)
+def _gram_reducer(short):
+    """Builds the part of the tree whose contexts end here, and answers every block with its runs' logs, in the order received."""
 
+    def run(table: pa.Table) -> pa.Table:
+        keys = [_unplanes(x) for x in table.column("grams").to_pylist()]
+        sizes = np.array([len(x) for x in keys])
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        n = np.bincount(inverse, weights=np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint32))
+        logs = gram_logs(key, n, short.value).astype(np.float32)[inverse]
+        ends = np.cumsum(sizes)
+        return pa.table({"part": table.column("part"), "block": table.column("block"), "logs": pa.array([logs[a:b].tobytes() for a, b in zip(ends - sizes, ends)], pa.binary())})
 
-class Tree:
-    """A suffix tree as tables: next state and log10 probability for each state and symbol.
+    return run
 
-    A context is retained by the divergence test; its suffixes and prefixes are states too, so that the state after a
-    symbol follows from the state before. A state that fails the test predicts as its suffix does. Distributions are
-    smoothed towards the suffix's in proportion to the distinct symbols seen (the empty context's towards uniform).
-    """
 
-    def __init__(self, d: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        order = np.lexsort((gram, d))
-        d, gram, n = d[order], gram[order], n[order].astype(float)
-        lo, hi = groups((d.astype(np.int64) << 56) | (gram >> 8))
-        # Symbols never seen share the last column of the tables; one more, which changes nothing, pads.
-        first = gram[d == 0] & 0xFF
-        used = np.sort(first)
-        column = np.full(256, len(used), np.int64)
-        column[used] = np.arange(len(used))
-        smooth = np.empty((len(lo) + 1, len(used) + 1))
-        p = np.zeros(len(used) + 1)
-        p[column[first]] = n[d == 0]
-        smooth[0] = (p + 1) / (p.sum() + 256)
-        row, kept = {b"": 0}, {b""}
-        for a, b in zip(lo.tolist(), hi.tolist()):  # shorter contexts come first
-            k = int(d[a])
-            if not k:
-                continue
-            context = (int(gram[a]) >> 8).to_bytes(k, "big")
-            suffix = context[1:]
-            while suffix not in row:  # a candidate's suffixes are candidates, unless the threshold's rounding says otherwise
-                suffix = suffix[1:]
-            below, at, times = smooth[row[suffix]], column[gram[a:b] & 0xFF], n[a:b]
-            total, kinds = times.sum(), b - a
-            p = kinds * below
-            p[at] += times
-            smooth[len(row)] = p / (total + kinds)
-            row[context] = len(row)
-            if (times * np.log(times / total / below[at])).sum() >= DIVERGENCE:
-                kept.add(context)
-        states = {b""}
-        for context in kept:
-            for a in range(len(context)):
-                for b in range(a + 1, len(context) + 1):
-                    states.add(context[a:b])
-        order_ = sorted(states, key=lambda s: (len(s), s))
-        number = {s: k for k, s in enumerate(order_)}
-        width = len(used) + 2
-        self.symbols = column.astype(np.uint8 if len(used) < 255 else np.int64)
-        self.width, self.states = width, len(order_)
-        self.next = np.zeros((len(order_), width), np.int32)
-        self.log = np.zeros((len(order_), width), np.float32)
-        longer: dict[int, list[int]] = {}
-        for k, s in enumerate(order_[1:], 1):
-            longer.setdefault(number[s[:-1]], []).append(k)
-        for k, s in enumerate(order_):
-            below = number[s[1:]] if s else 0
-            if s:
-                self.next[k] = self.next[below]
-            for other in longer.get(k, ()):
-                self.next[k, column[order_[other][-1]]] = other
-            self.log[k, : width - 1] = np.log10(smooth[row[s]]) if s in kept else self.log[below, : width - 1]
-        self.next[:, width - 1] = np.arange(len(order_))
-        self.log[:, width - 1] = 0.0
-
-    def score(self, streams: list[bytes]) -> np.ndarray:
-        """log10 probability of each stream; all are followed in step, in segments that begin DEPTH symbols early."""
-        if not streams:
-            return np.zeros(0)
-        lengths = np.array([len(s) for s in streams]) - DEPTH
-        pieces = -(-lengths // SEGMENT)
-        flat = self.symbols[np.frombuffer(b"".join(streams), np.uint8)].astype(np.int64)
-        begin = np.cumsum(lengths + DEPTH) - (lengths + DEPTH)
-        first = np.cumsum(pieces) - pieces
-        of = np.repeat(np.arange(len(streams)), pieces)
-        skip = (np.arange(len(of)) - first[of]) * SEGMENT
-        start, size = begin[of] + skip, np.minimum(lengths[of] - skip, SEGMENT) + DEPTH
-        order = np.argsort(-size, kind="stable")
-        start, size = start[order], size[order]
-        state, total = np.zeros(len(of), np.int64), np.zeros(len(of))
-        nexts, logs = self.next.ravel(), self.log.ravel()
-        alive = np.searchsorted(-size, -np.arange(int(size[0])), "left")
-        for t in range(int(size[0])):
-            m = alive[t]
-            at = state[:m] * self.width + flat[start[:m] + t]
-            if t >= DEPTH:
-                total[:m] += logs[at]
-            state[:m] = nexts[at]
-        out = np.empty(len(of))
-        out[order] = total
-        return np.add.reduceat(out, first)
-
-
-def _scorer(tree):
+def _adder(n_parts: int):
+    """Documents' scores from the logs that came back for their block."""
+
     def run(batches):
         for batch in batches:
-            scores = [tree.value.score(_streams(data, offsets)) for _, _, data, offsets in chunks(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
+            for (_, six, _, counts), docs, found in zip(_texts(batch), batch.column("docs").to_pylist(), batch.column("found").to_pylist()):
+                key, inverse = np.unique(six, return_inverse=True)
+                home = _homes(key, n_parts)
+                order = np.argsort(home, kind="stable")
+                cuts = np.searchsorted(home[order], np.arange(n_parts + 1))
+                logs = np.empty(len(key))
+                for f in found:
+                    logs[order[cuts[f["part"]] : cuts[f["part"] + 1]]] = np.frombuffer(f["logs"], np.float32)
+                scores = np.add.reduceat(logs[inverse], np.cumsum(counts) - counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -299,7 +296,9 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
 
     base_score is the add-one unigram log10 probability over words and one end token; score is the suffix tree's
     log10 probability of the same tokens, spelled out. Word and symbol counts come from every training text; words are
-    known by 64-bit hashes. The tree has at most DEPTH / SHARE candidate contexts, whatever the corpus.
+    known by 64-bit hashes. A context is retained if it occurs LEAST times and passes the divergence test, so the tree
+    grows with the corpus; its contexts of three symbols or more lie in partitions by their last three, to which every
+    block sends its distinct runs for their log10 probabilities. Every symbol is predicted by its longest retained context.
 
     Null and empty texts are a single end token. With no training text, every word is unknown and the tree uniform.
     Rows that repeat a doc_id with the same text give one row; a null doc_id counts as an id. Other columns are ignored.
@@ -308,17 +307,22 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     n = parts(spark)
     null = -(1 << 63)
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("doc_id"), text_or_empty(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = store(docs.mapInArrow(_encode, "block long, words binary, counts binary, docs binary, sizes binary, tokens binary, grams binary, times binary"))
+    blocks = store(docs.mapInArrow(_encode, "block long, words binary, counts binary, docs binary, sizes binary, tokens binary, symbols binary, lengths binary, train binary"))
     found = store(exchange(blocks.select("block", "words", "counts"), _count_mapper(n), 4, _count_reducer, "block long, places binary, totals binary, tokens long, distinct long"))
     tokens, distinct = (int(x or 0) for x in found.agg(F.sum("tokens"), F.sum("distinct")).first())
     per_block = found.filter("block <> -1").groupBy("block").agg(F.collect_list(F.struct("places", "totals")).alias("found"))
     base = store(blocks.select("block", "docs", "sizes", "tokens").join(per_block, "block").mapInArrow(_base, "doc_id long, n_tokens long, n_known long, logs double"))
 
-    symbols = int(docs.filter("train").select(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0)
-    rows = candidate_counts(blocks, n, symbols).toPandas()
-    tree = spark.sparkContext.broadcast(Tree(*(rows[c].to_numpy(np.int64) for c in ("d", "gram", "n"))))
+    drop(found)
+    texts = blocks.select("block", "docs", "symbols", "lengths", "train")
+    rows = texts.mapInArrow(_short_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    short = spark.sparkContext.broadcast(Short(*(rows[c].to_numpy(np.int64) for c in ("gram", "n"))))
+    packed = texts.mapInArrow(_gram_mapper(n), "part int, block long, grams binary, times binary")
+    logs = store(packed.groupBy("part").applyInArrow(_gram_reducer(short), "part int, block long, logs binary"))
+    per_block = logs.groupBy("block").agg(F.collect_list(F.struct("part", "logs")).alias("found"))
+    scores = store(texts.join(per_block, "block").mapInArrow(_adder(n), "doc_id long, score double"))
+    drop(logs)
     drop(blocks)
-    scores = docs.select("doc_id", "text").mapInArrow(_scorer(tree), "doc_id long, score double")
     joined = base.unionByName(scores, allowMissingColumns=True).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")))
     return joined.select(
         F.when(F.col("doc_id") != null, F.col("doc_id")).alias("doc_id"),

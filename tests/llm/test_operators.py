@@ -325,3 +325,50 @@ def test_pages_with_nulls(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in registry.QUERIES["op1_arc_to_warc"](spark, str(tmp_path)).collect()}
     assert got == {1: (9, "revisit", 2), 2: (9, "response", None), 3: (0, "revisit", 4), 4: (0, "response", None), None: (1, "response", None)}
+
+
+def tree_scores(docs, train, depth=5, least=2, divergence=3.0):
+    """Every text's log10 probability by its symbols' longest retained contexts, by brute force."""
+    stream = lambda t: b"\n" * depth + b" ".join(re.split(rb"[\x20\x09-\x0D]+", (t or "").translate(LOW).encode().strip(b" \t\n\x0b\x0c\r"))) + b"\n"
+    streams = {d: stream(t) for d, t in docs.items()}
+    after = defaultdict(Counter)
+    for d in train:
+        for i in range(depth, len(streams[d])):
+            for k in range(depth + 1):
+                after[streams[d][i - k : i]][streams[d][i]] += 1
+    smooth = {}
+
+    def p(c, x):
+        if (c, x) not in smooth:
+            n, total = after[c][x] if c in after else 0, sum(after[c].values()) if c in after else 0
+            kinds = len(after[c]) if c in after else 0
+            below = p(c[1:], x) if c else None
+            smooth[c, x] = (n + 1) / (total + 256) if not c else (kinds * below + n) / (total + kinds) if total >= least else below
+        return smooth[c, x]
+
+    kept = {}
+
+    def keeps(c):
+        if c not in kept:
+            total = sum(after[c].values()) if c in after else 0
+            kept[c] = not c or total >= least and sum(n * math.log(n / total / p(c[1:], x)) for x, n in after[c].items()) >= divergence
+        return kept[c]
+
+    return {d: sum(math.log10(p(next(s[i - k : i] for k in range(depth, -1, -1) if keeps(s[i - k : i])), s[i])) for i in range(depth, len(s))) for d, s in streams.items()}
+
+
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark):
+    """Three texts of their own alphabet among 700,000 other symbols are still learnt, as brute force says."""
+    from duotrace.llm.suffix_tree import score_texts
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    docs = {d: " ".join(rng.choice(words) for _ in range(1500)) for d in range(94)}
+    docs |= {k: "quartz vixen jumps" for k in (200, 201, 202)} | {203: "quartz jumps", 204: "", 205: None, 206: "Éa ZZ\n"}
+    train = {d for d in docs if d < 203 and d % 9}
+    assert sum(len(docs[d]) for d in train) * 5e-6 > 2.4
+    rows = spark.createDataFrame([(d, t, d in train) for d, t in docs.items()], "doc_id long, text string, t boolean")
+    got = {r["doc_id"]: r["score"] for r in score_texts(rows, rows["t"]).collect()}
+    want = tree_scores(docs, train)
+    assert got == pytest.approx(want, rel=1e-5)
+    assert got[203] > -12
