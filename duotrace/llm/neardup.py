@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     reps = full.join(members.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     reps = reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     reps = store(reps.select(F.col("doc_id").alias("id"), "component", *signed))
-    bodies = lambda ids: docs.withColumnRenamed("doc_id", "id").join(ids, "id")
+    # One row an id, however often it is repeated: its elements are counted against the size of its set.
+    bodies = lambda ids: docs.withColumnRenamed("doc_id", "id").join(ids, "id").groupBy("id").agg(F.first("text").alias("text"), F.first("component").alias("component"))
     more = untested(reps, _bands, n, pairs, bodies, lambda batch: _sets(batch.column("text"), words), percent)
     if more is not None:
         extra = _linked(more, sigs, docs, words, percent)

@@ -113,6 +113,28 @@ def test_near_duplicates_of_a_large_group(spark):
     assert len(set(want.values())) > 5
 
 
+def test_near_duplicates_of_a_large_group_with_repeated_rows(spark):
+    """Repeated rows change no link: components as brute force finds them."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(400):
+        w = list(base)
+        for _ in range(rng.choice((1, 1, 2, 3, 4, 5))):
+            w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    for d in range(400, 460):  # pairs apart from the group, close to each other
+        w = (rows[d - 1][1] if d % 2 else " ".join(base)).split()
+        for k in (range(0, 150, 25) if d % 2 == 0 else (12,)):
+            w[k] = f"y{rng.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    sets = {d: shingles(t, 5) for d, t in rows}
+    want = roots(sets, similar(sets, 80))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows * 8, "doc_id long, text string")).collect()}
+    assert got == want
+    assert len(set(want.values())) > 5
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     docs = awkward(spark)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs, words=3, percent=85).collect()}
