@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duotrace.config import YEAR_S, SearchConfig
 from duotrace.functions.expr import combine_arms, combine_channels, features, loglr
-from duotrace.functions.stats import poisson_table
+from duotrace.functions.stats import poisson_table, poisson_upper_large
 from duotrace.operators.cluster import family_bin
 from duotrace.operators.pairing import arm_stubs, coherence_stub
 
@@ -104,10 +104,10 @@ def detections(trig: DataFrame, background: DataFrame, fam: DataFrame, live: Dat
     spark = trig.sparkSession
     rows = count_louder(louder_families(trig, background, config), fam, "net", ["fold"], "n_net", inclusive=True)
     rows = rows.join(F.broadcast(live), "fold")
-    table = poisson_table(spark, 400)
+    table = poisson_table(spark, 400)  # larger counts have an expression
     for name in ("n_louder", "n_net"):
         ul = table.select(F.col("n").alias(name), F.col("ul").alias(f"ul_{name}"))
-        rows = rows.join(F.broadcast(ul), name, "left")
+        rows = rows.join(F.broadcast(ul), name, "left").withColumn(f"ul_{name}", F.coalesce(f"ul_{name}", poisson_upper_large(F.col(name))))
     lr_on, net_on = F.col("loglr") > config.lr_floor, F.col("net") >= config.net_floor
     rate = lambda on, x: F.when(on, F.col(x) / F.col("live_yr"))
     rows = rows.withColumn("far_lr", rate(lr_on, "n_louder")).withColumn("far_net", rate(net_on, "n_net"))

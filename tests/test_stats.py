@@ -19,3 +19,26 @@ def test_clopper_pearson():
     low, high = clopper_pearson(0, 10)
     assert low == 0.0 and high == pytest.approx(1 - 0.025**0.1, abs=1e-8)
     assert clopper_pearson(10, 10)[1] == 1.0
+
+
+def test_upper_limits_of_large_counts(spark):
+    from pyspark.sql import functions as F
+
+    from duotrace.functions.stats import poisson_upper_large
+
+    n = np.array([401, 1000, 5000])
+    got = spark.createDataFrame([(int(x),) for x in n], "n long").select("n", poisson_upper_large(F.col("n")).alias("ul")).orderBy("n").collect()
+    assert [r["ul"] for r in got] == pytest.approx(poisson_uppers(n, 0.1), abs=1e-6)
+
+
+def test_detections_have_limits_whatever_the_count(spark):
+    """1,000 louder families: both channels' limits are there, and the combined one is twice the lesser."""
+    from duotrace.operators.far import detections
+
+    trig = spark.createDataFrame([(0, 1, 0, 5.0, 4.5, 0.9, 0.9)], "seg long, idx long, fold int, loglr double, net double, hm double, lm double")
+    background = spark.createDataFrame([(0, 2, 4.0 * k, 6.0) for k in range(1000)], "fold int, bi long, gps_l double, loglr double")
+    for loud, least in ((3, poisson_uppers(np.array([3]), 0.1)[0]), (1500, poisson_uppers(np.array([1000]), 0.1)[0])):
+        fam = spark.createDataFrame([(0, 5.0)] * loud, "fold int, net double")
+        row = detections(trig, background, fam, spark.createDataFrame([(0, 2.0)], "fold int, live_yr double")).first()
+        assert (row["n_louder"], row["n_net"]) == (1000, loud)
+        assert row["best_ul"] == pytest.approx(2 * least / 2.0, rel=1e-8) and row["ul_lr"] is not None
