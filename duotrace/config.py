@@ -10,7 +10,7 @@ YEAR_S = 3.1557e7
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """Defaults are the values that the registered queries use."""
+    """Defaults are the values that the registered queries use; those named _full use FULL."""
 
     stride_s: float = 1.0
     #: Foreground cut on the network statistic (strict), and the gap in windows that separates clusters.
@@ -27,6 +27,8 @@ class SearchConfig:
     offset_step: int = 16
     min_self_offset: int = 64
     max_offsets: int = 10
+    #: Noise rows kept of each fold.
+    noise_cap: int = 500
     #: Width in seconds of a family of second-stream windows.
     family_s: float = 4.0
     #: A score below it marks a glitch in the foreground; background rows are kept strictly above it.
@@ -40,3 +42,7 @@ class SearchConfig:
     lr_beta: tuple[float, ...] = (-3.0, 1.2, 1.2, 0.8, -0.1, -0.1, 0.3, 0.3)
     #: Known events: name, segment, time.
     known_events: tuple[tuple[str, int, float], ...] = (("EV0", 0, 100.3), ("EV3", 3, 3000250.7))
+
+
+#: The reference's values for a whole search.
+FULL = SearchConfig(max_offsets=400, noise_cap=15_000)

@@ -7,3 +7,5 @@ from duotrace.plans import search, sensitivity
 MODULES = (search, sensitivity)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
+#: With the reference's caps; not all have SQL.
+FULL_QUERIES, FULL_ORACLES = search.FULL_QUERIES, search.FULL_ORACLES

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
-from duotrace.config import YEAR_S, SearchConfig
+from duotrace.config import FULL, YEAR_S, SearchConfig
 from duotrace.functions.expr import features, kept_by, loglr
 from duotrace.functions.stats import poisson_table
 from duotrace.operators import cluster, far, pairing
@@ -22,20 +24,20 @@ def _win(spark, d):
     return fx.windows(spark, d)
 
 
-def _slide(spark, d):
+def _slide(spark, d, config=CONFIG):
     win = _win(spark, d)
     segs = fx.segments(win)
-    return win, pairing.time_slide(win, pairing.pairings(segs, CONFIG), segs)
+    return win, pairing.time_slide(win, pairing.pairings(segs, config), segs)
 
 
 def _trig(spark, d):
     return far.with_scores(far.as_pairs(pairing.zero_lag(_win(spark, d)).filter(F.col("net") > 2.0)), CONFIG)
 
 
-def _clean(spark, d):
+def _clean(spark, d, config=CONFIG):
     """Slid pairs without those near known events."""
-    win, slide = _slide(spark, d)
-    return win, pairing.excise(slide, pairing.nearest_window(win, pairing.known_events(spark, CONFIG)), CONFIG)
+    win, slide = _slide(spark, d, config)
+    return win, pairing.excise(slide, pairing.nearest_window(win, pairing.known_events(spark, config)), config)
 
 
 def scan_streams(spark, d):
@@ -70,12 +72,12 @@ def topk_triggers(spark, d):
     return rounded(pairing.zero_lag(_win(spark, d)), "net").orderBy(F.desc("net"), "seg", "idx").limit(8).select("seg", "idx", "net")
 
 
-def pairings(spark, d):
-    return pairing.pairings(fx.segments(_win(spark, d)), CONFIG).select("ai", "bi", "off", "fold")
+def pairings(spark, d, config=CONFIG):
+    return pairing.pairings(fx.segments(_win(spark, d)), config).select("ai", "bi", "off", "fold")
 
 
-def time_slide_join(spark, d):
-    _, slide = _slide(spark, d)
+def time_slide_join(spark, d, config=CONFIG):
+    _, slide = _slide(spark, d, config)
     out = slide.groupBy("ai", "bi", "off").agg(F.count("*").alias("n"), F.count_if(F.col("net") >= 3.0).alias("n_loud"), F.max("net").alias("max_net"))
     return rounded(out, "max_net")
 
@@ -84,40 +86,40 @@ def nearest_event(spark, d):
     return pairing.nearest_window(_win(spark, d), pairing.known_events(spark, CONFIG))
 
 
-def excision_antijoin(spark, d):
-    _, clean = _clean(spark, d)
+def excision_antijoin(spark, d, config=CONFIG):
+    _, clean = _clean(spark, d, config)
     return clean.groupBy("ai", "bi").agg(F.count("*").alias("n_kept"))
 
 
-def livetime(spark, d):
-    _, clean = _clean(spark, d)
-    return clean.groupBy("fold").agg(F.count("*").alias("n_pairs"), F.round(F.count("*") * (CONFIG.stride_s * 0.5 / YEAR_S), 9).alias("live_yr"))
+def livetime(spark, d, config=CONFIG):
+    _, clean = _clean(spark, d, config)
+    return clean.groupBy("fold").agg(F.count("*").alias("n_pairs"), F.round(F.count("*") * (config.stride_s * 0.5 / YEAR_S), 9).alias("live_yr"))
 
 
-def bounded_prune(spark, d):
-    _, clean = _clean(spark, d)
-    return rounded(far.tripwire(far.bounded_prune(clean, CONFIG), CONFIG), "loglr").select("fold", "ai", "ih", "bi", "il", "loglr")
+def bounded_prune(spark, d, config=CONFIG):
+    _, clean = _clean(spark, d, config)
+    return rounded(far.tripwire(far.bounded_prune(clean, config), config), "loglr").select("fold", "ai", "ih", "bi", "il", "loglr")
 
 
-def family_max(spark, d):
-    _, clean = _clean(spark, d)
-    return rounded(cluster.family_max(clean, CONFIG), "net")
+def family_max(spark, d, config=CONFIG):
+    _, clean = _clean(spark, d, config)
+    return rounded(cluster.family_max(clean, config), "net")
 
 
-def louder_families(spark, d):
-    _, clean = _clean(spark, d)
-    return rounded(far.louder_families(_trig(spark, d), far.bounded_prune(clean, CONFIG), CONFIG), "loglr").select("seg", "idx", "loglr", "n_louder")
+def louder_families(spark, d, config=CONFIG):
+    _, clean = _clean(spark, d, config)
+    return rounded(far.louder_families(_trig(spark, d), far.bounded_prune(clean, config), config), "loglr").select("seg", "idx", "loglr", "n_louder")
 
 
-def per_arm_far(spark, d):
-    _, clean = _clean(spark, d)
-    trig = _trig(spark, d).filter(F.col("net") > CONFIG.net_cut)
-    return far.per_arm(trig, far.bounded_prune(clean, CONFIG), CONFIG).select("seg", "idx", "n_hm", "n_lm")
+def per_arm_far(spark, d, config=CONFIG):
+    _, clean = _clean(spark, d, config)
+    trig = _trig(spark, d).filter(F.col("net") > config.net_cut)
+    return far.per_arm(trig, far.bounded_prune(clean, config), config).select("seg", "idx", "n_hm", "n_lm")
 
 
-def net_channel_far(spark, d):
-    _, clean = _clean(spark, d)
-    out = far.count_louder(_trig(spark, d), cluster.family_max(clean, CONFIG), "net", ["fold"], "n_net", inclusive=True)
+def net_channel_far(spark, d, config=CONFIG):
+    _, clean = _clean(spark, d, config)
+    out = far.count_louder(_trig(spark, d), cluster.family_max(clean, config), "net", ["fold"], "n_net", inclusive=True)
     return rounded(out, "net").select("seg", "idx", "net", "n_net")
 
 
@@ -125,10 +127,10 @@ def poisson_ul(spark, d):
     return rounded(poisson_table(spark, 20), "ul", "low", "high")
 
 
-def best_far_detections(spark, d):
-    _, clean = _clean(spark, d)
-    out = far.detections(_trig(spark, d), far.bounded_prune(clean, CONFIG), cluster.family_max(clean, CONFIG), far.livetime(clean, CONFIG), CONFIG, upper_too=False)
-    rates = ["far_lr", "far_net", "best_far"]
+def best_far_detections(spark, d, config=CONFIG, upper_too=False):
+    _, clean = _clean(spark, d, config)
+    out = far.detections(_trig(spark, d), far.bounded_prune(clean, config), cluster.family_max(clean, config), far.livetime(clean, config), config, upper_too=upper_too)
+    rates = ["far_lr", "far_net", "best_far"] + ["best_ul"] * upper_too
     return out.select("seg", "idx", *(F.round(c, 1).alias(c) for c in rates), "channel", "is_glitch", "detected")
 
 
@@ -137,21 +139,21 @@ def kept_by_label(spark, d):
     return out
 
 
-def pair_dedup_dominance(spark, d):
-    _, clean = _clean(spark, d)
-    rows = far.bounded_prune(clean, CONFIG).withColumn("l1bin", cluster.family_bin(F.col("gps_l"), CONFIG))
+def pair_dedup_dominance(spark, d, config=CONFIG):
+    _, clean = _clean(spark, d, config)
+    rows = far.bounded_prune(clean, config).withColumn("l1bin", cluster.family_bin(F.col("gps_l"), config))
     fam = rows.groupBy("fold", "bi", "l1bin").agg(F.count("*").alias("n"))
     sums = fam.groupBy("fold").agg(F.sum("n").alias("n_raw"), F.count("*").alias("n_l1"), F.max("n").alias("most"))
-    dedup = rows.select("fold", "ai", F.floor(F.col("gps_h") / CONFIG.family_s).alias("h1bin"), "bi", "l1bin").distinct().groupBy("fold").agg(F.count("*").alias("n_dedup"))
+    dedup = rows.select("fold", "ai", F.floor(F.col("gps_h") / config.family_s).alias("h1bin"), "bi", "l1bin").distinct().groupBy("fold").agg(F.count("*").alias("n_dedup"))
     out = sums.join(dedup, "fold").withColumn("dominance", F.round(F.col("most") / F.col("n_raw"), R))
     limit = (F.col("n_l1") <= 2) | (F.col("dominance") > 0.5)
     return out.select("fold", "n_raw", "n_dedup", "n_l1", "dominance", limit.alias("upper_limit"))
 
 
-def coherence_ceiling(spark, d):
+def coherence_ceiling(spark, d, config=CONFIG):
     """Largest coherence of the noise, its 99th percentile, the mean excess above that, and the ceiling from both."""
-    _, slide = _slide(spark, d)
-    noise = far.with_scores(slide.filter(F.col("net") >= 3.0), CONFIG).select("coh")
+    _, slide = _slide(spark, d, config)
+    noise = far.with_scores(slide.filter(F.col("net") >= 3.0), config).select("coh")
     top = noise.agg(F.max("coh").alias("most"), F.percentile("coh", 0.99).alias("p99"), F.count("*").alias("n"))
     out = noise.join(F.broadcast(top)).groupBy("most", "p99", "n").agg(F.avg(F.when(F.col("coh") > F.col("p99"), F.col("coh") - F.col("p99"))).alias("excess"))
     reach = F.col("p99") + F.col("excess") * F.log(F.col("n") * 0.01 * 100)
@@ -172,14 +174,14 @@ def coherence_maxlag(spark, d):
     return h.join(low, ["seg", "idx"]).select("seg", "idx", F.round(best / energy, 5).alias("coh"))
 
 
-def noise_sample_cap(spark, d):
-    """Up to 500 noise rows of each fold, those of least arithmetic hash."""
+def noise_sample_cap(spark, d, config=CONFIG):
+    """Up to noise_cap noise rows of each fold, those of least arithmetic hash."""
     from pyspark.sql import Window
 
-    _, clean = _clean(spark, d)
+    _, clean = _clean(spark, d, config)
     mark = (F.col("ih") * 7919 + F.col("il") * 104729 + F.col("ai") * 1299709 + F.col("bi") * 15485863) % 1000003
     rank = F.row_number().over(Window.partitionBy("fold").orderBy("mark", "ai", "ih", "bi", "il"))
-    rows = clean.filter(F.col("net") >= 3.0).withColumn("mark", mark).withColumn("rank", rank).filter(F.col("rank") <= 500)
+    rows = clean.filter(F.col("net") >= 3.0).withColumn("mark", mark).withColumn("rank", rank).filter(F.col("rank") <= config.noise_cap)
     return rows.select("fold", "ai", "ih", "bi", "il")
 
 
@@ -192,6 +194,14 @@ QUERIES = {
     )
 }
 
+# The queries that slide, with the reference's caps; detections need their upper limits below the threshold too.
+SLIDING = (
+    pairings, time_slide_join, excision_antijoin, livetime, bounded_prune, family_max, louder_families, per_arm_far, net_channel_far, pair_dedup_dominance, coherence_ceiling,
+    noise_sample_cap,
+)
+FULL_QUERIES = {f"{f.__name__}_full": partial(f, config=FULL) for f in SLIDING}
+FULL_QUERIES["best_far_detections_full"] = partial(best_far_detections, config=FULL, upper_too=True)
+
 # SQL of the same rows, for DuckDB.
 _WIN = f"""
 raw AS (SELECT user_id % 8 AS seg, CASE WHEN event_id % 2 = 0 THEN 'H1' ELSE 'L1' END AS det, ts, event_id, value,
@@ -303,3 +313,8 @@ ORACLES = {
     ),
 }
 ORACLES = {k: v.replace("WITH , ", "WITH ").replace(f"{_ALL} , ", f"{_ALL}, ") for k, v in ORACLES.items()}
+#: The others compare all pairs of triggers and background in SQL, too slowly at these sizes; tests count by brute force.
+FULL_ORACLES = {
+    f"{k}_full": ORACLES[k].replace("off) <= 10)", f"off) <= {FULL.max_offsets})").replace("<= 500", f"<= {FULL.noise_cap}")
+    for k in ("pairings", "time_slide_join", "excision_antijoin", "livetime", "bounded_prune", "family_max", "pair_dedup_dominance", "coherence_ceiling", "noise_sample_cap")
+}
