@@ -1,7 +1,6 @@
-"""Candidate pairs from band keys, without all pairs of a band.
+"""Candidate pairs from band keys, and which of them to test so that no link is lost, without all pairs of a band.
 
-A function `bands(batch)` gives, for a batch of items, three arrays of equal length: the item's number, a 64-bit band key
-and a small number that the caller needs with the pair (0 if none).
+A function `bands(batch)` gives, for a batch of items, two arrays of equal length: the item's number and a 64-bit band key.
 """
 
 from __future__ import annotations
@@ -13,15 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import store
+from ._graph import components
+from ._io import drop, parts_for, store
 from ._packed import Packer, exchange, groups, schema, unpack
 from ._text import mix
 
 U = np.uint64
 #: Entries that a mapper lets meet before it sends.
 MEET_ROWS = 2_000_000
-#: Bands that need a second look are joined by broadcast up to this many (8 bytes each).
+#: Keys of bands that need a second look are broadcast up to this many (8 bytes each); more are joined.
 BROADCAST_ROWS = 1_000_000
+#: Bands of up to this many items are tested in pairs, and postings of differences with up to this many items that probe them.
+LEAF = 16
+#: Larger ones are split by differences from a pivot, and what is still large again, this many times before its pairs are tested as they are.
+ROUNDS = 6
 
 
 def _meeting(bands: Callable, most: int = MEET_ROWS):
@@ -40,33 +44,38 @@ def _meeting(bands: Callable, most: int = MEET_ROWS):
             yield sort(held)
 
     def sort(held):
-        item, key, tag = (np.concatenate(x) for x in zip(*held))
+        item, key = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((item, key))
-        return item[order], key[order], tag[order]
+        return item[order], key[order]
 
     return run
 
 
-PAIRS = pa.schema([("part", pa.int32()), ("c0", pa.binary()), ("c1", pa.binary()), ("c2", pa.binary())])
+PAIRS = pa.schema([("part", pa.int32()), ("c0", pa.binary()), ("c1", pa.binary())])
 
 
 def _star_mapper(bands: Callable, n_parts: int):
     """Bands meet first inside a mapper: members there are paired with their least one, which alone travels on."""
 
     def run(batches):
-        packer = Packer(n_parts, 4)
-        for item, key, tag in _meeting(bands)(batches):
+        packer = Packer(n_parts, 3)
+        for item, key in _meeting(bands)(batches):
             lo, hi = groups(key)
-            pivot = np.repeat(item[lo], hi - lo)
-            off = pivot != item
-            pairs = np.unique(np.stack([pivot[off], item[off], tag[off].astype(np.int64)], axis=1), axis=0)
-            yield from packer.add(key[lo], key[lo], item[lo], tag[lo].astype(np.int8), np.zeros(len(lo), np.int8))
-            yield from packer.add(_spread(pairs), pairs[:, 0].view(U), pairs[:, 1], pairs[:, 2].astype(np.int8), np.ones(len(pairs), np.int8))
+            pairs = _star(item, lo, hi)
+            yield from packer.add(key[lo], key[lo], item[lo], np.zeros(len(lo), np.int8))
+            yield from packer.add(_spread(pairs), pairs[:, 0].view(U), pairs[:, 1], np.ones(len(pairs), np.int8))
         yield from packer.flush()
 
     return run
 
 
+def _star(item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Each group's members paired with its first."""
+    pivot = np.repeat(item[lo], hi - lo) if len(lo) else item[:0]
+    off = pivot != item
+    return np.unique(np.stack([pivot[off], item[off]], axis=1), axis=0)
+
+
 def _spread(pairs: np.ndarray) -> np.ndarray:
     return mix(np.ascontiguousarray(pairs[:, 0]).view(U) ^ mix(np.ascontiguousarray(pairs[:, 1]).view(U)))
 
@@ -75,183 +84,211 @@ def _star_reducer(n_parts: int):
     """Pairs of the bands that end here, packed by pair: one pair may come from many bands."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, tag, done = unpack(table, U, np.int64, np.int8, np.int8)
+        x, y, done = unpack(table, U, np.int64, np.int8)
         open_ = done == 0
         order = np.lexsort((y[open_], x[open_]))
-        k, d, t = x[open_][order], y[open_][order], tag[open_][order]
-        lo, hi = groups(k)
-        pivot = np.repeat(d[lo], hi - lo)
-        off = pivot != d
-        pairs = np.concatenate([np.stack([pivot[off], d[off], t[off]], axis=1), np.stack([x[~open_].view(np.int64), y[~open_], tag[~open_]], axis=1)])
+        k, d = x[open_][order], y[open_][order]
+        pairs = np.concatenate([_star(d, *groups(k)), np.stack([x[~open_].view(np.int64), y[~open_]], axis=1)])
         pairs = np.ascontiguousarray(np.unique(pairs, axis=0))
-        packer = Packer(n_parts, 3)
-        batches = [*packer.add(_spread(pairs), pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.int8)), *packer.flush()]
+        packer = Packer(n_parts, 2)
+        batches = [*packer.add(_spread(pairs), pairs[:, 0], pairs[:, 1]), *packer.flush()]
         return pa.Table.from_batches(batches, PAIRS)
 
     return run
 
 
 def _pair_rows(table: pa.Table) -> pa.Table:
-    a, b, tag = unpack(table, np.int64, np.int64, np.int8)
-    order = np.lexsort((tag, b, a))
-    a, b, tag = a[order], b[order], tag[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.table({"a": pa.array(a[new], pa.int64()), "b": pa.array(b[new], pa.int64()), "p": pa.array(tag[new].astype(np.int32), pa.int32())})
+    pairs = np.unique(np.stack(unpack(table, np.int64, np.int64), axis=1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def candidates(items: DataFrame, bands: Callable, n_parts: int) -> DataFrame:
-    """(a, b, p), each pair once: a band's members paired with its least one (in two steps, so a hot band never meets in one task)."""
-    packed = exchange(items, _star_mapper(bands, n_parts), 4, _star_reducer(n_parts), schema(3))
-    return packed.groupBy("part").applyInArrow(_pair_rows, "a long, b long, p int")
+    """(a, b), each pair once: a band's members paired with its least one (in two steps, so a hot band never meets in one task)."""
+    packed = exchange(items, _star_mapper(bands, n_parts), 3, _star_reducer(n_parts), schema(2))
+    return packed.groupBy("part").applyInArrow(_pair_rows, "a long, b long")
+
+
+def _looked_up(batch, item: np.ndarray, column: str) -> np.ndarray:
+    ids = np.asarray(batch.column("id"))
+    order = np.argsort(ids, kind="stable")
+    return np.asarray(batch.column(column))[order[np.searchsorted(ids[order], item)]]
 
 
 def _mixed_mapper(bands: Callable, n_parts: int):
+    """A mapper sends a band's count of items, and its least and greatest component, not the items."""
+
     def run(batches):
-        packer = Packer(n_parts, 2)
-        for comp, key, _ in _meeting(bands)(batches):
+        packer = Packer(n_parts, 4)
+        for comp, key in _meeting(bands)(batches):
             lo, hi = groups(key)
-            two = comp[lo] != comp[hi - 1]
-            keys, comps = np.concatenate((key[lo], key[lo][two])), np.concatenate((comp[lo], comp[hi - 1][two]))
-            yield from packer.add(keys, keys, comps)
+            yield from packer.add(key[lo], key[lo], comp[lo], comp[hi - 1], hi - lo)
         yield from packer.flush()
 
     return run
 
 
 def _mixed_reducer(table: pa.Table) -> pa.Table:
-    key, comp = unpack(table, U, np.int64)
-    order = np.lexsort((comp, key))
-    key, comp = key[order], comp[order]
-    lo, hi = groups(key)
-    keep = key[lo][comp[lo] != comp[hi - 1]] if len(lo) else key
-    return pa.table({"key": pa.array(keep.view(np.int64), pa.int64())})
+    key, low, high, n = unpack(table, U, np.int64, np.int64, np.int64)
+    order = np.argsort(key, kind="stable")
+    key, low, high, n = key[order], low[order], high[order], n[order]
+    lo, _ = groups(key)
+    if not len(lo):
+        return pa.table({"key": pa.array([], pa.int64())})
+    keep = (np.add.reduceat(n, lo) > 2) & (np.minimum.reduceat(low, lo) != np.maximum.reduceat(high, lo))
+    return pa.table({"key": pa.array(key[lo][keep].view(np.int64), pa.int64())})
 
 
-def _looked_up(batch, item: np.ndarray, column: str) -> np.ndarray:
-    ids = np.asarray(batch.column("id"))
-    order = np.argsort(ids, kind="stable")
-    return np.asarray(batch.column(column))[order[np.searchsorted(ids[order], item)]]
-
-
-def _rows(bands: Callable):
-    """Band entries as rows."""
+def _rows(bands: Callable, wanted=None):
+    """Band entries as rows; those of the wanted keys, if given."""
 
     def run(batches):
         for batch in batches:
-            item, key, tag = bands(batch)
-            comp = _looked_up(batch, item, "component")
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), pa.array(item, pa.int64()), pa.array(comp, pa.int64()), pa.array(tag.astype(np.int32), pa.int32())], names=["key", "item", "comp", "p"])
+            item, key = bands(batch)
+            if wanted is not None:
+                keys = wanted.value
+                at = np.searchsorted(keys, key)
+                at[at == len(keys)] = 0
+                good = keys[at] == key
+                item, key = item[good], key[good]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), pa.array(item, pa.int64())], names=["key", "item"])
 
     return run
 
 
-def _listed(bands: Callable, wanted):
-    """A row for each item with a band among the wanted keys: its component and those bands."""
+def _mixed(items: DataFrame, bands: Callable) -> DataFrame | None:
+    """(key, item) of the bands that hold three items or more and several components. items: stored, with `id` and `component`."""
+    n_parts = parts_for(items.sparkSession, items.count() * 64 * 32)
 
-    def run(batches):
-        keys = wanted.value
-        for batch in batches:
-            item, key, tag = bands(batch)
-            at = np.searchsorted(keys, key)
-            at[at == len(keys)] = 0
-            good = np.flatnonzero(keys[at] == key)
-            good = good[np.argsort(item[good], kind="stable")]
-            item, key, tag = item[good], key[good], tag[good]
-            lo, hi = groups(item)
-            cuts = pa.array(np.append(lo, len(item)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(item[lo], pa.int64()), pa.array(_looked_up(batch, item[lo], "component"), pa.int64()),
-                    pa.ListArray.from_arrays(cuts, pa.array(key.view(np.int64), pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(tag.astype(np.int32), pa.int32())),
-                ],
-                names=["item", "comp", "keys", "ps"],
-            )
+    def by_component(batch):
+        item, key = bands(batch)
+        return _looked_up(batch, item, "component"), key
 
-    return run
+    mixed = store(exchange(items, _mixed_mapper(by_component, n_parts), 4, _mixed_reducer, "key long"))
+    few = mixed.count()
+    if not few:
+        return None
+    if few <= BROADCAST_ROWS:
+        wanted = items.sparkSession.sparkContext.broadcast(np.sort(mixed.toArrow().column("key").to_numpy().view(U)))
+        return store(items.mapInArrow(_rows(bands, wanted), "key long, item long"))
+    return store(items.mapInArrow(_rows(bands), "key long, item long").join(mixed, "key", "left_semi"))
 
 
-def _set_mapper(sets: Callable, n_parts: int):
-    """Every item's set elements, with the set's size and the item's component on the way."""
+def _diffs(sets: Callable, percent: int):
+    """For rows (p, item, t_p, t_item): sizes of both sets, and the elements that the item's has beyond p's, then those it lacks, each sorted."""
 
     def run(batches):
-        packer = Packer(n_parts, 4)
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            lists = sets(batch)
-            ids, comps, sizes = np.asarray(batch.column("id")), np.asarray(batch.column("component")), np.array([len(x) for x in lists], np.int64)
-            h = np.concatenate([np.zeros(0, U), *lists])
-            yield from packer.add(mix(h), h, np.repeat(ids, sizes), np.repeat(comps, sizes), np.repeat(sizes, sizes).astype(np.uint32))
-        yield from packer.flush()
+            p, texts = batch.column(0).to_pylist(), batch.column(2)
+            new = [i for i, x in enumerate(p) if x not in known and (i == 0 or p[i - 1] != x)]
+            known = {x: known[x] for x in set(p) if x in known}
+            known |= {p[i]: s for i, s in zip(new, sets(texts.take(pa.array(new, pa.int64()))))}
+            n_p, n, added, lacking = [], [], [], []
+            for x, s in zip(p, sets(batch.column(3))):
+                base = known[x]
+                n_p.append(len(base)), n.append(len(s))
+                added.append(np.setdiff1d(s, base, assume_unique=True).view(np.int64)), lacking.append(np.setdiff1d(base, s, assume_unique=True).view(np.int64))
+            size = np.array([len(a) + len(b) for a, b in zip(added, lacking)], np.int64)
+            # weight <= 100 - percent times n_p: similar to p. Two items are similar if and only if they share at least (weight + weight) / (2 * (100 + percent)) differences.
+            weight = (100 + percent) * size - (100 - percent) * np.array(n, np.int64)
+            lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), pa.array(weight > (100 - percent) * np.array(n_p, np.int64)), lists(added), lists(lacking)], names=["p", "item", "weight", "misfit", "added", "lacking"])
 
     return run
 
 
-def _alone_reducer(n_parts: int):
-    """For each item, how many of its elements that end here no other component has; packed by item."""
+def _postings(percent: int):
+    """For rows (p, item, weight, misfit, added, lacking, low, low_misfit): (key, item, probe, listed), a row for each difference that a partner must share one of.
 
-    def run(table: pa.Table) -> pa.Table:
-        h, item, comp, size = unpack(table, U, np.int64, np.int64, np.uint32)
-        order = np.lexsort((comp, h))
-        h, item, comp, size = h[order], item[order], comp[order], size[order]
-        lo, hi = groups(h)
-        alone = np.repeat(comp[lo] == comp[hi - 1], hi - lo)
-        order = np.argsort(item, kind="stable")
-        item, size, alone = item[order], size[order], alone[order]
-        lo, _ = groups(item)
-        packer = Packer(n_parts, 3)
-        sums = np.add.reduceat(alone.astype(np.int64), lo) if len(lo) else np.zeros(0, np.int64)
-        return pa.Table.from_batches([*packer.add(mix(item[lo].view(U)), item[lo], size[lo], sums.astype(np.uint32)), *packer.flush()], PAIRS)
+    Of at least `need` shared differences, one lies among the first size - need + 1 of either item's in any common order;
+    added ones come first, being rarer. A link not yet found has a misfit on one side, which probes.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys, items, probes, listed = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
+            p, item, weight, misfit, low, low_misfit = (batch.column(c).to_pylist() for c in ("p", "item", "weight", "misfit", "low", "low_misfit"))
+            for k, (added, lacking) in enumerate(zip(batch.column("added"), batch.column("lacking"))):
+                h = np.concatenate((added.values.to_numpy(zero_copy_only=False), lacking.values.to_numpy(zero_copy_only=False))).astype(np.int64).view(U)
+                first = lambda other: len(h) - max(1, -(-(weight[k] + other) // (2 * (100 + percent)))) + 1  # noqa: B023, E731
+                as_listed = max(first(low_misfit[k]), 0)
+                n = max(first(low[k]), as_listed) if misfit[k] else as_listed
+                keys.append(mix(h[:n] ^ mix(np.array([p[k]], np.int64).view(U)))), items.append(np.full(n, item[k]))
+                probes.append(np.full(n, misfit[k])), listed.append(np.arange(n) < as_listed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(items)), pa.array(np.concatenate(probes)), pa.array(np.concatenate(listed))],
+                names=["key", "item", "probe", "listed"],
+            )
 
     return run
 
 
-def _alone_rows(table: pa.Table) -> pa.Table:
-    item, size, alone = unpack(table, np.int64, np.uint32, np.uint32)
-    order = np.argsort(item, kind="stable")
-    item, size, alone = item[order], size[order].astype(np.int64), alone[order].astype(np.int64)
-    lo, _ = groups(item)
-    sums = np.add.reduceat(alone, lo) if len(lo) else alone
-    return pa.table({"item": pa.array(item[lo], pa.int64()), "n": pa.array(size[lo], pa.int64()), "alone": pa.array(sums, pa.int64())})
+def _labelled(rows: DataFrame, found: DataFrame, column: str = "item") -> DataFrame:
+    """rows with the component of the item (its own number, if it has no link)."""
+    return rows.join(found.withColumnRenamed("node", column), column, "left").withColumn("component", F.coalesce("component", column))
 
 
-def untested(items: DataFrame, bands: Callable, n_parts: int, tested: DataFrame, bodies: Callable[[DataFrame], DataFrame], sets: Callable, percent: int) -> DataFrame | None:
-    """(a, b, p): pairs that share a band, lie in different components, aren't in `tested` and may reach the threshold.
+def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) of rows (key, item, component) that meet by key and differ in component."""
+    sides = [df.select("key", F.col("item").alias(x), F.col("component").alias(f"c_{x}")) for df, x in ((left, "x"), (right, "y"))]
+    met = sides[0].join(sides[1], "key").filter("c_x <> c_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    items: stored, with `id`, `component` and what bands() reads. bodies(ids) joins (id, component) to what sets() reads, and
-    sets(batch) each row's set of 64-bit numbers. None if no band holds two components.
 
-    Elements that no other component of these items has bound a pair's similarity: with m = the lesser of the two sets'
-    other elements, it is at most m / (sum of sizes - m). A band's items that can't reach the threshold with any of its others are left
-    out, and if then one component is left, the band; so a large group of near copies isn't paired with its misfits.
-    """
+def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of all items with a link: components as if every pair of every band had been tested.
 
-    def by_component(batch):
-        item, key, tag = bands(batch)
-        return _looked_up(batch, item, "component"), key, tag
+    items: stored, with `id` and what bands() reads; those of `tested`, the stored pairs (a, b) of each band with its least member,
+    of which `links` are similar. texts(ids) joins `id` to the text that sets() makes sets of; verify(pairs) keeps similar pairs.
 
-    mixed = store(exchange(items, _mixed_mapper(by_component, n_parts), 2, _mixed_reducer, "key long"))
-    few = mixed.count()
-    if not few:
-        return None
-    if few <= BROADCAST_ROWS:
-        wanted = items.sparkSession.sparkContext.broadcast(np.sort(mixed.toPandas()["key"].to_numpy(np.int64).view(U)))
-        listed = store(items.mapInArrow(_listed(bands, wanted), "item long, comp long, keys array<long>, ps array<int>"))
-    else:
-        rows = items.mapInArrow(_rows(bands), "key long, item long, comp long, p int").join(mixed, "key", "left_semi")
-        listed = store(rows.groupBy("item", "comp").agg(F.collect_list(F.struct("key", "p")).alias("e")).select("item", "comp", F.col("e.key").alias("keys"), F.col("e.p").alias("ps")))
-    needed = bodies(listed.select(F.col("item").alias("id"), F.col("comp").alias("component")))
-    sized = exchange(needed, _set_mapper(sets, n_parts), 4, _alone_reducer(n_parts), schema(3)).groupBy("part").applyInArrow(_alone_rows, "item long, n long, alone long")
-    # A set's partner has percent / 100 of its size at least, so an item that can't reach even that one leaves before its bands become rows.
-    slack = (100 + percent) * (F.col("n") - F.col("alone")) - percent * F.col("n")
-    able = listed.join(store(sized), "item").withColumn("slack", slack).filter(100 * F.col("slack") >= percent * percent * F.col("n"))
-    rows = store(able.select("item", "comp", "n", "slack", F.explode(F.arrays_zip("keys", "ps")).alias("e")).select("e.keys", "item", "comp", F.col("e.ps").alias("p"), "n", "slack").withColumnRenamed("keys", "key"))
-    # slack >= percent * the other's size, for both, is the bound in whole numbers.
-    best = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("slack").alias("most"))
-    rows = store(rows.join(store(best), "key").filter((F.col("slack") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).drop("least", "most"))
-    still = store(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key"))
-    rows = store(rows.join(still, "key", "left_semi"))
-    left = rows.select("key", F.col("item").alias("a"), F.col("comp").alias("c_a"), F.col("n").alias("n_a"), F.col("slack").alias("s_a"), "p")
-    right = rows.select("key", F.col("item").alias("b"), F.col("comp").alias("c_b"), F.col("n").alias("n_b"), F.col("slack").alias("s_b"))
-    near = (F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b")) & (F.col("s_a") >= percent * F.col("n_b")) & (F.col("s_b") >= percent * F.col("n_a"))
-    pairs = left.join(right, "key").filter(near).groupBy("a", "b").agg(F.min("p").alias("p"))
-    return store(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    Bands of up to LEAF items that hold several components have their pairs across components tested. In a larger one a pivot
+    is chosen, the item whose bands are fullest (in a group of copies, the text that the others were made of or one very
+    near it). Every member's differences from the pivot are found exactly. Two members are similar if and only if they share
+    enough differences, so those not yet linked meet by the rarer of these, not by the band; postings of differences that
+    are still large are split by a pivot of their own. So the work goes with the members and their differences.
+    """
+    spark = items.sparkSession
+    found = components(links)
+    labelled = store(_labelled(items, found, "id"))
+    nodes = _mixed(labelled, bands)
+    drop(labelled)
+    for turn in range(ROUNDS + 1):
+        if nodes is None:
+            break
+        rows = _labelled(nodes, found)
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key", "n")
+        rows = store(rows.join(sizes, "key"))
+        leaf = F.lit(True) if turn == ROUNDS else F.col("n") <= LEAF
+        small, large = rows.filter(leaf), rows.filter(~leaf)
+        more, again = _across(small, small), None
+        if not large.isEmpty():
+            full = large.groupBy("item").agg(F.sum("n").alias("full"))
+            pivots = large.join(full, "item").groupBy("key").agg(F.max(F.struct("full", (-F.col("item")).alias("item"))).alias("m")).select("key", (-F.col("m.item")).alias("p"))
+            met = store(large.join(pivots, "key").filter("p <> item").select("p", "item").distinct())
+            body = store(texts(met.select(F.col("p").alias("id")).unionByName(met.select(F.col("item").alias("id"))).distinct()))
+            side = lambda x: body.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))  # noqa: B023, E731
+            both = met.join(side("item"), "item").join(side("p"), "p").select("p", "item", "t_p", "t_item")
+            diffs = store(both.mapInArrow(_diffs(sets, percent), "p long, item long, weight long, misfit boolean, added array<long>, lacking array<long>"))
+            drop(body), drop(met)
+            links = links.unionByName(diffs.filter("not misfit").select(F.least("p", "item").alias("a"), F.greatest("p", "item").alias("b")))
+            found = components(links)
+            lows = diffs.groupBy("p").agg(F.min("weight").alias("low"), F.min(F.when(F.col("misfit"), F.col("weight"))).alias("low_misfit")).filter("low_misfit is not null")
+            posted = store(diffs.join(lows, "p").select("p", "item", "weight", "misfit", "added", "lacking", "low", "low_misfit").mapInArrow(_postings(percent), "key long, item long, probe boolean, listed boolean"))
+            per = posted.groupBy("key").agg(F.count("*").alias("n"), F.count_if("probe").alias("m")).filter("n > 1 and m > 0")
+            posted, before = store(_labelled(posted.join(per, "key"), found)), posted
+            drop(before)
+            per = posted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+            posted = posted.join(per, "key", "left_semi")
+            few = F.col("m") <= LEAF
+            more = more.unionByName(_across(posted.filter(few & F.col("probe")), posted.filter(few & F.col("listed")))).distinct()
+            again = store(posted.filter(~few).select("key", "item"))
+            again = None if again.isEmpty() else again
+        more = store(more.join(tested, ["a", "b"], "left_anti"))
+        drop(rows), drop(nodes)
+        nodes = again
+        new = verify(more)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = components(links)
+        tested = tested.unionByName(more)
+    return found

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ._io import drop, store
 
-#: Links that a task merges at a time; the table of links is kept in as many tasks as that gives, LEAST_TASKS at least.
-MERGE_ROWS, LEAST_TASKS = 100_000, 8
+#: Links that a task merges at a time; the table of links is kept in as many tasks as that gives.
+MERGE_ROWS = 200_000
 
 
 def _merged(batches):
@@ -54,23 +54,25 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) pairs of numbers to (node, component): the least node that each node reaches. Only nodes with a link are listed.
+    """(a, b) pairs of numbers to a stored (node, component): the least node that each node reaches. Only nodes with a link are listed.
 
     A distributed union-find: each task first merges the links it holds, a bounded run at a time, then large and small star
     steps join what different tasks found, until every node is linked to its least one alone. Each step joins and groups by
-    node, so no component is held in one place. The local merging saves rounds, and no step drops a link.
+    node, so no component is held in one place. The local merging saves rounds, and no step drops a link; what one run can
+    merge needs no step.
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tasks = max(LEAST_TASKS, -(-links.count() // MERGE_ROWS))
-    merged = lambda df: store(df.coalesce(tasks).mapInArrow(_merged, "a long, b long"))
-    now = merged(links)
-    mark = None
-    while True:
-        new = merged(_stars(_stars(now, True), False))
+    tasks = -(-links.count() // MERGE_ROWS)
+    merged = lambda df: df.coalesce(max(tasks, 1)).mapInArrow(_merged, "a long, b long")
+    now, mark = store(merged(links)), None
+    while tasks > 1:
+        new = store(merged(_stars(_stars(now, True), False)))
         drop(now)
         now = new
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             break
         mark = seen
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = store(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    drop(now)
+    return out

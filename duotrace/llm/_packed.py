@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: A mapper sends what it has gathered once it holds this many entries.
-FLUSH_ROWS = 4_000_000
+FLUSH_ROWS = 2_000_000
 
 
 def schema(n: int) -> str:

@@ -19,12 +19,17 @@ def splitmix(n: int, seed: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every input bit over all output bits."""
+    x = np.asarray(x, U)
     with np.errstate(over="ignore"):
-        x = x ^ (x >> U(30))
-        x = x * U(0xBF58476D1CE4E5B9)
-        x = x ^ (x >> U(27))
-        x = x * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
+        y = x >> U(30)
+        y ^= x
+        y *= U(0xBF58476D1CE4E5B9)
+        t = y >> U(27)
+        y ^= t
+        y *= U(0x94D049BB133111EB)
+        np.right_shift(y, U(31), out=t)
+        y ^= t
+        return y
 
 
 SPACE = np.zeros(256, bool)

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bands import candidates, untested
-from ._graph import components
-from ._io import drop, parts, prepare, store, text_or_empty
-from ._text import chunks, mix, rolling, splitmix
+from ._bands import all_links, candidates
+from ._io import drop, parts_for, prepare, store, text_or_empty
+from ._text import chunks, mix, splitmix
 
 U = np.uint64
-#: BANDS bands of ROWS of the SLOTS bucket minima: a pair at similarity 0.8 misses all of them twice in a thousand, at 0.85 five times in 100,000.
-SLOTS, ROWS = 128, 6
+#: BANDS bands of ROWS of the SLOTS bucket minima: a pair at similarity 0.8 misses all of them five times in 100,000, at 0.85 four times in ten million.
+SLOTS, ROWS = 128, 5
 BANDS = SLOTS // ROWS
 WEIGHTS = splitmix(ROWS, 31) | U(1)
 BAND_SEEDS = splitmix(BANDS, 32)
 STEP = U(0x9E3779B97F4A7C15)
+BASE = U(0xD1342543DE82EF95)
 NEWLINE, BLANKS = 10, (9, 10, 11, 12, 13, 32)
+BLANK = np.isin(np.arange(33), BLANKS)
+#: Bytes of text worked on at once, so that arrays of eight bytes a character stay in the processor's cache.
+PIECE = 1 << 18
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,16 +43,30 @@ def line_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends
 
 
+def runs(points: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit number for each run of q characters: a polynomial in a fixed base."""
+    if len(points) < q:
+        return np.zeros(0, U)
+    points = points.astype(U)
+    n = len(points) - q + 1
+    with np.errstate(over="ignore"):
+        h = points[:n].copy()
+        for k in range(1, q):
+            h *= BASE
+            h += points[k : k + n]
+    return h
+
+
 def shingles(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, line number) of every run of q characters in a line; a shorter line is one shingle, an empty one has none."""
-    runs = rolling(points.astype(U), q)
+    every = runs(points, q)
     count = np.maximum(ends - starts - q + 1, 0)
     line = np.repeat(np.arange(len(starts)), count)
     first = np.repeat(starts - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-    h = runs[first + np.arange(len(line))]
+    h = every[first + np.arange(len(line))]
     short = np.flatnonzero((count == 0) & (ends > starts))
     if len(short):
-        own = np.array([rolling(points[starts[k] : ends[k]].astype(U), int(ends[k] - starts[k]))[0] for k in short], U)
+        own = np.array([runs(points[starts[k] : ends[k]], int(ends[k] - starts[k]))[0] for k in short], U)
         h, line = np.concatenate((h, own)), np.concatenate((line, short))
     return h, line
 
@@ -70,8 +88,10 @@ def signatures(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    parts_ = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS)
-    return mix((mix(parts_) * WEIGHTS).sum(axis=2, dtype=U) ^ BAND_SEEDS)
+    """A key for each band of slots BANDS apart, as neighbours may be filled from one bucket."""
+    spread = sig[:, : BANDS * ROWS].reshape(len(sig), ROWS, BANDS)
+    with np.errstate(over="ignore"):
+        return mix((mix(spread) * WEIGHTS[:, None]).sum(axis=1, dtype=U) ^ BAND_SEEDS)
 
 
 def _bands(q: int, column: str):
@@ -81,14 +101,14 @@ def _bands(q: int, column: str):
         import xxhash
 
         ids, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
-        for _, _, data, offsets in chunks(batch.column(column)):
+        for _, _, data, offsets in chunks(batch.column(column), PIECE):
             points, where = code_points(data, offsets)
             starts, ends = line_spans(points, where)
             raw = np.zeros(len(points) + 1, np.int64)
             raw[: len(points)] = np.flatnonzero((data & 0xC0) != 0x80)
             raw[len(points)] = len(data)
-            solid = np.zeros(len(points) + 1, np.int64)
-            np.cumsum(~np.isin(points, BLANKS), out=solid[1:])
+            solid = np.zeros(len(points) + 1, np.int32)
+            np.cumsum(~BLANK[np.minimum(points, 32)] | (points > 32), out=solid[1:])
             keep = solid[ends] > solid[starts]
             starts, ends = starts[keep], ends[keep]
             if not len(starts):
@@ -101,8 +121,7 @@ def _bands(q: int, column: str):
             k = band_keys(signatures(h, line, len(starts)))
             ids.append(np.repeat(node, BANDS))
             keys.append(k.ravel())
-        ids, keys = np.concatenate(ids), np.concatenate(keys)
-        return ids, keys, np.zeros(len(ids), np.int64)
+        return np.concatenate(ids), np.concatenate(keys)
 
     return run
 
@@ -110,7 +129,7 @@ def _bands(q: int, column: str):
 def _line_sets(column: pa.Array, q: int) -> list[np.ndarray]:
     """Each row's sorted distinct shingles, a row being one line."""
     out = []
-    for _, _, data, offsets in chunks(column):
+    for _, _, data, offsets in chunks(column, PIECE):
         points, where = code_points(data, offsets)
         h, line = shingles(points, where[:-1], where[1:], q)
         order = np.argsort(line, kind="stable")
@@ -133,28 +152,20 @@ def _verify(q: int, percent: int):
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, q: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of similar lines, stored. texts: id, line."""
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"t_{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+    near = F.least(F.char_length("t_a"), F.char_length("t_b")) > 0
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", "t_a", "t_b")
     return store(both.mapInArrow(_verify(q, percent), "a long, b long"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that isn't blank: doc_id, at, line, id."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.filter(F.length(F.regexp_replace("line", r"[\x09-\x0D\x20]", "")) > 0).withColumn("id", F.xxhash64("line"))
-
-
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def one(t, g):
-        if t is None or g is None or not len(g):
-            return t
-        g = set(g)
-        return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g)
+def _lines(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """A row for each line that isn't blank: at, line, id and more columns of its document."""
+    lines = docs.select(*more, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return lines.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).withColumn("id", F.xxhash64("line"))
 
-    return pd.Series([one(t, g) for t, g in zip(text, gone)], dtype=object)
 
-
-def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, characters: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, gone): for each document with lines to remove, their numbers from 0, in order.
 
     Lines are what newlines separate, compared as they are. Two lines are near copies if their sets of runs of
@@ -162,50 +173,58 @@ def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_
     group of equal or near lines, the first stays: least doc_id, then least number. Blank lines always stay.
 
     Bucket minima of one hash give bands; members of a band are paired with its least line, the exact sets verify the
-    pairs, and pairs across components of one band are tested after that. A line is known by its 64-bit hash.
-    Rows that repeat a doc_id count as one document; a null doc_id comes before all others.
+    pairs, and bands that still hold several components are split by differences from a pivot until no pair is left that
+    could be similar (all_links). A line is known by its 64-bit hash. Rows that repeat a doc_id count as one document; a
+    null doc_id comes before all others. Long lines and texts are read whole; an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
-    n = parts(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    pairs = store(candidates(docs.select("text"), _bands(characters, "text"), n).select("a", "b").distinct())
-    needed = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = store(_lines(docs).select("id", "line").join(needed, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
-    links = _linked(pairs, texts, characters, percent)
-    found = store(components(links))
-    labelled = texts.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = store(labelled)
-    drop(texts)
-    bodies = lambda ids: labelled.select("id", "line").join(ids, "id")
-    more = untested(labelled, _bands(characters, "line"), n, pairs, bodies, lambda batch: _line_sets(batch.column("line"), characters), percent)
-    if more is not None:
-        extra = _linked(more, labelled, characters, percent)
-        if not extra.isEmpty():
-            found = store(components(links.unionByName(extra)))
-    drop(labelled)
-    where = store(_lines(docs).select("doc_id", "at", "id"))
+    where = store(_lines(docs, "doc_id").select("doc_id", "at", "id"))
+    # A row for each distinct line: its first place and how often it occurs.
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "at")
-    keyed = where.join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "at", F.coalesce("component", "id").alias("group"))
-    keyed = store(keyed)
-    first = keyed.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = keyed.join(store(first), "group").filter(~place.eqNullSafe(F.col("first")))
-    return store(gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("gone")))
+    distinct = store(where.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    pairs = store(candidates(docs.select("text"), _bands(characters, "text"), parts_for(spark, distinct.count() * BANDS * 17)))
+    needed = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    # Their texts, from their first places alone, so that a common line doesn't meet in one task.
+    at = distinct.join(needed, "id", "left_semi").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.at").alias("_at"))
+    here = _lines(docs, F.col("doc_id").alias("_doc")).withColumnRenamed("at", "_at")
+    texts = here.join(at, (here["id"] == at["id"]) & (here["_at"] == at["_at"]) & here["_doc"].eqNullSafe(at["_doc"]), "left_semi").select("id", "line")
+    texts = store(texts.groupBy("id").agg(F.min("line").alias("line")))
+    drop(needed)
+    verify = lambda some: _linked(some, texts, characters, percent)
+    found = all_links(texts, _bands(characters, "line"), pairs, verify(pairs), lambda ids: texts.join(ids, "id", "left_semi").select("id", F.col("line").alias("text")), lambda column: _line_sets(column, characters), percent, verify)
+    drop(texts), drop(pairs)
+    # Groups of several occurrences; any other line is the only one of its own.
+    grouped = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("group"))
+    grouped = store(grouped)
+    first = grouped.groupBy("group").agg(F.min("first").alias("first"))
+    keep = store(grouped.select("id", "group").join(first, "group").select("id", "first"))
+    gone = where.join(keep, "id").filter(~place.eqNullSafe(F.col("first")))
+    out = store(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("gone")))
+    for df in (where, distinct, grouped, keep):
+        drop(df)
+    return out
 
 
-def dedup_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with near and exact copies of lines taken out of `text`, and n_lines, n_removed; see repeated_lines.
+def dedup_lines(docs: DataFrame, characters: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """docs with near and exact copies of lines taken out of `text`, and the counts n_lines and n_removed; see repeated_lines.
 
-    Every row stays, as does every other column (even one named like those used here). A text all of whose lines go
-    becomes empty; null stays null with n_lines 0. An empty table gives no rows.
+    Every row and every other column stays. A count whose name the table has already gets underscores after it. A text
+    all of whose lines go becomes empty; null stays null with counts of 0. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, characters, percent, doc_id, text).select(F.col("doc_id").alias("_doc_id_gone"), F.col("gone").alias("_gone"))
-    out = docs.join(gone, docs[doc_id].eqNullSafe(gone["_doc_id_gone"]), "left")
-    total = F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long")
-    total = F.when(F.col(text).isNull(), F.lit(0)).otherwise(total).cast("long")
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(removed).cast("long")
-    out = out.select(*(F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), total.alias("n_lines"), removed.alias("n_removed"), "_gone")
-    return out.withColumn(text, F.pandas_udf(_without, "string")(F.col(text), F.col("_gone"))).drop("_gone")
+    gone = repeated_lines(docs, characters, percent, doc_id, text)
+    key, lost = (f"_{n}_{uuid.uuid4().hex}" for n in ("doc", "gone"))
+    out = docs.join(gone.select(F.col("doc_id").alias(key), F.col("gone").alias(lost)), F.col(doc_id).eqNullSafe(F.col(key)), "left")
+    lines = F.split(F.col(text), "\n")
+    # The list of lines is bound to a variable, so that it is made once and looked into by number.
+    kept = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(lost)), lambda i: x[i]), "\n"))[0]
+    while n_lines in docs.columns:
+        n_lines += "_"
+    while n_removed in docs.columns:
+        n_removed += "_"
+    total = F.when(F.col(text).isNotNull(), F.size(lines)).otherwise(0).cast("long").alias(n_lines)
+    removed = F.when(F.col(lost).isNotNull(), F.size(lost)).otherwise(0).cast("long").alias(n_removed)
+    return out.select(*(F.when(F.col(lost).isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns), total, removed)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

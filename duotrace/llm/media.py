@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import parts, prepare, store, text_or_empty
+from ._io import parts_for, prepare, store, text_bytes, text_or_empty
 from ._text import mix, splitmix
 
 UNIT = 64
@@ -229,7 +229,7 @@ def _assemble(table: pa.Table) -> pa.Table:
 def write_store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The chunk store: kind 0 rows hold chunks (each digest once), kind 1 rows the documents' ordered chunk lists."""
     spark = prepare(docs.sparkSession)
-    n = parts(spark)
+    n = parts_for(spark, text_bytes(docs, text))
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty(text).alias("text"))
     return store(docs.mapInArrow(_chunker(n), SCHEMA).groupBy("part").applyInArrow(_dedup, SCHEMA))
 

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bands import candidates, untested
-from ._graph import components
-from ._io import drop, parts, prepare, store, text_or_empty
+from ._bands import all_links, candidates
+from ._io import drop, parts_for, prepare, store, text_or_empty
 from ._text import LOWER, chunks, mix, rolling, span_hashes, splitmix, word_spans
 
 U = np.uint64
@@ -107,11 +106,11 @@ def _signatures(k: int, percent: int):
     return run
 
 
-def _bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The band entries of a batch of signatures; a set that repeats in the batch is entered once."""
-    rows = batch.to_pydict()
-    ids, keys, tags, seen = [], [np.zeros(0, U)], [], set()
-    for doc, set_a, set_b, *both in zip(*(rows[c] for c in ("id", "set_a", "set_b", "p0", "regs0", "p1", "regs1"))):
+    rows = batch.select(["id", "set_a", "set_b", "p0", "regs0", "p1", "regs1"]).to_pydict()
+    ids, keys, seen = [], [np.zeros(0, U)], set()
+    for doc, set_a, set_b, *both in zip(*rows.values()):
         if (set_a, set_b) in seen:
             continue
         seen.add((set_a, set_b))
@@ -119,9 +118,7 @@ def _bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if regs is not None:
                 keys.append(band_keys(np.frombuffer(regs, np.uint16), p))
                 ids.append((doc, len(keys[-1])))
-                tags.append(p)
-    times = [n for _, n in ids]
-    return np.repeat(np.array([d for d, _ in ids], np.int64), times), np.concatenate(keys), np.repeat(np.array(tags, np.int64), times)
+    return np.repeat(np.array([d for d, _ in ids], np.int64), [n for _, n in ids]), np.concatenate(keys)
 
 
 def _prune(percent: int):
@@ -162,19 +159,21 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, p) whose full sets reach the threshold, as a stored (a, b)."""
-    side = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("p0", "regs0", "regs1")))
-    pick = lambda x: F.when(F.col(f"p0_{x}") == F.col("p"), F.col(f"regs0_{x}")).otherwise(F.col(f"regs1_{x}"))
+def _linked(pairs: DataFrame, sigs: DataFrame, texts, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, as a stored (a, b). sigs: one row an id."""
+    side = lambda x: sigs.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "p0", "regs0", "p1", "regs1")))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = store(sized.select("a", "b", pick("a").alias("ra"), pick("b").alias("rb")).mapInArrow(_prune(percent), "a long, b long"))
-    needed = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = store(docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")))
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
+    # Registers of a level that both have; similar sets share one.
+    same = [(i, j, F.col(f"p{i}_a") == F.col(f"p{j}_b")) for i in (0, 1) for j in (0, 1)]
+    pick = lambda x: F.coalesce(*(F.when(on, F.col(f"regs{i if x == 'a' else j}_{x}")) for i, j, on in same))
+    rows = sized.select("a", "b", pick("a").alias("ra"), pick("b").alias("rb")).filter("ra is not null and rb is not null")
+    near = store(rows.mapInArrow(_prune(percent), "a long, b long"))
+    needed = store(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+    body = store(texts(needed))
+    text = lambda x: body.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     both = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
     out = store(both.mapInArrow(_verify(k, percent), "a long, b long"))
-    drop(texts)
-    drop(near)
+    drop(body), drop(near), drop(needed)
     return out
 
 
@@ -190,40 +189,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     3. Bands of registers give candidates. Members of a band are paired with its least member only, first inside a
        mapper and then between mappers.
     4. The corrected estimate drops hopeless pairs, and the full sets of the rest decide.
-    5. Bands that still hold several components have their pairs across components tested too, so no candidate pair is left
-       untested unless it is already connected.
+    5. Bands that still hold several components are split by exact differences from a pivot (all_links), so that every pair
+       that shares a band is tested or is known to be connected or too different.
 
     Null and empty texts, and texts of white space, have no shingles and no links. Rows that repeat a doc_id are one
     document (of equal text, as an id identifies a text). A null doc_id stays alone. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    n = parts(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     sigs = store(docs.mapInArrow(_signatures(words, percent), "doc_id long, n long, set_a long, set_b long, p0 int, regs0 binary, p1 int, regs1 binary"))
     full = sigs.filter("n > 0 and doc_id is not null")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep <> last")
     # Both sides of this join are plain shuffles, so that Spark splits the partition of a very large class.
     classes = store(classes.select("set_a", "set_b", "rep"))
-    members = store(full.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).filter("doc_id <> rep").select("doc_id", "rep"))
+    members = store(full.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).filter("doc_id <> rep").select("doc_id", "rep").distinct())
+    drop(classes)
 
-    signed = ["set_a", "set_b", "p0", "regs0", "p1", "regs1"]
-    pairs = candidates(full.select(F.col("doc_id").alias("id"), *signed), _bands, n)
+    signed = full.select(F.col("doc_id").alias("id"), "n", "set_a", "set_b", "p0", "regs0", "p1", "regs1")
+    levels_ = full.agg(F.sum(F.when(F.col("p1").isNull(), 1).otherwise(2))).first()[0] or 0
+    # Entries of 17 bytes for each band of every level.
+    pairs = candidates(signed, _bands, parts_for(spark, levels_ * BANDS * 17))
     for x in ("a", "b"):
         pairs = pairs.join(members.select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")), x, "left").withColumn(x, F.coalesce(f"rep_{x}", x)).drop(f"rep_{x}")
-    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "p").filter("a < b").groupBy("a", "b").agg(F.min("p").alias("p")))
-    links = _linked(pairs, sigs, docs, words, percent)
-    found = store(components(links))
-
-    reps = full.join(members.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    reps = reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    reps = store(reps.select(F.col("doc_id").alias("id"), "component", *signed))
-    # One row an id, however often it is repeated: its elements are counted against the size of its set.
-    bodies = lambda ids: docs.withColumnRenamed("doc_id", "id").join(ids, "id").groupBy("id").agg(F.first("text").alias("text"), F.first("component").alias("component"))
-    more = untested(reps, _bands, n, pairs, bodies, lambda batch: _sets(batch.column("text"), words), percent)
-    if more is not None:
-        extra = _linked(more, sigs, docs, words, percent)
-        if not extra.isEmpty():
-            found = store(components(links.unionByName(extra)))
+    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    # Only members of these pairs share a band with another set.
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    items = store(signed.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    texts = lambda ids: docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    verify = lambda some: _linked(some, items, texts, words, percent)
+    found = all_links(items, _bands, pairs, verify(pairs), texts, lambda column: _sets(column, words), percent, verify)
+    drop(items), drop(pairs)
     rows = sigs.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     rows = rows.join(members, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

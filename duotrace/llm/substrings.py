@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import drop, parts, prepare, store, text_or_empty
+from ._io import drop, parts_for, prepare, store, text_bytes, text_or_empty
 from ._packed import Packer, exchange, groups, schema, unpack
 from ._text import chunks, mix, rolling, span_hashes, word_spans
 
 U = np.uint64
+#: Bytes of probes for a byte of text: 18 for every word.
+PROBE_BYTES = 3
 EMPTY = pa.schema([("part", pa.int32()), ("c0", pa.binary()), ("c1", pa.binary())])
 
 
@@ -195,7 +197,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
     null doc_id counts as the smallest one. Other columns are ignored; an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
-    n = parts(spark)
+    n = parts_for(spark, PROBE_BYTES * text_bytes(docs, text))
     null = -(1 << 63)
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("doc_id"), text_or_empty(text).alias("text"))
     gathered = "doc_id long, places binary"

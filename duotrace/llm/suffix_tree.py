@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import drop, parts, prepare, store, text_or_empty
+from ._io import drop, parts_for, prepare, store, text_bytes, text_or_empty
 from ._packed import Packer, exchange, groups, unpack
 from ._text import LOWER, chunks, mix, span_hashes, word_spans
 
@@ -20,6 +20,8 @@ END_WORD = U(0xE0D)  # stands for the end token among word hashes
 LEAST = 2
 #: It is retained if its next-symbol distribution diverges from its suffix's by this many nats in all (count times divergence).
 DIVERGENCE = 3.0
+#: Bytes of runs and counts for a byte of text, at most.
+GRAM_BYTES = 4
 #: Words that a mapper encodes as one block.
 BLOCK_TOKENS = 750_000
 
@@ -304,7 +306,7 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     Rows that repeat a doc_id with the same text give one row; a null doc_id counts as an id. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    n = parts(spark)
+    n = parts_for(spark, GRAM_BYTES * text_bytes(docs, text))
     null = -(1 << 63)
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("doc_id"), text_or_empty(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = store(docs.mapInArrow(_encode, "block long, words binary, counts binary, docs binary, sizes binary, tokens binary, symbols binary, lengths binary, train binary"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import parts, prepare, store, text_or_empty
+from ._io import LEAST_PARTS, prepare, store, text_or_empty
 from ._packed import Packer, exchange, groups, unpack
 from ._text import BYTE_VALUES, LOWER, SPACE, chunks, mix
 
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, doc_id: str = "doc_id
     all_, toxic = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("toxic")).first())
     features = np.zeros(0, U)
     if toxic and toxic < all_:
-        counted = exchange(sample, _count_mapper(parts(spark)), 3, _count_reducer(all_, toxic), "feature long, gain double")
+        counted = exchange(sample, _count_mapper(LEAST_PARTS), 3, _count_reducer(all_, toxic), "feature long, gain double")
         best = counted.orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
         features = np.sort(np.array([r["feature"] for r in best], np.int64).view(U))
     finder = spark.sparkContext.broadcast(Finder(features))

@@ -155,7 +155,7 @@ def line_groups(docs):
     """Which lines go, by brute force."""
     where = [(d, k, x) for d, t in sorted(docs.items()) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
     lines = list(dict.fromkeys(x for *_, x in where))
-    sets = {k: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for k, x in enumerate(lines)}
+    sets = {k: {x[i : i + 5] for i in range(max(1, len(x) - 4))} for k, x in enumerate(lines)}
     group = roots(sets, similar(sets, 80))
     number, seen, gone = {x: k for k, x in enumerate(lines)}, set(), set()
     for d, k, x in where:
