@@ -24,8 +24,8 @@ MEET_ROWS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 #: Bands of up to this many items are tested in pairs, and postings of differences with up to this many items that probe them.
 LEAF = 16
-#: Larger ones are split by differences from a pivot, and what is still large again, this many times before its pairs are tested as they are.
-ROUNDS = 6
+#: Larger postings are tested against their lightest items this many times, before the pairs that are left are tested.
+ROUNDS = 4
 
 
 def _meeting(bands: Callable, most: int = MEET_ROWS):
@@ -173,8 +173,8 @@ def _mixed(items: DataFrame, bands: Callable) -> DataFrame | None:
     return store(items.mapInArrow(_rows(bands), "key long, item long").join(mixed, "key", "left_semi"))
 
 
-def _diffs(sets: Callable, percent: int):
-    """For rows (p, item, t_p, t_item): sizes of both sets, and the elements that the item's has beyond p's, then those it lacks, each sorted."""
+def _diffs(sets: Callable):
+    """For rows (p, item, t_p, t_item): sizes of both sets, and the elements that the item's has beyond p's, then those it lacks."""
 
     def run(batches):
         known: dict[int, np.ndarray] = {}
@@ -183,41 +183,67 @@ def _diffs(sets: Callable, percent: int):
             new = [i for i, x in enumerate(p) if x not in known and (i == 0 or p[i - 1] != x)]
             known = {x: known[x] for x in set(p) if x in known}
             known |= {p[i]: s for i, s in zip(new, sets(texts.take(pa.array(new, pa.int64()))))}
-            n_p, n, added, lacking = [], [], [], []
+            n, added, lacking = [], [], []
             for x, s in zip(p, sets(batch.column(3))):
                 base = known[x]
-                n_p.append(len(base)), n.append(len(s))
+                n.append(len(s))
                 added.append(np.setdiff1d(s, base, assume_unique=True).view(np.int64)), lacking.append(np.setdiff1d(base, s, assume_unique=True).view(np.int64))
-            size = np.array([len(a) + len(b) for a, b in zip(added, lacking)], np.int64)
-            # weight <= 100 - percent times n_p: similar to p. Two items are similar if and only if they share at least (weight + weight) / (2 * (100 + percent)) differences.
-            weight = (100 + percent) * size - (100 - percent) * np.array(n, np.int64)
-            lists = lambda x: pa.array(x, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), pa.array(weight > (100 - percent) * np.array(n_p, np.int64)), lists(added), lists(lacking)], names=["p", "item", "weight", "misfit", "added", "lacking"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), _lists(added), _lists(lacking)], names=["p", "item", "n", "added", "lacking"])
+
+    return run
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array(arrays, pa.list_(pa.int64()))
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.asarray(x.values if x.is_valid else [], np.int64) for x in column]
+
+
+def _centred(percent: int):
+    """For rows (p, item, n, added, lacking, more, less): the item's differences from the group's centre (p's set with `more` and without `less`), and their weight."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for n, *some in zip(batch.column("n").to_pylist(), *(_arrays(batch.column(c)) for c in ("added", "lacking", "more", "less"))):
+                added, lacking, more, less = some
+                beyond = np.concatenate((np.setdiff1d(added, more), np.setdiff1d(less, lacking)))
+                short = np.concatenate((np.setdiff1d(lacking, less), np.setdiff1d(more, added)))
+                out[0].append((100 + percent) * (len(beyond) + len(short)) - (100 - percent) * n), out[1].append(np.sort(beyond)), out[2].append(np.sort(short))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), _lists(out[1]), _lists(out[2])], names=["p", "item", "weight", "beyond", "short"])
 
     return run
 
 
 def _postings(percent: int):
-    """For rows (p, item, weight, misfit, added, lacking, low, low_misfit): (key, item, probe, listed), a row for each difference that a partner must share one of.
+    """For rows (p, item, weight, beyond, short, low, high): (key, item, weight, probe), a row for each difference that a partner must share one of.
 
-    Of at least `need` shared differences, one lies among the first size - need + 1 of either item's in any common order;
-    added ones come first, being rarer. A link not yet found has a misfit on one side, which probes.
+    Two items are similar if and only if they share (weight + weight) / (2 * (100 + percent)) differences at least. Of `need` shared
+    ones, one lies among the first size - need + 1 of either item's in any common order; those beyond the centre come
+    first, being rarer. A link not yet found has a misfit on one side, which probes; the other lists itself once for each class
+    of misfits, by powers of two of what they need of the item nearest the centre, as the heavier need more of it.
     """
+    unit = 2 * (100 + percent)
 
     def run(batches):
         for batch in batches:
-            keys, items, probes, listed = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
-            p, item, weight, misfit, low, low_misfit = (batch.column(c).to_pylist() for c in ("p", "item", "weight", "misfit", "low", "low_misfit"))
-            for k, (added, lacking) in enumerate(zip(batch.column("added"), batch.column("lacking"))):
-                h = np.concatenate((added.values.to_numpy(zero_copy_only=False), lacking.values.to_numpy(zero_copy_only=False))).astype(np.int64).view(U)
-                first = lambda other: len(h) - max(1, -(-(weight[k] + other) // (2 * (100 + percent)))) + 1  # noqa: B023, E731
-                as_listed = max(first(low_misfit[k]), 0)
-                n = max(first(low[k]), as_listed) if misfit[k] else as_listed
-                keys.append(mix(h[:n] ^ mix(np.array([p[k]], np.int64).view(U)))), items.append(np.full(n, item[k]))
-                probes.append(np.full(n, misfit[k])), listed.append(np.arange(n) < as_listed)
+            keys, items, weights, probes = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            columns = (batch.column(c).to_pylist() for c in ("p", "item", "weight", "low", "high"))
+            for p, item, weight, low, high, beyond, short in zip(*columns, _arrays(batch.column("beyond")), _arrays(batch.column("short"))):
+                h = mix(np.concatenate((beyond, short)).view(U) ^ mix(np.array([p], np.int64).view(U)))
+                add = lambda n, kind, probe: (keys.append(mix(h[:n] + U(kind))), items.append(np.full(n, item)), weights.append(np.full(n, weight)), probes.append(np.full(n, probe)))  # noqa: B023, E731
+                if weight + low > 0:
+                    need = -(-(weight + low) // unit)
+                    add(max(len(h) - need + 1, 0), need.bit_length(), True)
+                for kind in range(1, (-(-(high + low) // unit)).bit_length() + 1):
+                    need = max(1, -(-(((1 << (kind - 1)) - 1) * unit + 1 + weight - low) // unit))
+                    if len(h) >= need:
+                        add(len(h) - need + 1, kind, False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(items)), pa.array(np.concatenate(probes)), pa.array(np.concatenate(listed))],
-                names=["key", "item", "probe", "listed"],
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(items)), pa.array(np.concatenate(weights)), pa.array(np.concatenate(probes))],
+                names=["key", "item", "weight", "probe"],
             )
 
     return run
@@ -228,11 +254,48 @@ def _labelled(rows: DataFrame, found: DataFrame, column: str = "item") -> DataFr
     return rows.join(found.withColumnRenamed("node", column), column, "left").withColumn("component", F.coalesce("component", column))
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b) of rows with x, y and their components, which differ."""
+    return met.filter("c_x <> c_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _across(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of rows (key, item, component) that meet by key and differ in component."""
-    sides = [df.select("key", F.col("item").alias(x), F.col("component").alias(f"c_{x}")) for df, x in ((left, "x"), (right, "y"))]
-    met = sides[0].join(sides[1], "key").filter("c_x <> c_y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x, y = (df.select("key", F.col("item").alias(n), F.col("component").alias(f"c_{n}")) for df, n in ((left, "x"), (right, "y")))
+    return _pairs(x.join(y, "key"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """rows (key, item, component, weight, probe) of the keys under which a probe may meet another component; with m, the key's probes."""
+    per = rows.groupBy("key").agg(F.count_if("probe").alias("m"), F.count_if(~F.col("probe")).alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
+    return rows.join(per.filter("m > 0 and n > 0 and c <> d").select("key", "m"), "key")
+
+
+def _posted(large: DataFrame, texts: Callable, sets: Callable, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links to the items nearest the centres, and the stored postings of all differences, for rows (key, item, n) of large bands."""
+    full = large.groupBy("item").agg(F.sum("n").alias("full"))
+    pivots = large.join(full, "item").groupBy("key").agg(F.max(F.struct("full", (-F.col("item")).alias("item"))).alias("m")).select("key", (-F.col("m.item")).alias("p"))
+    met = store(large.join(pivots, "key").select("p", "item").distinct())  # the pivot itself included
+    body = store(texts(met.select(F.col("item").alias("id")).distinct()))
+    side = lambda x: body.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
+    both = met.join(side("item"), "item").join(side("p"), "p").select("p", "item", "t_p", "t_item")
+    diffs = store(both.mapInArrow(_diffs(sets), "p long, item long, n long, added array<long>, lacking array<long>"))
+    drop(body), drop(met)
+    # What most of a group's members have, or lack, against the pivot, its centre has or lacks.
+    each = lambda c: diffs.select("p", F.explode(c).alias("e")).groupBy("p", "e").agg(F.count("*").alias("k")).withColumn("kind", F.lit(c))
+    size = diffs.groupBy("p").agg(F.count("*").alias("size"))
+    most = each("added").unionByName(each("lacking")).join(size, "p").filter(2 * F.col("k") > F.col("size"))
+    centre = most.groupBy("p").agg(F.collect_list(F.when(F.col("kind") == "added", F.col("e"))).alias("more"), F.collect_list(F.when(F.col("kind") == "lacking", F.col("e"))).alias("less"))
+    out = store(diffs.join(centre, "p", "left").mapInArrow(_centred(percent), "p long, item long, weight long, beyond array<long>, short array<long>"))
+    drop(diffs)
+    ends = out.groupBy("p").agg(F.min(F.struct("weight", "item")).alias("least"), F.max("weight").alias("high"))
+    ends = ends.select("p", F.col("least.weight").alias("low"), F.col("least.item").alias("near"), "high")
+    near = out.join(ends, "p").filter((F.col("weight") + F.col("low") <= 0) & (F.col("item") != F.col("near")))
+    links = store(near.select(F.least("item", "near").alias("a"), F.greatest("item", "near").alias("b")).distinct())
+    rows = out.join(ends.filter("high + low > 0").drop("near"), "p").select("p", "item", "weight", "beyond", "short", "low", "high")
+    posted = store(rows.mapInArrow(_postings(percent), "key long, item long, weight long, probe boolean"))
+    drop(out)
+    return links, posted
 
 
 def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -241,54 +304,56 @@ def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataF
     items: stored, with `id` and what bands() reads; those of `tested`, the stored pairs (a, b) of each band with its least member,
     of which `links` are similar. texts(ids) joins `id` to the text that sets() makes sets of; verify(pairs) keeps similar pairs.
 
-    Bands of up to LEAF items that hold several components have their pairs across components tested. In a larger one a pivot
-    is chosen, the item whose bands are fullest (in a group of copies, the text that the others were made of or one very
-    near it). Every member's differences from the pivot are found exactly. Two members are similar if and only if they share
-    enough differences, so those not yet linked meet by the rarer of these, not by the band; postings of differences that
-    are still large are split by a pivot of their own. So the work goes with the members and their differences.
+    Bands of up to LEAF items that hold several components have their pairs across components tested. In a larger one every
+    member's exact differences from a centre are found: the set of the member whose bands are fullest, corrected to what
+    most members have. Members near enough to the centre are similar for sure, and linked. Any other is similar to a member if and
+    only if they share enough differences, so these meet by the rarer of their differences, not by the band. Where many still
+    meet under one, they are tested against the lightest member there, up to ROUNDS times, and what is then neither
+    connected nor alone in pairs. So the work goes with the members and their differences, save in groups where many
+    members share rare differences and yet are not similar.
     """
-    spark = items.sparkSession
     found = components(links)
     labelled = store(_labelled(items, found, "id"))
     nodes = _mixed(labelled, bands)
     drop(labelled)
-    for turn in range(ROUNDS + 1):
-        if nodes is None:
-            break
-        rows = _labelled(nodes, found)
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key", "n")
-        rows = store(rows.join(sizes, "key"))
-        leaf = F.lit(True) if turn == ROUNDS else F.col("n") <= LEAF
-        small, large = rows.filter(leaf), rows.filter(~leaf)
-        more, again = _across(small, small), None
-        if not large.isEmpty():
-            full = large.groupBy("item").agg(F.sum("n").alias("full"))
-            pivots = large.join(full, "item").groupBy("key").agg(F.max(F.struct("full", (-F.col("item")).alias("item"))).alias("m")).select("key", (-F.col("m.item")).alias("p"))
-            met = store(large.join(pivots, "key").filter("p <> item").select("p", "item").distinct())
-            body = store(texts(met.select(F.col("p").alias("id")).unionByName(met.select(F.col("item").alias("id"))).distinct()))
-            side = lambda x: body.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))  # noqa: B023, E731
-            both = met.join(side("item"), "item").join(side("p"), "p").select("p", "item", "t_p", "t_item")
-            diffs = store(both.mapInArrow(_diffs(sets, percent), "p long, item long, weight long, misfit boolean, added array<long>, lacking array<long>"))
-            drop(body), drop(met)
-            links = links.unionByName(diffs.filter("not misfit").select(F.least("p", "item").alias("a"), F.greatest("p", "item").alias("b")))
-            found = components(links)
-            lows = diffs.groupBy("p").agg(F.min("weight").alias("low"), F.min(F.when(F.col("misfit"), F.col("weight"))).alias("low_misfit")).filter("low_misfit is not null")
-            posted = store(diffs.join(lows, "p").select("p", "item", "weight", "misfit", "added", "lacking", "low", "low_misfit").mapInArrow(_postings(percent), "key long, item long, probe boolean, listed boolean"))
-            per = posted.groupBy("key").agg(F.count("*").alias("n"), F.count_if("probe").alias("m")).filter("n > 1 and m > 0")
-            posted, before = store(_labelled(posted.join(per, "key"), found)), posted
-            drop(before)
-            per = posted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-            posted = posted.join(per, "key", "left_semi")
-            few = F.col("m") <= LEAF
-            more = more.unionByName(_across(posted.filter(few & F.col("probe")), posted.filter(few & F.col("listed")))).distinct()
-            again = store(posted.filter(~few).select("key", "item"))
-            again = None if again.isEmpty() else again
-        more = store(more.join(tested, ["a", "b"], "left_anti"))
-        drop(rows), drop(nodes)
-        nodes = again
-        new = verify(more)
+    if nodes is None:
+        return found
+
+    def tested_too(pairs: DataFrame) -> None:
+        nonlocal found, links, tested
+        pairs = store(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        new = verify(pairs)
+        tested = tested.unionByName(pairs)
         if not new.isEmpty():
             links = links.unionByName(new)
             found = components(links)
-        tested = tested.unionByName(more)
+
+    rows = _labelled(nodes, found)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key", "n")
+    rows = store(rows.join(sizes, "key"))
+    drop(nodes)
+    small, large = rows.filter(F.col("n") <= LEAF), rows.filter(F.col("n") > LEAF)
+    pairs = _across(small, small)
+    if large.isEmpty():
+        tested_too(pairs)
+        return found
+    near, posted = _posted(large, texts, sets, percent)
+    links = links.unionByName(near)
+    found = components(links)
+    for turn in range(ROUNDS + 1):
+        now = store(_open(_labelled(posted, found)))
+        drop(posted)
+        few = F.lit(True) if turn == ROUNDS else F.col("m") <= LEAF
+        probes, listed = now.filter("probe"), now.filter("not probe")
+        pairs = pairs.unionByName(_across(probes.filter(few), listed.filter(few)))
+        hot = now.filter(~few).select("key", "item", "component", "weight", "probe")
+        if turn == ROUNDS or hot.isEmpty():
+            break
+        lightest = store(hot.filter("not probe").groupBy("key").agg(F.min(F.struct("weight", "item", "component")).alias("y")))
+        star = hot.filter("probe").select("key", F.col("item").alias("x"), F.col("component").alias("c_x")).join(lightest, "key").select("x", "c_x", F.col("y.item").alias("y"), F.col("y.component").alias("c_y"))
+        posted = store(hot.join(lightest, "key").filter(F.col("probe") | (F.struct("weight", "item") > F.struct("y.weight", "y.item"))).select("key", "item", "weight", "probe"))
+        tested_too(pairs.unionByName(_pairs(star)))
+        pairs = pairs.limit(0)
+    tested_too(pairs)
+    drop(rows), drop(now)
     return found

@@ -38,7 +38,8 @@ def roots(nodes, links):
 
     def find(x):
         while up[x] != x:
-            x = up[x] = up[up[x]]
+            up[x] = up[up[x]]
+            x = up[x]
         return x
 
     for a, b in links:
