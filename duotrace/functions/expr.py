@@ -41,21 +41,10 @@ def loglr(values: list[Column], config: SearchConfig = SearchConfig()) -> Column
 
 
 def kept_by(hm: Column, lm: Column, cut: float = 0.5) -> Column:
-    """Which arms pass: HM, HM+LM, +LM (the second alone) or none."""
-    label = F.concat(F.when(hm >= cut, "HM").otherwise(""), F.when(lm >= cut, "+LM").otherwise(""))
+    """Which arms lie above the cut: HM, HM+LM, +LM (the second alone) or none."""
+    label = F.concat(F.when(hm > cut, "HM").otherwise(""), F.when(lm > cut, "+LM").otherwise(""))
     return F.when(label == "", "none").otherwise(label)
 
 
-def combine_arms(hm: Column, lm: Column) -> Column:
-    """Two arms' false-alarm rates: twice the lesser; that of the one there is if the other is null."""
-    return 2 * F.least(hm, lm)
-
-
-def combine_channels(*rates: Column) -> Column:
-    """The least rate of those that aren't null, times how many there are; null if none."""
-    present = F.filter(F.array(*rates), lambda x: x.isNotNull())
-    return F.when(F.size(present) > 0, F.size(present) * F.array_min(present))
-
-
 def logistic(x: Column, centre: float, width: float) -> Column:
     return 1 / (1 + F.exp(-(x - centre) / width))

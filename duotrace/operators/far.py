@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duotrace.config import YEAR_S, SearchConfig
-from duotrace.functions.expr import combine_arms, combine_channels, features, loglr
+from duotrace.functions.expr import features, kept_by, loglr
 from duotrace.functions.stats import poisson_table, poisson_upper_large
-from duotrace.operators.cluster import family_bin
 from duotrace.operators.pairing import arm_stubs, coherence_stub
 
 
@@ -50,78 +49,127 @@ def livetime(slide: DataFrame, config: SearchConfig = SearchConfig()) -> DataFra
     return slide.groupBy("fold").agg((F.count("*") * (config.stride_s * 0.5 / YEAR_S)).alias("live_yr"))
 
 
-def count_louder(triggers: DataFrame, background: DataFrame, score: str, keys: list[str], out: str, inclusive: bool = False) -> DataFrame:
+def count_louder(triggers: DataFrame, background: DataFrame, score: str, keys: list[str], out: str, inclusive: bool = False, width: float = 0.05) -> DataFrame:
     """triggers with the number of background rows of the same keys that are louder (or as loud, if inclusive).
 
-    Not a join of all pairs: both sides are sorted once together, and a running count of background rows says how many
-    stand above. Ties are ordered by a marker, so that equal scores count only if inclusive.
+    Not a join of all pairs: background is counted by distinct score, with map-side combine, and dealt to buckets of
+    `width`. Only the buckets' sums meet in a window by key; inside a bucket a window of its own runs. Scores that
+    triggers ask for stand between, ordered by a marker so that equal ones count only if inclusive, and counts are joined
+    back to the triggers. A null score has a null count.
     """
-    mark = triggers.select(*keys, F.col(score).alias("_x"), F.lit(0 if not inclusive else 1).alias("_tie"), F.struct(*triggers.columns).alias("_row"))
-    stand = background.select(*keys, F.col(score).alias("_x"), F.lit(1 if not inclusive else 0).alias("_tie"), F.lit(None).cast(mark.schema["_row"].dataType).alias("_row"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("_x"), "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = mark.unionByName(stand).withColumn(out, F.sum(F.when(F.col("_row").isNull(), 1).otherwise(0)).over(order))
-    return both.filter(F.col("_row").isNotNull()).select("_row.*", F.col(out).cast("long").alias(out))
+    asked = triggers.select(*keys, F.col(score).alias("_x")).filter("_x is not null").distinct().withColumn("_one", F.lit(0).cast("long")).withColumn("_turn", F.lit(1 if inclusive else 0))
+    stand = background.groupBy(*keys, F.col(score).alias("_x")).agg(F.count("*").alias("_one")).withColumn("_turn", F.lit(0 if inclusive else 1))
+    both = asked.withColumn("_asked", F.lit(True)).unionByName(stand.withColumn("_asked", F.lit(False))).withColumn("_bucket", F.floor(F.col("_x") / width))
+    higher = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy(*keys, "_bucket").agg(F.sum("_one").alias("_n")).select(*keys, "_bucket", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_x"), "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.join(sums, [*keys, "_bucket"]).withColumn(out, F.sum("_one").over(inside) + F.col("_above")).filter("_asked")
+    return triggers.join(counted.select(*keys, F.col("_x").alias(score), out), [*keys, score], "left")
 
 
-def louder_families(triggers: DataFrame, background: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """triggers with n_louder: distinct second-stream families that hold a louder row of the same fold.
+def gated(rows: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """Background rows that the absolute glitch cut keeps: an arm strictly above it."""
+    return rows.filter(F.greatest("hm", "lm") > config.glitch_cut)
 
-    A family is louder when its loudest row is; so families are reduced to that first.
+
+def louder_families(triggers: DataFrame, background: DataFrame, out: str = "n_louder") -> DataFrame:
+    """triggers with the number of distinct second-stream families that hold a louder row of the same fold.
+
+    background: fold, bi, l1bin, loglr. A family is louder when its loudest row is; so families are reduced to that first.
     """
-    fam = background.withColumn("l1bin", family_bin(F.col("gps_l"), config)).groupBy("fold", "bi", "l1bin").agg(F.max("loglr").alias("loglr"))
-    return count_louder(triggers, fam, "loglr", ["fold"], "n_louder")
+    fam = background.groupBy("fold", "bi", "l1bin").agg(F.max("loglr").alias("loglr"))
+    return count_louder(triggers, fam, "loglr", ["fold"], out)
+
 
+#: Triggers that are broadcast at a time (under 100 bytes each); more are taken in blocks.
+BLOCK_ROWS = 10_000
 
-def per_arm(triggers: DataFrame, background: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """triggers with n_hm, n_lm: families of other segments, louder and with an arm's score as high.
 
-    Few triggers (the top candidates) meet many background rows: triggers are broadcast, being capped by number, and each
-    row is compared in the scan; distinct families are counted.
+def per_arm(triggers: DataFrame, rows: DataFrame, score: str, inclusive: bool = False, hm: str = "n_hm", lm: str = "n_lm") -> DataFrame:
+    """triggers with n_hm, n_lm: distinct families (bi, l1bin) of rows that are louder and whose arm scores as high as the trigger's.
+
+    Rows of the trigger's own segment in either stream don't count. triggers are the candidates, a few; each block of
+    BLOCK_ROWS of them is broadcast and compared with every row in the scan, and families are counted with map-side combine.
     """
-    t = triggers.select("seg", "idx", "fold", F.col("loglr").alias("t_ll"), F.col("hm").alias("t_hm"), F.col("lm").alias("t_lm"))
-    b = background.filter(F.greatest("hm", "lm") > config.glitch_cut).withColumn("l1bin", family_bin(F.col("gps_l"), config))
-    b = b.select(F.col("fold").alias("b_fold"), "ai", "bi", "l1bin", F.col("loglr").alias("b_ll"), F.col("hm").alias("b_hm"), F.col("lm").alias("b_lm"))
-    on = (F.col("b_fold") == F.col("fold")) & (F.col("b_ll") > F.col("t_ll")) & (F.col("ai") != F.col("seg")) & (F.col("bi") != F.col("seg"))
-    met = b.join(F.broadcast(t), on).select("seg", "idx", "bi", "l1bin", (F.col("b_hm") >= F.col("t_hm")).alias("as_hm"), (F.col("b_lm") >= F.col("t_lm")).alias("as_lm"))
-    fam = met.groupBy("seg", "idx", "bi", "l1bin").agg(F.max("as_hm").alias("hm"), F.max("as_lm").alias("lm"))
-    counts = fam.groupBy("seg", "idx").agg(F.count_if("hm").alias("n_hm"), F.count_if("lm").alias("n_lm"))
-    out = triggers.join(counts, ["seg", "idx"], "left")
-    return out.withColumn("n_hm", F.coalesce("n_hm", F.lit(0))).withColumn("n_lm", F.coalesce("n_lm", F.lit(0)))
+    t = triggers.select("seg", "idx", "fold", F.col(score).alias("t_x"), F.col("hm").alias("t_hm"), F.col("lm").alias("t_lm"))
+    b = rows.select(F.col("fold").alias("b_fold"), "ai", "bi", "l1bin", F.col(score).alias("b_x"), F.col("hm").alias("b_hm"), F.col("lm").alias("b_lm"))
+    blocks = max(1, -(-2 * t.count() // BLOCK_ROWS)) if t.count() > BLOCK_ROWS else 1
+    louder = F.col("b_x") >= F.col("t_x") if inclusive else F.col("b_x") > F.col("t_x")
+    on = (F.col("b_fold") == F.col("fold")) & louder & (F.col("ai") != F.col("seg")) & (F.col("bi") != F.col("seg"))
+    counts = None
+    for k in range(blocks):
+        block = t.filter(F.pmod(F.xxhash64("seg", "idx"), F.lit(blocks)) == k) if blocks > 1 else t
+        met = b.join(F.broadcast(block), on).groupBy("seg", "idx", "bi", "l1bin").agg(F.max(F.col("b_hm") >= F.col("t_hm")).alias("hm"), F.max(F.col("b_lm") >= F.col("t_lm")).alias("lm"))
+        some = met.groupBy("seg", "idx").agg(F.count_if("hm").alias(hm), F.count_if("lm").alias(lm))
+        counts = some if counts is None else counts.unionByName(some)
+    return triggers.join(counts, ["seg", "idx"], "left").fillna(0, [hm, lm])
+
+
+def known_matches(trig: DataFrame, near: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """trig with matches_known: the known event (name, seg, idx of `near`) within excision_windows, null if none."""
+    around = F.explode(F.sequence(F.col("idx") - config.excision_windows, F.col("idx") + config.excision_windows))
+    marks = near.select("seg", "name", around.alias("idx")).groupBy("seg", "idx").agg(F.max("name").alias("matches_known"))
+    return trig.join(marks, ["seg", "idx"], "left")
+
+
+def floor_of(trig: DataFrame, config: SearchConfig = SearchConfig()) -> float:
+    """The floor of the likelihood ratio: lr_floor, or the quietest known event's if that is lower (not if blind_floor). One aggregate."""
+    quiet = trig.filter("matches_known is not null").agg(F.min("loglr")).first()[0]
+    return config.lr_floor if config.blind_floor or quiet is None else min(config.lr_floor, quiet)
 
 
 def top_candidates(trig: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """The triggers that are looked into: the best by likelihood ratio, and those above the network floor."""
-    rank = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("loglr"), "seg", "idx"))
-    return trig.withColumn("rank", rank).filter((F.col("rank") <= config.candidates) | (F.col("net") >= config.net_floor)).drop("rank")
+    """The triggers that are looked into: the best by likelihood ratio at or above its floor, those loud enough for the net channel, and known events."""
+    best = trig.filter(F.col("loglr") >= config.lr_floor).orderBy(F.desc("loglr"), "seg", "idx").limit(config.candidates)
+    others = trig.filter((F.col("net") >= config.net_floor) | F.col("matches_known").isNotNull())
+    return best.unionByName(others).dropDuplicates(["seg", "idx"])
+
+
+def with_upper(rows: DataFrame, count: str, out: str) -> DataFrame:
+    """rows with the 90 % upper limit of a Poisson mean of which `count` were seen: a table for small counts, an expansion above it."""
+    table = poisson_table(rows.sparkSession, 400).select(F.col("n").alias(count), F.col("ul").alias(out))
+    return rows.join(F.broadcast(table), count, "left").withColumn(out, F.when(F.col(count).isNotNull(), F.coalesce(out, poisson_upper_large(F.col(count)))))
+
+
+def with_interval(rows: DataFrame, count: str) -> DataFrame:
+    """rows with ul (90 %), low and high (the central 90 % interval) of a Poisson mean of which `count` were seen."""
+    table = poisson_table(rows.sparkSession, 400).withColumnRenamed("n", count)
+    large = {"ul": 0.90, "low": 0.05, "high": 0.95}
+    out = rows.join(F.broadcast(table), count, "left")
+    return out.withColumns({c: F.coalesce(c, poisson_upper_large(F.col(count) - (1 if c == "low" else 0), q)) for c, q in large.items()})
 
 
-def detections(trig: DataFrame, background: DataFrame, fam: DataFrame, live: DataFrame, config: SearchConfig = SearchConfig(), upper_too: bool = True) -> DataFrame:
-    """Triggers with their rates in both channels, the combined rate and its 90 % upper limit, and whether they are detected.
+def rates(cand: DataFrame, background: DataFrame, fam: DataFrame, live: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """Candidates with far_lr, far_net (a year), their 90 % limits ul_lr, ul_net, best_far, best_ul and channel.
 
-    Rates below a channel's floor are null, never 0. A detection isn't a glitch and has best_far (and, by default, best_ul)
-    below the threshold.
+    background: scored rows above the floor, with l1bin; fam: scored loudest rows of the families in net; live: fold, live_yr.
+    Per arm: each channel's rate is twice the lesser of the arms' (two arms tried), and the best is the lesser of the
+    channels' times how many there are. Otherwise background that fails the absolute glitch cut doesn't count, and the best
+    is the lesser of the channels'. The limit is that of the channel with the lesser rate, under the same factors. A channel whose
+    floor the trigger doesn't reach has null, never 0, and so has a fold without livetime.
     """
-    spark = trig.sparkSession
-    rows = count_louder(louder_families(trig, background, config), fam, "net", ["fold"], "n_net", inclusive=True)
-    rows = rows.join(F.broadcast(live), "fold")
-    table = poisson_table(spark, 400)  # larger counts have an expression
-    for name in ("n_louder", "n_net"):
-        ul = table.select(F.col("n").alias(name), F.col("ul").alias(f"ul_{name}"))
-        rows = rows.join(F.broadcast(ul), name, "left").withColumn(f"ul_{name}", F.coalesce(f"ul_{name}", poisson_upper_large(F.col(name))))
-    lr_on, net_on = F.col("loglr") > config.lr_floor, F.col("net") >= config.net_floor
-    rate = lambda on, x: F.when(on, F.col(x) / F.col("live_yr"))
-    rows = rows.withColumn("far_lr", rate(lr_on, "n_louder")).withColumn("far_net", rate(net_on, "n_net"))
-    rows = rows.withColumn("ul_lr", rate(lr_on, "ul_n_louder")).withColumn("ul_net", rate(net_on, "ul_n_net"))
-    rows = rows.withColumn("best_far", combine_channels(F.col("far_lr"), F.col("far_net"))).withColumn("best_ul", combine_channels(F.col("ul_lr"), F.col("ul_net")))
-    low = F.coalesce(F.col("best_far") < config.far_threshold, F.lit(False))
-    if upper_too:
-        low &= F.coalesce(F.col("best_ul") < config.far_threshold, F.lit(False))
-    glitch = F.greatest("hm", "lm") < config.glitch_cut
-    channel = F.when(F.col("far_net").isNull() | (F.col("far_lr") <= F.col("far_net")), "lr").otherwise("net")
-    return rows.withColumn("is_glitch", glitch).withColumn("channel", F.when(F.col("best_far").isNotNull(), channel)).withColumn("detected", ~glitch & low)
-
-
-def arm_rates(rows: DataFrame, live: DataFrame) -> DataFrame:
-    """n_hm and n_lm as a combined rate."""
-    rows = rows.join(F.broadcast(live), "fold")
-    return rows.withColumn("far_arms", combine_arms(F.col("n_hm") / F.col("live_yr"), F.col("n_lm") / F.col("live_yr")))
+    if config.per_arm:
+        rows = per_arm(cand, background, "loglr", hm="lr_hm", lm="lr_lm")
+        rows = per_arm(rows, fam, "net", inclusive=True, hm="net_hm", lm="net_lm")
+        rows = rows.withColumn("n_lr", F.least("lr_hm", "lr_lm")).withColumn("n_net", F.least("net_hm", "net_lm"))
+        trials = F.lit(2)
+    else:
+        rows = louder_families(cand, gated(background, config), "n_lr")
+        rows = count_louder(rows, gated(fam, config), "net", ["fold"], "n_net", inclusive=True)
+        trials = F.lit(1)
+    rows = rows.join(F.broadcast(live), "fold", "left")  # a row a fold
+    for name, on in (("lr", F.col("loglr") >= config.lr_floor), ("net", F.col("net") >= config.net_floor)):
+        rows = with_upper(rows, f"n_{name}", f"ul_{name}")
+        for value, rate in ((f"n_{name}", f"far_{name}"), (f"ul_{name}", f"ul_{name}")):
+            rows = rows.withColumn(rate, F.when(on & (F.col("live_yr") > 0), trials * F.col(value) / F.col("live_yr")))
+    by_lr = F.col("far_net").isNull() | (F.col("far_lr") <= F.col("far_net"))
+    tried = F.when(F.col("far_lr").isNotNull() & F.col("far_net").isNotNull(), 2).otherwise(1) if config.per_arm else F.lit(1)
+    rows = rows.withColumn("best_far", tried * F.least("far_lr", "far_net")).withColumn("best_ul", tried * F.when(by_lr, F.col("ul_lr")).otherwise(F.col("ul_net")))
+    return rows.withColumn("channel", F.when(F.col("best_far").isNotNull(), F.when(by_lr, "loglr").otherwise("net-sigma")))
+
+
+def detections(rated: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """rated with is_glitch, kept_by and detected: not a glitch, and the best rate and its limit both under the threshold."""
+    low = lambda c: F.coalesce(F.col(c) < config.far_threshold, F.lit(False))
+    out = rated.withColumn("is_glitch", F.greatest("hm", "lm") < config.glitch_cut).withColumn("kept_by", kept_by(F.col("hm"), F.col("lm"), config.glitch_cut))
+    return out.withColumn("detected", ~F.col("is_glitch") & low("best_far") & low("best_ul"))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from duotrace.config import SearchConfig
 from duotrace.functions.expr import net
 
-#: Segments are broadcast into pairing joins up to this many (24 bytes each).
-BROADCAST_ROWS = 100_000
-
 
 def stream(win: DataFrame, det: str, suffix: str) -> DataFrame:
     """One stream's columns, renamed for a join."""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
 from functools import partial
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from duotrace.config import FULL, YEAR_S, SearchConfig
+from duotrace.config import FIXTURE, FULL, YEAR_S
 from duotrace.functions.expr import features, kept_by, loglr
 from duotrace.functions.stats import poisson_table
 from duotrace.operators import cluster, far, pairing
 from duotrace.sources import fixtures as fx
+from duotrace.sources.tables import written
 
-CONFIG = SearchConfig()
+CONFIG = FIXTURE
 R = fx.DIGITS
 
 
@@ -40,6 +44,36 @@ def _clean(spark, d, config=CONFIG):
     return win, pairing.excise(slide, pairing.nearest_window(win, pairing.known_events(spark, config)), config)
 
 
+def _families(clean, config=CONFIG):
+    """The loudest row of each family in net, with both arms' scores."""
+    hm, lm = pairing.arm_stubs(*(F.col(c) for c in ("ai", "ih", "bi", "il")))
+    return cluster.family_max(clean, config).withColumn("hm", hm).withColumn("lm", lm)
+
+
+def _binned(rows, config=CONFIG):
+    return rows.withColumn("l1bin", cluster.family_bin(F.col("gps_l"), config))
+
+
+def _triggers(spark, d, win, config=CONFIG):
+    """Clustered zero-lag triggers with their scores and the known events that they match."""
+    trig = cluster.cluster_triggers(pairing.zero_lag(win).filter(F.col("net") > config.net_cut), config)
+    near = pairing.nearest_window(win, pairing.known_events(spark, config))
+    return far.known_matches(far.with_scores(far.as_pairs(trig), config), near, config)
+
+
+def _rated(spark, d, config=CONFIG):
+    """The whole search: windows, triggers, clusters, candidates, slid background, rates. Windows, candidates, survivors and families are each written once."""
+    win = written(_win(spark, d))
+    trig = written(_triggers(spark, d, win, config))
+    config = replace(config, lr_floor=far.floor_of(trig, config))
+    cand = written(far.top_candidates(trig, config))
+    segs = fx.segments(win)
+    slide = pairing.time_slide(win, pairing.pairings(segs, config), segs)
+    clean = pairing.excise(slide, pairing.nearest_window(win, pairing.known_events(spark, config)), config)
+    background = written(_binned(far.tripwire(far.bounded_prune(clean, config), config), config).select("fold", "ai", "ih", "bi", "il", "l1bin", "loglr", "hm", "lm"))
+    return far.detections(far.rates(cand, background, written(_families(clean, config)), written(far.livetime(clean, config)), config), config)
+
+
 def scan_streams(spark, d):
     return rounded(pairing.zero_lag(_win(spark, d)), "net").select("seg", "idx", "fold", "gps_h", "sigma_h", "sigma_l", "net")
 
@@ -108,13 +142,35 @@ def family_max(spark, d, config=CONFIG):
 
 def louder_families(spark, d, config=CONFIG):
     _, clean = _clean(spark, d, config)
-    return rounded(far.louder_families(_trig(spark, d), far.bounded_prune(clean, config), config), "loglr").select("seg", "idx", "loglr", "n_louder")
+    return rounded(far.louder_families(_trig(spark, d), _binned(far.bounded_prune(clean, config), config)), "loglr").select("seg", "idx", "loglr", "n_louder")
 
 
 def per_arm_far(spark, d, config=CONFIG):
+    """Louder families of the likelihood-ratio channel by each arm's rank."""
+    _, clean = _clean(spark, d, config)
+    trig = _trig(spark, d).filter(F.col("net") > 4.0)
+    return far.per_arm(trig, _binned(far.bounded_prune(clean, config), config), "loglr").select("seg", "idx", "n_hm", "n_lm")
+
+
+def per_arm_net(spark, d, config=CONFIG):
+    """Families as loud or louder in the net channel by each arm's rank."""
+    _, clean = _clean(spark, d, config)
+    trig = _trig(spark, d).filter(F.col("net") > 4.0)
+    return far.per_arm(trig, _families(clean, config), "net", inclusive=True).select("seg", "idx", "n_hm", "n_lm")
+
+
+def gated_families(spark, d, config=CONFIG):
+    """Louder families of both channels among the background that the absolute glitch cut keeps."""
     _, clean = _clean(spark, d, config)
-    trig = _trig(spark, d).filter(F.col("net") > config.net_cut)
-    return far.per_arm(trig, far.bounded_prune(clean, config), config).select("seg", "idx", "n_hm", "n_lm")
+    out = far.louder_families(_trig(spark, d), far.gated(_binned(far.bounded_prune(clean, config), config), config), "n_lr")
+    out = far.count_louder(out, far.gated(_families(clean, config), config), "net", ["fold"], "n_net", inclusive=True)
+    return out.select("seg", "idx", "n_lr", "n_net")
+
+
+def candidates(spark, d, config=CONFIG):
+    """The clustered triggers that are looked into, and the known events among them."""
+    trig = written(_triggers(spark, d, written(_win(spark, d)), config))
+    return rounded(far.top_candidates(trig, replace(config, lr_floor=far.floor_of(trig, config))), "net", "loglr").select("seg", "idx", "net", "loglr", "matches_known")
 
 
 def net_channel_far(spark, d, config=CONFIG):
@@ -127,37 +183,79 @@ def poisson_ul(spark, d):
     return rounded(poisson_table(spark, 20), "ul", "low", "high")
 
 
-def best_far_detections(spark, d, config=CONFIG, upper_too=False):
-    _, clean = _clean(spark, d, config)
-    out = far.detections(_trig(spark, d), far.bounded_prune(clean, config), cluster.family_max(clean, config), far.livetime(clean, config), config, upper_too=upper_too)
-    rates = ["far_lr", "far_net", "best_far"] + ["best_ul"] * upper_too
-    return out.select("seg", "idx", *(F.round(c, 1).alias(c) for c in rates), "channel", "is_glitch", "detected")
+def best_far_detections(spark, d, config=CONFIG):
+    """The whole search with the default statistic: every candidate's rates by arm, their limits and whether it is detected."""
+    return _rated(spark, d, config).select("seg", "idx", *(F.round(c, 1).alias(c) for c in ("far_lr", "far_net", "best_far", "best_ul")), "channel", "kept_by", "is_glitch", "matches_known", "detected")
+
+
+def veto_detections(spark, d, config=CONFIG):
+    """The same with the absolute glitch cut on the background in place of the arms' ranks."""
+    return best_far_detections(spark, d, replace(config, per_arm=False))
+
+
+def detections_in_order(spark, d, config=CONFIG):
+    """The detections by rate, the most significant first. Candidates are few, so one window numbers them."""
+    place = F.row_number().over(Window.orderBy("best_far", "seg", "idx")).alias("place")
+    return _rated(spark, d, config).filter("detected").select(place, "seg", "idx", F.round("best_far", 1).alias("best_far"), "channel")
+
+
+def named_events(spark, d, config=CONFIG):
+    """For each known event's own window: louder background rows, distinct pairs of families, second-stream families, the share of the largest, and the rate with its 90 % interval and limit."""
+    win, clean = _clean(spark, d, config)
+    win = written(win)
+    near = pairing.nearest_window(win, pairing.known_events(spark, config))
+    rows = far.with_scores(far.as_pairs(pairing.zero_lag(win).join(F.broadcast(near), ["seg", "idx"])), config)
+    events = written(rows.select("name", "fold", F.col("loglr").alias("event_loglr"), F.col("net").alias("event_net")))  # a row an event
+    floor = events.agg(F.min("event_loglr")).first()[0]
+    if floor is not None:
+        config = replace(config, lr_floor=min(config.lr_floor, floor))
+    live = far.livetime(clean, config)
+    h1bin = F.floor(F.col("gps_h") / config.family_s).alias("h1bin")
+    loud = _binned(far.bounded_prune(clean, config), config).join(F.broadcast(events), "fold").filter("loglr > event_loglr")
+    pairs = loud.groupBy("name", "ai", h1bin, "bi", "l1bin").agg(F.count("*").alias("n"))
+    fam = pairs.groupBy("name", "bi", "l1bin").agg(F.sum("n").alias("n"), F.count("*").alias("pairs"))
+    sums = fam.groupBy("name").agg(F.sum("n").alias("n_raw"), F.sum("pairs").alias("n_dedup"), F.count("*").alias("n_l1"), F.max("pairs").alias("most"))
+    out = events.join(sums, "name", "left").fillna(0, ["n_raw", "n_dedup", "n_l1", "most"]).join(F.broadcast(live), "fold", "left")
+    out = out.withColumn("dominance", F.when(F.col("n_dedup") > 0, F.col("most") / F.col("n_dedup")).otherwise(0.0))
+    out = far.with_interval(out, "n_l1")
+    rate = lambda c: F.round(F.when(F.col("live_yr") > 0, F.col(c) / F.col("live_yr")), 1)
+    limit = (F.col("n_l1") <= 2) | (F.col("dominance") > 0.5)
+    return out.select("name", "fold", "n_raw", "n_dedup", "n_l1", F.round("dominance", R).alias("dominance"), rate("n_l1").alias("far"), rate("low").alias("far_low"), rate("high").alias("far_high"), rate("ul").alias("far_ul"), limit.alias("upper_limit"))
 
 
 def kept_by_label(spark, d):
-    out = _trig(spark, d).select("seg", "idx", kept_by(F.col("hm"), F.col("lm")).alias("kept_by"), (F.greatest("hm", "lm") < CONFIG.glitch_cut).alias("is_glitch"))
-    return out
+    return _trig(spark, d).select("seg", "idx", kept_by(F.col("hm"), F.col("lm")).alias("kept_by"), (F.greatest("hm", "lm") < CONFIG.glitch_cut).alias("is_glitch"))
 
 
 def pair_dedup_dominance(spark, d, config=CONFIG):
+    """A fold's survivors, their distinct pairs of families, second-stream families, and the share of pairs of the largest of these."""
     _, clean = _clean(spark, d, config)
-    rows = far.bounded_prune(clean, config).withColumn("l1bin", cluster.family_bin(F.col("gps_l"), config))
-    fam = rows.groupBy("fold", "bi", "l1bin").agg(F.count("*").alias("n"))
-    sums = fam.groupBy("fold").agg(F.sum("n").alias("n_raw"), F.count("*").alias("n_l1"), F.max("n").alias("most"))
-    dedup = rows.select("fold", "ai", F.floor(F.col("gps_h") / config.family_s).alias("h1bin"), "bi", "l1bin").distinct().groupBy("fold").agg(F.count("*").alias("n_dedup"))
-    out = sums.join(dedup, "fold").withColumn("dominance", F.round(F.col("most") / F.col("n_raw"), R))
-    limit = (F.col("n_l1") <= 2) | (F.col("dominance") > 0.5)
-    return out.select("fold", "n_raw", "n_dedup", "n_l1", "dominance", limit.alias("upper_limit"))
+    rows = _binned(far.bounded_prune(clean, config), config)
+    pairs = rows.groupBy("fold", "ai", F.floor(F.col("gps_h") / config.family_s).alias("h1bin"), "bi", "l1bin").agg(F.count("*").alias("n"))
+    fam = pairs.groupBy("fold", "bi", "l1bin").agg(F.sum("n").alias("n"), F.count("*").alias("pairs"))
+    out = fam.groupBy("fold").agg(F.sum("n").alias("n_raw"), F.sum("pairs").alias("n_dedup"), F.count("*").alias("n_l1"), (F.max("pairs") / F.sum("pairs")).alias("share"))
+    return out.select("fold", "n_raw", "n_dedup", "n_l1", F.round("share", R).alias("dominance"), ((F.col("n_l1") <= 2) | (F.col("share") > 0.5)).alias("upper_limit"))
 
 
 def coherence_ceiling(spark, d, config=CONFIG):
-    """Largest coherence of the noise, its 99th percentile, the mean excess above that, and the ceiling from both."""
-    _, slide = _slide(spark, d, config)
-    noise = far.with_scores(slide.filter(F.col("net") >= 3.0), config).select("coh")
-    top = noise.agg(F.max("coh").alias("most"), F.percentile("coh", 0.99).alias("p99"), F.count("*").alias("n"))
-    out = noise.join(F.broadcast(top)).groupBy("most", "p99", "n").agg(F.avg(F.when(F.col("coh") > F.col("p99"), F.col("coh") - F.col("p99"))).alias("excess"))
-    reach = F.col("p99") + F.col("excess") * F.log(F.col("n") * 0.01 * 100)
-    return out.select("n", *(F.round(c, R).alias(c) for c in ("most", "p99", "excess")), F.round(F.least(F.greatest(F.col("most"), reach), F.lit(1.0)), R).alias("ceiling"), F.round(F.col("most") + 0.15, R).alias("legacy"))
+    """A bound on the coherence of the whole background from a sample of noise: the sample's largest, an exponential tail out to all slid pairs, a Gumbel margin, and at least the triggers' largest.
+
+    percentile keeps counts by distinct value, which the stand-in bounds (1000); measured values need ranking.running_total.
+    """
+    win, clean = _clean(spark, d, config)
+    noise = far.with_scores(clean.filter(F.col("net") >= 3.0), config).select("coh")
+    top = noise.agg(F.coalesce(F.max("coh"), F.lit(0.0)).alias("most"), F.coalesce(F.percentile("coh", 0.99), F.lit(0.0)).alias("p99"), F.count("*").alias("n"))
+    excess = noise.join(F.broadcast(top), F.col("coh") > F.col("p99")).agg(F.greatest(F.coalesce(F.avg(F.col("coh") - F.col("p99")), F.lit(0.0)), F.lit(1e-4)).alias("excess"))
+    segs = fx.segments(win)
+    slid = pairing.pairings(segs, config).agg(F.count("*").alias("pairings")), segs.agg(F.min_by("n", "seg").alias("windows"))
+    trig = _triggers(spark, d, win, config).agg(F.coalesce(F.max("coh"), F.lit(0.0)).alias("trig"))
+    out = top.withColumn("one", F.lit(1))
+    for row in (excess, *slid, trig):  # single rows
+        out = out.join(row.withColumn("one", F.lit(1)), "one")
+    tail = F.log(F.greatest(F.lit(1.0), F.col("pairings").cast("double") * F.col("windows") / F.greatest("n", F.lit(1)))) + config.ceiling_sigmas * math.pi / math.sqrt(6.0)
+    bound = F.least(F.lit(1.0), F.greatest(F.col("most") + F.col("excess") * tail, F.col("trig") + 0.02))
+    legacy = F.least(F.lit(1.0), F.greatest("most", "trig") + 0.15)
+    return out.select("n", *(F.round(c, R).alias(c) for c in ("most", "p99", "excess")), F.round(bound, R).alias("ceiling"), F.round(legacy, R).alias("legacy"))
 
 
 def coherence_maxlag(spark, d):
@@ -176,8 +274,6 @@ def coherence_maxlag(spark, d):
 
 def noise_sample_cap(spark, d, config=CONFIG):
     """Up to noise_cap noise rows of each fold, those of least arithmetic hash."""
-    from pyspark.sql import Window
-
     _, clean = _clean(spark, d, config)
     mark = (F.col("ih") * 7919 + F.col("il") * 104729 + F.col("ai") * 1299709 + F.col("bi") * 15485863) % 1000003
     rank = F.row_number().over(Window.partitionBy("fold").orderBy("mark", "ai", "ih", "bi", "il"))
@@ -189,18 +285,18 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_streams, sigma_norm, net_sigma, feature_gate, lr_score, cluster_triggers, topk_triggers, pairings, time_slide_join, nearest_event, excision_antijoin,
-        livetime, bounded_prune, family_max, louder_families, per_arm_far, net_channel_far, poisson_ul, best_far_detections, kept_by_label, pair_dedup_dominance,
+        livetime, bounded_prune, family_max, louder_families, per_arm_far, per_arm_net, gated_families, net_channel_far, poisson_ul, candidates, best_far_detections, veto_detections, detections_in_order, named_events,
+        kept_by_label, pair_dedup_dominance,
         coherence_ceiling, coherence_maxlag, noise_sample_cap,
     )
 }
 
-# The queries that slide, with the reference's caps; detections need their upper limits below the threshold too.
+# The queries that slide, with the reference's caps.
 SLIDING = (
-    pairings, time_slide_join, excision_antijoin, livetime, bounded_prune, family_max, louder_families, per_arm_far, net_channel_far, pair_dedup_dominance, coherence_ceiling,
-    noise_sample_cap,
+    pairings, time_slide_join, excision_antijoin, livetime, bounded_prune, family_max, louder_families, per_arm_far, per_arm_net, gated_families, net_channel_far, best_far_detections,
+    veto_detections, detections_in_order, named_events, pair_dedup_dominance, coherence_ceiling, noise_sample_cap,
 )
 FULL_QUERIES = {f"{f.__name__}_full": partial(f, config=FULL) for f in SLIDING}
-FULL_QUERIES["best_far_detections_full"] = partial(best_far_detections, config=FULL, upper_too=True)
 
 # SQL of the same rows, for DuckDB.
 _WIN = f"""
@@ -237,7 +333,49 @@ _BG = f"""bg1 AS (SELECT *, {_STUB} FROM clean), bg AS (SELECT *, floor(gps_l /
 _FAM = """fam AS (SELECT fold, bi, floor(gps_l / 4.0) AS l1bin, net, ai, ih, il FROM clean WHERE net >= 4.0
   QUALIFY row_number() OVER (PARTITION BY fold, bi, floor(gps_l / 4.0) ORDER BY net DESC, ai, ih, il) = 1)"""
 _LIVE = f"live AS (SELECT fold, count(*) * ({CONFIG.stride_s} * 0.5 / {YEAR_S})::DOUBLE AS live_yr FROM clean GROUP BY fold)"
+_ARMED = "famf AS (SELECT *, ((ai * 13 + ih * 29 + bi * 5 + il * 23) % 1000) / 1000.0::DOUBLE AS hm, ((ai * 17 + ih * 11 + bi * 3 + il * 41) % 1000) / 1000.0::DOUBLE AS lm FROM fam)"
+_CAND = f"""clus AS (SELECT seg, idx FROM (SELECT *, sum(gap) OVER (PARTITION BY seg ORDER BY idx) AS c FROM
+  (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY seg ORDER BY idx) > 4 THEN 1 ELSE 0 END AS gap FROM zero WHERE net > {CONFIG.net_cut}))
+  QUALIFY row_number() OVER (PARTITION BY seg, c ORDER BY net DESC, idx) = 1),
+tc AS (SELECT t.*, (SELECT max(name) FROM near e WHERE e.seg = t.seg AND abs(e.idx - t.idx) <= 2) AS matches_known FROM trig t JOIN clus USING (seg, idx)),
+fl AS (SELECT least(4.5::DOUBLE, coalesce(min(loglr), 4.5::DOUBLE)) AS low FROM tc WHERE matches_known IS NOT NULL),
+cand AS (SELECT * FROM (SELECT *, loglr >= low AS lr_on, row_number() OVER (ORDER BY loglr >= low DESC, loglr DESC, seg, idx) AS place FROM tc, fl)
+  WHERE (lr_on AND place <= {CONFIG.candidates}) OR net >= 4.0 OR matches_known IS NOT NULL),
+bgf AS (SELECT *, floor(gps_l / 4.0) AS l1bin FROM (SELECT *, {_LR} AS loglr FROM bg1), fl WHERE loglr > low)"""
+# Limits of Poisson means by bisection, for the counts in a table `want(n)`.
+_LIMITS = """step AS (SELECT n, k, p, what, 0.0::DOUBLE AS lo, (n + 20 + 10 * sqrt(n + 1.0))::DOUBLE AS hi, 0 AS i FROM (SELECT n, n AS k, 0.1::DOUBLE AS p, 'ul' AS what FROM want
+  UNION ALL SELECT n, n, 0.05, 'high' FROM want UNION ALL SELECT n, n - 1, 0.95, 'low' FROM want WHERE n > 0) UNION ALL
+  SELECT n, k, p, what, CASE WHEN c > p THEN mid ELSE lo END, CASE WHEN c > p THEN hi ELSE mid END, i + 1 FROM
+  (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(k + 1), lambda j: exp(-(lo + hi) / 2 + j * ln((lo + hi) / 2) - lgamma(j + 1)))) AS c FROM step) WHERE i < 70),
+limits AS (SELECT n, max(lo) FILTER (what = 'ul') AS ul, coalesce(max(lo) FILTER (what = 'low'), 0.0) AS low, max(lo) FILTER (what = 'high') AS high FROM step WHERE i = 70 GROUP BY n)"""
+
+
+def _rated_sql(per_arm: bool) -> str:
+    """All candidates with their rates, as `done`."""
+    if per_arm:
+        lr = "(SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bgf b WHERE b.fold = c.fold AND b.loglr > c.loglr AND b.ai <> c.seg AND b.bi <> c.seg AND b.{x} >= c.{x})"
+        net = "(SELECT count(*) FROM famf f WHERE f.fold = c.fold AND f.net >= c.net AND f.ai <> c.seg AND f.bi <> c.seg AND f.{x} >= c.{x})"
+        counts, arms, tried = ", ".join(f"{q.format(x=x)} AS {n}_{x}" for n, q in (("lr", lr), ("net", net)) for x in ("hm", "lm")), 2, "(1 + (far_lr IS NOT NULL AND far_net IS NOT NULL)::INT)"
+        n_lr, n_net = "least(lr_hm, lr_lm)", "least(net_hm, net_lm)"
+    else:
+        counts = """(SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bgf b WHERE b.fold = c.fold AND b.loglr > c.loglr AND greatest(b.hm, b.lm) > 0.5) AS g_lr,
+          (SELECT count(*) FROM famf f WHERE f.fold = c.fold AND f.net >= c.net AND greatest(f.hm, f.lm) > 0.5) AS g_net"""
+        arms, tried, n_lr, n_net = 1, "1", "g_lr", "g_net"
+    rate = lambda on, x: f"CASE WHEN {on} THEN {arms} * {x} / live_yr END"
+    return f"""WITH RECURSIVE {_ALL}, {_ARMED}, {_CAND},
+counted AS (SELECT *, {n_lr} AS n_lr, {n_net} AS n_net FROM (SELECT c.*, {counts} FROM cand c)),
+want AS (SELECT n_lr AS n FROM counted UNION SELECT n_net FROM counted), {_LIMITS},
+rated AS (SELECT c.*, {rate('lr_on', 'n_lr')} AS far_lr, {rate('c.net >= 4.0', 'n_net')} AS far_net, {rate('lr_on', 'a.ul')} AS ul_lr, {rate('c.net >= 4.0', 'b.ul')} AS ul_net
+  FROM counted c LEFT JOIN live USING (fold) JOIN limits a ON a.n = n_lr JOIN limits b ON b.n = n_net),
+best AS (SELECT *, {tried} * least(far_lr, far_net) AS best_far, {tried} * CASE WHEN far_net IS NULL OR far_lr <= far_net THEN ul_lr ELSE ul_net END AS best_ul,
+  CASE WHEN far_lr IS NULL AND far_net IS NULL THEN NULL WHEN far_net IS NULL OR far_lr <= far_net THEN 'loglr' ELSE 'net-sigma' END AS channel FROM rated),
+done AS (SELECT *, greatest(hm, lm) < 0.5 AS is_glitch, CASE WHEN hm > 0.5 AND lm > 0.5 THEN 'HM+LM' WHEN hm > 0.5 THEN 'HM' WHEN lm > 0.5 THEN '+LM' ELSE 'none' END AS kept_by,
+  greatest(hm, lm) >= 0.5 AND coalesce(best_far < {CONFIG.far_threshold} AND best_ul < {CONFIG.far_threshold}, false) AS detected FROM best)
+"""
+
+
 _ALL = ", ".join((_WIN, _TRIG, _PAIRS, _NEAR, _CLEAN, _BG, _FAM, _LIVE))
+_DONE = "SELECT seg, idx, round(far_lr, 1) AS far_lr, round(far_net, 1) AS far_net, round(best_far, 1) AS best_far, round(best_ul, 1) AS best_ul, channel, kept_by, is_glitch, matches_known, detected FROM done"
 
 
 def _sql(select: str) -> str:
@@ -270,37 +408,46 @@ ORACLES = {
         f"SELECT seg, idx, round(loglr, {R}) AS loglr, (SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bg b WHERE b.fold = t.fold AND b.loglr > t.loglr) AS n_louder FROM trig t"
     ),
     "per_arm_far": _sql(
-        """SELECT seg, idx, (SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bg b WHERE b.fold = t.fold AND b.loglr > t.loglr AND b.hm >= t.hm AND b.ai <> t.seg AND b.bi <> t.seg AND greatest(b.hm, b.lm) > 0.5) AS n_hm,
-        (SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bg b WHERE b.fold = t.fold AND b.loglr > t.loglr AND b.lm >= t.lm AND b.ai <> t.seg AND b.bi <> t.seg AND greatest(b.hm, b.lm) > 0.5) AS n_lm
+        """SELECT seg, idx, (SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bg b WHERE b.fold = t.fold AND b.loglr > t.loglr AND b.hm >= t.hm AND b.ai <> t.seg AND b.bi <> t.seg) AS n_hm,
+        (SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bg b WHERE b.fold = t.fold AND b.loglr > t.loglr AND b.lm >= t.lm AND b.ai <> t.seg AND b.bi <> t.seg) AS n_lm
         FROM trig t WHERE net > 4.0"""
     ),
-    "net_channel_far": _sql(f"SELECT seg, idx, round(net, {R}) AS net, (SELECT count(*) FROM fam f WHERE f.fold = t.fold AND f.net >= t.net) AS n_net FROM trig t"),
-    "poisson_ul": f"""WITH RECURSIVE n AS (SELECT unnest(range(21)) AS n), goal AS (SELECT n, n AS k, 0.1::DOUBLE AS p, 'ul' AS what FROM n UNION ALL SELECT n, n, 0.05, 'high' FROM n
-        UNION ALL SELECT n, n - 1, 0.95, 'low' FROM n WHERE n > 0), step AS (SELECT n, k, p, what, 0.0::DOUBLE AS lo, 100.0::DOUBLE AS hi, 0 AS i FROM goal UNION ALL
-        SELECT n, k, p, what, CASE WHEN c > p THEN mid ELSE lo END, CASE WHEN c > p THEN hi ELSE mid END, i + 1 FROM
-        (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(k + 1), lambda j: exp(-(lo + hi) / 2 + j * ln((lo + hi) / 2) - lgamma(j + 1)))) AS c FROM step) WHERE i < 70)
-        SELECT n, round(max(lo) FILTER (what = 'ul'), {R}) AS ul, coalesce(round(max(lo) FILTER (what = 'low'), {R}), 0.0) AS low, round(max(lo) FILTER (what = 'high'), {R}) AS high FROM step WHERE i = 70 GROUP BY n""",
-    "best_far_detections": _sql(
-        f"""SELECT seg, idx, round(far_lr, 1) AS far_lr, round(far_net, 1) AS far_net, round(best, 1) AS best_far,
-        CASE WHEN best IS NULL THEN NULL WHEN far_net IS NULL OR far_lr <= far_net THEN 'lr' ELSE 'net' END AS channel, greatest(hm, lm) < 0.5 AS is_glitch,
-        greatest(hm, lm) >= 0.5 AND coalesce(best < {CONFIG.far_threshold}, false) AS detected FROM
-        (SELECT *, CASE WHEN far_lr IS NULL THEN far_net WHEN far_net IS NULL THEN far_lr ELSE 2 * least(far_lr, far_net) END AS best FROM
-        (SELECT t.*, CASE WHEN loglr > 4.5 THEN (SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bg b WHERE b.fold = t.fold AND b.loglr > t.loglr) / live_yr END AS far_lr,
-        CASE WHEN net >= 4.0 THEN (SELECT count(*) FROM fam f WHERE f.fold = t.fold AND f.net >= t.net) / live_yr END AS far_net FROM trig t JOIN live USING (fold)))"""
+    "per_arm_net": _sql(
+        f""", {_ARMED} SELECT seg, idx, (SELECT count(*) FROM famf f WHERE f.fold = t.fold AND f.net >= t.net AND f.hm >= t.hm AND f.ai <> t.seg AND f.bi <> t.seg) AS n_hm,
+        (SELECT count(*) FROM famf f WHERE f.fold = t.fold AND f.net >= t.net AND f.lm >= t.lm AND f.ai <> t.seg AND f.bi <> t.seg) AS n_lm FROM trig t WHERE net > 4.0"""
+    ),
+    "gated_families": _sql(
+        f""", {_ARMED} SELECT seg, idx, (SELECT count(DISTINCT (b.bi, b.l1bin)) FROM bg b WHERE b.fold = t.fold AND b.loglr > t.loglr AND greatest(b.hm, b.lm) > 0.5) AS n_lr,
+        (SELECT count(*) FROM famf f WHERE f.fold = t.fold AND f.net >= t.net AND greatest(f.hm, f.lm) > 0.5) AS n_net FROM trig t"""
     ),
+    "candidates": _sql(f", {_CAND} SELECT seg, idx, round(net, {R}) AS net, round(loglr, {R}) AS loglr, matches_known FROM cand"),
+    "best_far_detections": _rated_sql(True) + _DONE,
+    "veto_detections": _rated_sql(False) + _DONE,
+    "detections_in_order": _rated_sql(True) + "SELECT (row_number() OVER (ORDER BY best_far, seg, idx))::INT AS place, seg, idx, round(best_far, 1) AS best_far, channel FROM done WHERE detected",
+    "named_events": f"""WITH RECURSIVE {_ALL}, ev AS (SELECT name, t.fold, t.loglr AS event_loglr FROM (SELECT *, {_LR} AS loglr FROM
+          (SELECT *, {_STUB} FROM (SELECT *, seg AS ai, seg AS bi, idx AS ih, idx AS il FROM zero))) t JOIN near USING (seg, idx)),
+        low AS (SELECT least(4.5::DOUBLE, min(event_loglr)) AS low FROM ev), bgn AS (SELECT * FROM (SELECT *, {_LR} AS loglr FROM bg1), low WHERE loglr > low),
+        loud AS (SELECT name, ai, floor(gps_h / 4.0) AS h, bi, floor(gps_l / 4.0) AS l FROM ev JOIN bgn b USING (fold) WHERE b.loglr > event_loglr),
+        p AS (SELECT name, ai, h, bi, l, count(*) AS n FROM loud GROUP BY ALL), f AS (SELECT name, bi, l, sum(n) AS n, count(*) AS pairs FROM p GROUP BY ALL),
+        s AS (SELECT ev.name, ev.fold, coalesce(sum(n), 0)::BIGINT AS n_raw, coalesce(sum(pairs), 0)::BIGINT AS n_dedup, count(f.name) AS n_l1, coalesce(max(pairs) / sum(pairs), 0.0)::DOUBLE AS share FROM ev LEFT JOIN f ON f.name = ev.name GROUP BY ALL),
+        want AS (SELECT DISTINCT n_l1 AS n FROM s), {_LIMITS}
+        SELECT name, fold, n_raw, n_dedup, n_l1, round(share, {R}) AS dominance, round(n_l1 / live_yr, 1) AS far, round(low / live_yr, 1) AS far_low, round(high / live_yr, 1) AS far_high, round(ul / live_yr, 1) AS far_ul,
+        n_l1 <= 2 OR share > 0.5 AS upper_limit FROM s LEFT JOIN live USING (fold) JOIN limits ON limits.n = n_l1""",
+    "net_channel_far": _sql(f"SELECT seg, idx, round(net, {R}) AS net, (SELECT count(*) FROM fam f WHERE f.fold = t.fold AND f.net >= t.net) AS n_net FROM trig t"),
+    "poisson_ul": f"WITH RECURSIVE want AS (SELECT unnest(range(21)) AS n), {_LIMITS} SELECT n, round(ul, {R}) AS ul, round(low, {R}) AS low, round(high, {R}) AS high FROM limits",
     "kept_by_label": _sql(
-        """SELECT seg, idx, CASE WHEN hm >= 0.5 AND lm >= 0.5 THEN 'HM+LM' WHEN hm >= 0.5 THEN 'HM' WHEN lm >= 0.5 THEN '+LM' ELSE 'none' END AS kept_by, greatest(hm, lm) < 0.5 AS is_glitch FROM trig"""
+        """SELECT seg, idx, CASE WHEN hm > 0.5 AND lm > 0.5 THEN 'HM+LM' WHEN hm > 0.5 THEN 'HM' WHEN lm > 0.5 THEN '+LM' ELSE 'none' END AS kept_by, greatest(hm, lm) < 0.5 AS is_glitch FROM trig"""
     ),
     "pair_dedup_dominance": _sql(
-        f"""SELECT fold, n_raw::BIGINT AS n_raw, n_dedup, n_l1, round(most / n_raw, {R}) AS dominance, n_l1 <= 2 OR round(most / n_raw, {R}) > 0.5 AS upper_limit FROM
-        (SELECT fold, sum(n) AS n_raw, count(*) AS n_l1, max(n) AS most FROM (SELECT fold, bi, l1bin, count(*) AS n FROM bg GROUP BY ALL) GROUP BY fold) JOIN
-        (SELECT fold, count(*) AS n_dedup FROM (SELECT DISTINCT fold, ai, floor(gps_h / 4.0) AS h, bi, l1bin FROM bg) GROUP BY fold) USING (fold)"""
+        f"""SELECT fold, sum(n)::BIGINT AS n_raw, sum(pairs)::BIGINT AS n_dedup, count(*) AS n_l1, round(max(pairs) / sum(pairs), {R}) AS dominance, count(*) <= 2 OR max(pairs) / sum(pairs) > 0.5 AS upper_limit FROM
+        (SELECT fold, bi, l1bin, sum(n) AS n, count(*) AS pairs FROM (SELECT fold, ai, floor(gps_h / 4.0) AS h, bi, l1bin, count(*) AS n FROM bg GROUP BY ALL) GROUP BY ALL) GROUP BY fold"""
     ),
     "coherence_ceiling": _sql(
-        f""", noise AS (SELECT ((ih * 31 + il * 17 + ai * 7 + bi * 3) % 1000) / 1000.0::DOUBLE * 0.6::DOUBLE AS coh FROM slide WHERE net >= 3.0),
-        top AS (SELECT max(coh) AS most, quantile_cont(coh, 0.99) AS p99, count(*) AS n FROM noise),
-        e AS (SELECT most, p99, n, avg(coh - p99) FILTER (coh > p99) AS excess FROM noise, top GROUP BY ALL)
-        SELECT n, round(most, {R}) AS most, round(p99, {R}) AS p99, round(excess, {R}) AS excess, round(least(greatest(most, p99 + excess * ln(n * 0.01::DOUBLE * 100)), 1.0), {R}) AS ceiling, round(most + 0.15, {R}) AS legacy FROM e"""
+        f""", {_CAND}, noise AS (SELECT coh FROM bg1 WHERE net >= 3.0), top AS (SELECT max(coh) AS most, quantile_cont(coh, 0.99) AS p99, count(*) AS n FROM noise),
+        e AS (SELECT greatest(1e-4, avg(coh - p99)) AS excess FROM noise, top WHERE coh > p99), k AS (SELECT (SELECT count(*) FROM pairs) * (SELECT arg_min(n, seg) FROM segs) AS slid, (SELECT max(coh) FROM tc) AS trig)
+        SELECT n, round(most, {R}) AS most, round(p99, {R}) AS p99, round(excess, {R}) AS excess,
+        round(least(1.0, greatest(most + excess * (ln(greatest(1.0, slid::DOUBLE / n)) + {CONFIG.ceiling_sigmas} * pi() / sqrt(6.0::DOUBLE)), trig + 0.02)), {R}) AS ceiling,
+        round(least(1.0, greatest(most, trig) + 0.15), {R}) AS legacy FROM top, e, k"""
     ),
     "coherence_maxlag": _sql(
         """, k AS (SELECT seg, idx, (seg * 131 + idx * 17) % 500 AS vh, (seg * 131 + idx * 17 + 7) % 500 AS vl FROM zero WHERE net > 2.0),

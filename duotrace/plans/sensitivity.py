@@ -18,6 +18,8 @@ EDGES = (50, 100, 200, 400)
 GRID = tuple(round(-3 + 0.25 * k, 2) for k in range(41))
 CURVE = ((-3.0, 4.0), (-1.0, 2.5), (0.0, 1.0), (2.0, -0.5), (5.0, -3.0))
 REPS = 200
+#: Chances that a Poisson variable of mean 1 is at most 0, 1, .. 9; beyond lies less than the grid of the draws (a millionth).
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(10))
 
 
 def _bin():
@@ -75,7 +77,7 @@ def roc_auc(spark, d):
 def reliability(spark, d):
     p = logistic(F.col("loglr"), 0.0, 1.0)
     out = _inj(spark, d).groupBy(F.floor(p * 10).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(p), R).alias("predicted"), F.round(F.avg(F.col("gated").cast("int")), R).alias("realised"))
-    return out.filter("n >= 10")
+    return out.filter("n >= 10 and bin between 0 and 9")  # a probability of 1 belongs to no bin
 
 
 def mass_density(spark, d):
@@ -123,10 +125,10 @@ def stratified_sample(spark, d):
 
 
 def poisson_bootstrap(spark, d):
-    """Bootstrap over segments, not rows: a segment's rows are summed once and weighted 0 to 5 in each repetition."""
+    """Bootstrap over segments, not rows: a segment's rows are summed once and weighted by a Poisson draw in each repetition."""
     sums = fx.windows(spark, d).groupBy("seg").agg(F.sum("sigma").alias("s"), F.count("*").alias("n"))
     u = ((F.col("rep").cast("long") * 15485863 + F.col("seg") * 104729 + 12345) * 7919) % 1000003 / 1000003.0
-    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.99634, 4).otherwise(5)
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
     reps = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))).alias("rep")).withColumn("w", weight)
     means = reps.groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
     return means.agg(*(F.round(F.percentile("mean", p), R).alias(n) for n, p in (("p05", 0.05), ("median", 0.5), ("p95", 0.95))))
@@ -184,7 +186,7 @@ ORACLES = {
     "roc_auc": _INJ + f""", r AS (SELECT mtot >= 200 AS pos, rank() OVER (ORDER BY round(loglr, 2)) + (count(*) OVER (PARTITION BY round(loglr, 2)) - 1) / 2.0::DOUBLE AS r FROM inj),
         s AS (SELECT count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n, sum(r) FILTER (pos) AS r FROM r)
         SELECT p AS n_pos, n AS n_neg, round((r - p * (p + 1) / 2) / (p::DOUBLE * n), {R}) AS auc FROM s""",
-    "reliability": _INJ + f"SELECT floor({_P} * 10)::BIGINT AS bin, count(*) AS n, round(avg({_P}), {R}) AS predicted, round(avg(gated::INT), {R}) AS realised FROM inj GROUP BY 1 HAVING count(*) >= 10",
+    "reliability": _INJ + f"SELECT floor({_P} * 10)::BIGINT AS bin, count(*) AS n, round(avg({_P}), {R}) AS predicted, round(avg(gated::INT), {R}) AS realised FROM inj GROUP BY 1 HAVING count(*) >= 10 AND bin BETWEEN 0 AND 9",
     "mass_density": _INJ + "SELECT floor(log10(mtot - mtot * q / (1 + q)) * 10)::BIGINT AS m1, floor(log10(mtot * q / (1 + q)) * 10)::BIGINT AS m2, count(*) AS n FROM inj GROUP BY ALL",
     "quantile_grid": _windows("""SELECT det, k::INT AS k, round(v[k + 1], 5) AS v FROM (SELECT det, quantile_cont(sigma, [""" + ", ".join(str(k / 32) for k in range(33)) + """]) AS v
         FROM win WHERE sigma >= 1 GROUP BY det), (SELECT unnest(range(33)) AS k)"""),
@@ -198,7 +200,7 @@ ORACLES = {
     "stratified_sample": _INJ + "SELECT inj_id, bin, noise_half FROM inj QUALIFY row_number() OVER (PARTITION BY bin, noise_half ORDER BY (inj_id * 7919) % 1000003, inj_id) <= 20",
     "poisson_bootstrap": _windows(f""", s AS (SELECT seg, sum(sigma) AS s, count(*) AS n FROM win GROUP BY seg),
         u AS (SELECT *, ((rep * 15485863 + seg * 104729 + 12345) * 7919) % 1000003 / 1000003.0::DOUBLE AS u FROM s, (SELECT unnest(range({REPS})) AS rep)),
-        m AS (SELECT rep, sum(w * s) / sum(w * n) AS mean FROM (SELECT *, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 WHEN u < 0.99634 THEN 4 ELSE 5 END AS w FROM u) GROUP BY rep)
+        m AS (SELECT rep, sum(w * s) / sum(w * n) AS mean FROM (SELECT *, {" + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in POISSON)} AS w FROM u) GROUP BY rep)
         SELECT round(quantile_cont(mean, 0.05), {R}) AS p05, round(quantile_cont(mean, 0.5), {R}) AS median, round(quantile_cont(mean, 0.95), {R}) AS p95 FROM m"""),
     "quality_bits": "SELECT seg, count(*) AS n, count(*) FILTER (good) AS n_good FROM (SELECT user_id % 8 AS seg, event_id // 4 AS w, bool_and(((event_id % 11 + 5) & 7) = 7) AS good FROM events GROUP BY ALL) GROUP BY seg",
     "kernel_density": _INJ + f"""SELECT x, round(avg(exp(-pow((x - loglr) / 0.5::DOUBLE, 2) / 2)) / (0.5::DOUBLE * sqrt(2 * pi())), {R}) AS density FROM inj, (SELECT (-2 + unnest(range(9)))::DOUBLE AS x) GROUP BY x""",

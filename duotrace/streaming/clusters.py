@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duotrace.config import SearchConfig
 
-def cluster_stream(triggers: DataFrame, gap: str = "5 seconds", delay: str = "30 seconds") -> DataFrame:
+
+def cluster_stream(triggers: DataFrame, config: SearchConfig = SearchConfig(), delay: str = "30 seconds") -> DataFrame:
     """seg, start, end, ts, net, n: a row for each session of triggers (seg, ts, net) of a segment, with its loudest one (the first of equals).
 
-    A session ends when nothing comes for `gap`; Spark merges triggers exactly `gap` apart or closer than that. Rows later
-    than `delay` behind the newest are dropped, as a watermark does.
+    A session ends when nothing comes for cluster_gap windows; triggers exactly that far apart are merged, as in
+    cluster.cluster_triggers. Rows later than `delay` behind the newest are dropped, as a watermark does.
     """
+    gap = f"{round(config.cluster_gap * config.stride_s * 1e6)} microseconds"
     loud = F.max(F.struct("net", (-F.unix_micros("ts")).alias("first")))
     out = triggers.withWatermark("ts", delay).groupBy("seg", F.session_window("ts", gap).alias("w")).agg(loud.alias("top"), F.count("*").alias("n"))
     return out.select("seg", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.timestamp_micros(-F.col("top.first")).alias("ts"), F.col("top.net").alias("net"), "n")

@@ -11,7 +11,6 @@ import pytest
 from test_queries import plain
 
 from duotrace.config import FULL
-from duotrace.functions.stats import poisson_upper
 from duotrace.operators.pairing import pairings
 from duotrace.plans import registry, search
 
@@ -50,25 +49,22 @@ def test_same_rows_as_sql(spark, name):
 def test_rates_by_brute_force(spark):
     clean = search._clean(spark, SF, FULL)[1]
     trig = search._trig(spark, SF).select("seg", "idx", "fold", "loglr", "net", "hm", "lm").collect()
-    loud, nets = defaultdict(dict), defaultdict(list)
-    for r in search.far.bounded_prune(clean, FULL).select("fold", "bi", "gps_l", "loglr").collect():
+    loud, nets, rows = defaultdict(dict), defaultdict(list), defaultdict(list)
+    for r in search.far.bounded_prune(clean, FULL).select("fold", "ai", "bi", "gps_l", "loglr", "hm", "lm").collect():
         key = r["bi"], r["gps_l"] // 4
         loud[r["fold"]][key] = max(loud[r["fold"]].get(key, -99.0), r["loglr"])
+        rows[r["fold"]].append((r["loglr"], r["ai"], r["bi"], key, r["hm"], r["lm"]))
     loud = {f: sorted(x.values()) for f, x in loud.items()}
     for r in search.cluster.family_max(clean, FULL).select("fold", "net").collect():
         nets[r["fold"]].append(r["net"])
     nets = {f: sorted(x) for f, x in nets.items()}
-    live = {r["fold"]: r["live_yr"] for r in search.far.livetime(clean, FULL).collect()}
     n_loud = {(r["seg"], r["idx"]): len(loud[r["fold"]]) - bisect_right(loud[r["fold"]], r["loglr"]) for r in trig}
     n_net = {(r["seg"], r["idx"]): len(nets[r["fold"]]) - bisect_left(nets[r["fold"]], r["net"]) for r in trig}
     assert {(r["seg"], r["idx"]): r["n_louder"] for r in registry.FULL_QUERIES["louder_families_full"](spark, SF).collect()} == n_loud
     assert {(r["seg"], r["idx"]): r["n_net"] for r in registry.FULL_QUERIES["net_channel_far_full"](spark, SF).collect()} == n_net
-    rows = {(r["seg"], r["idx"]): r for r in registry.FULL_QUERIES["best_far_detections_full"](spark, SF).collect()}
-    assert len(rows) == len(trig)
+    arms = {}
     for t in trig:
-        k, year = (t["seg"], t["idx"]), live[t["fold"]]
-        on = [n for n, good in ((n_loud[k], t["loglr"] > 4.5), (n_net[k], t["net"] >= 4.0)) if good]
-        far, ul = (len(on) * min(f(n) for n in on) / year if on else None for f in (float, poisson_upper))
-        assert rows[k]["best_far"] == (far if far is None else pytest.approx(far, abs=0.06))
-        assert rows[k]["best_ul"] == (ul if ul is None else pytest.approx(ul, rel=1e-6, abs=0.06))
-        assert rows[k]["detected"] == bool(max(t["hm"], t["lm"]) >= 0.5 and on and far < FULL.far_threshold and ul < FULL.far_threshold)
+        if t["net"] > 4:
+            met = [r for r in rows[t["fold"]] if r[0] > t["loglr"] and t["seg"] not in r[1:3]]
+            arms[t["seg"], t["idx"]] = len({r[3] for r in met if r[4] >= t["hm"]}), len({r[3] for r in met if r[5] >= t["lm"]})
+    assert {(r["seg"], r["idx"]): (r["n_hm"], r["n_lm"]) for r in registry.FULL_QUERIES["per_arm_far_full"](spark, SF).collect()} == arms

@@ -32,13 +32,12 @@ def test_upper_limits_of_large_counts(spark):
 
 
 def test_detections_have_limits_whatever_the_count(spark):
-    """1,000 louder families: both channels' limits are there, and the combined one is twice the lesser."""
-    from duotrace.operators.far import detections
+    """1,000 louder families: both channels' limits are there, and the combined one is that of the lesser rate, for two channels of two arms."""
+    from duotrace.operators.far import rates
 
     trig = spark.createDataFrame([(0, 1, 0, 5.0, 4.5, 0.9, 0.9)], "seg long, idx long, fold int, loglr double, net double, hm double, lm double")
-    background = spark.createDataFrame([(0, 2, 4.0 * k, 6.0) for k in range(1000)], "fold int, bi long, gps_l double, loglr double")
-    for loud, least in ((3, poisson_uppers(np.array([3]), 0.1)[0]), (1500, poisson_uppers(np.array([1000]), 0.1)[0])):
-        fam = spark.createDataFrame([(0, 5.0)] * loud, "fold int, net double")
-        row = detections(trig, background, fam, spark.createDataFrame([(0, 2.0)], "fold int, live_yr double")).first()
-        assert (row["n_louder"], row["n_net"]) == (1000, loud)
-        assert row["best_ul"] == pytest.approx(2 * least / 2.0, rel=1e-8) and row["ul_lr"] is not None
+    families = lambda n, score: spark.createDataFrame([(0, 2, 4, k, 6.0, 0.95, 0.95) for k in range(n)], f"fold int, ai long, bi long, l1bin long, {score} double, hm double, lm double")
+    for loud, least in ((3, 3), (1500, 1000)):
+        row = rates(trig, families(1000, "loglr"), families(loud, "net"), spark.createDataFrame([(0, 2.0)], "fold int, live_yr double")).first()
+        assert row["far_lr"] == 1000.0 and row["far_net"] == float(loud) and row["best_far"] == 2.0 * least
+        assert abs(row["best_ul"] - 2 * poisson_uppers(np.array([least]), 0.1)[0]) < 1e-6 * row["best_ul"]

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 from duotrace.operators import intervals, ranking
+from duotrace.operators.cluster import cluster_triggers
 from duotrace.streaming.clusters import cluster_stream, family_stream
 
 START = datetime(2020, 1, 1)
@@ -28,12 +29,14 @@ def test_clusters(spark, tmp_path):
     for seg in (0, 1):
         groups = []
         for r in (r for r in rows if r[0] == seg):
-            if groups and r[1] - groups[-1][-1][1] <= timedelta(seconds=5):
+            if groups and r[1] - groups[-1][-1][1] <= timedelta(seconds=4):
                 groups[-1].append(r)
             else:
                 groups.append([r])
         want += [(seg, max(g, key=lambda r: (r[2], -r[1].timestamp()))[1], max(r[2] for r in g), len(g)) for g in groups]
     assert sorted((r["seg"], r["ts"], r["net"], r["n"]) for r in got) == sorted(want)
+    batch = cluster_triggers(spark.createDataFrame([(seg, int((t - START).total_seconds()), net) for seg, t, net in rows], "seg int, idx int, net double")).collect()
+    assert sorted((r["seg"], START + timedelta(seconds=r["idx"]), r["net"]) for r in batch) == sorted(w[:3] for w in want)
 
 
 def test_families(spark, tmp_path):
