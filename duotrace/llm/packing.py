@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+import string
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +30,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """Token ids of texts, each distinct word tokenized once.
+#: The steps before the merges for which a text's ids are its words' ids: case and kinds of white space don't count, and runs of letters, digits and runs of signs stand alone.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+SIGNS = string.punctuation.encode()
 
-    For tokenizers that ignore case and drop white space: a text's ids are its words' ids in order.
-    """
+
+class Encoder:
+    """Token ids of texts; each distinct word is tokenized once where the tokenizer's own steps allow it (by_word), and texts whole otherwise."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model
+        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.kind, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
+        own = json.loads(self.tokenizer.to_str())
+        steps = [(own.get(k) or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        plain = own["model"]["type"] == "BPE" and own["model"].get("dropout") is None and all(t["content"].startswith("<|") for t in own["added_tokens"])
+        self.by_word = steps == [NORMALIZERS, SPLITTERS] and plain and not any(own[k] for k in ("truncation", "padding"))
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, word: bytes) -> bytes:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        if len(word) > 1 and word[-1:] in b".," and word[-2:-1].isalpha():  # punctuation after a letter is a piece of its own
-            stem = known.get(word[:-1])
-            if stem is None:
-                stem = known[word[:-1]] = self._ids(word[:-1].decode())
-            ids = stem + (known.get(word[-1:]) or self._ids(word[-1:].decode()))
+        if word.isalpha():  # lower-case ASCII letters, which the steps before the merges leave as they are
+            ids = array(self.code, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
         else:
-            ids = self._ids(word.decode())
+            stem = word.rstrip(SIGNS)
+            if stem and stem != word and (stem[-1:].isalnum() or stem.decode().lower()[-1].isalpha()):
+                signs = word[len(stem) :]
+                ids = (known.get(stem) or self._learn(stem)) + (known.get(signs) or self._learn(signs))
+            else:
+                ids = self._ids(word.decode())
         known[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         raw = text.encode()
-        if WHOLE.search(raw):
+        if not self.by_word or WHOLE.search(raw):
             return self._ids(text)
         get, learn = self.known.get, self._learn
         return b"".join([get(w) or learn(w) for w in raw.lower().split()])
