@@ -24,8 +24,8 @@ MEET_ROWS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 #: Bands of up to this many items are tested in pairs, and postings of differences with up to this many items that probe them.
 LEAF = 16
-#: Larger postings are tested against their lightest items this many times, before the pairs that are left are tested.
-ROUNDS = 4
+#: Larger postings are tested against their lightest items this many times before the pairs that are left are tested.
+ROUNDS = 1
 
 
 def _meeting(bands: Callable, most: int = MEET_ROWS):
@@ -201,49 +201,60 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(x.values if x.is_valid else [], np.int64) for x in column]
 
 
+#: A set of differences as 256 bits; `lost` are the differences that share a bit with another.
+BITS = ["b0", "b1", "b2", "b3"]
+
+
 def _centred(percent: int):
-    """For rows (p, item, n, added, lacking, more, less): the item's differences from the group's centre (p's set with `more` and without `less`), and their weight."""
+    """For rows (p, item, n, added, lacking, more, less): the item's differences from the group's centre (p's set with `more` and without `less`), their weight, and their places among 256 bits."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], []]
-            for n, *some in zip(batch.column("n").to_pylist(), *(_arrays(batch.column(c)) for c in ("added", "lacking", "more", "less"))):
+            out, bits, lost = [[], [], []], np.zeros((batch.num_rows, 4), U), []
+            for k, (n, *some) in enumerate(zip(batch.column("n").to_pylist(), *(_arrays(batch.column(c)) for c in ("added", "lacking", "more", "less")))):
                 added, lacking, more, less = some
                 beyond = np.concatenate((np.setdiff1d(added, more), np.setdiff1d(less, lacking)))
                 short = np.concatenate((np.setdiff1d(lacking, less), np.setdiff1d(more, added)))
                 out[0].append((100 + percent) * (len(beyond) + len(short)) - (100 - percent) * n), out[1].append(np.sort(beyond)), out[2].append(np.sort(short))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), _lists(out[1]), _lists(out[2])], names=["p", "item", "weight", "beyond", "short"])
+                place = np.unique(mix(np.concatenate((beyond, short)).view(U)) >> U(56))
+                np.bitwise_or.at(bits[k], (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+                lost.append(len(beyond) + len(short) - len(place))
+            columns = [batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), _lists(out[1]), _lists(out[2]), *(pa.array(bits[:, i].view(np.int64)) for i in range(4)), pa.array(lost, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["p", "item", "weight", "beyond", "short", *BITS, "lost"])
 
     return run
 
 
 def _postings(percent: int):
-    """For rows (p, item, weight, beyond, short, low, high): (key, item, weight, probe), a row for each difference that a partner must share one of.
+    """For rows (p, item, weight, beyond, short, low, high): (key, item, p, weight, probe), a row for each difference that a partner must share one of.
 
     Two items are similar if and only if they share (weight + weight) / (2 * (100 + percent)) differences at least. Of `need` shared
     ones, one lies among the first size - need + 1 of either item's in any common order; those beyond the centre come
-    first, being rarer. A link not yet found has a misfit on one side, which probes; the other lists itself once for each class
-    of misfits, by powers of two of what they need of the item nearest the centre, as the heavier need more of it.
+    first, being rarer. A link not yet found has a misfit on one side; the heavier item probes, and the lighter lists itself once
+    for its own class of weights and each heavier one (by powers of two of what such an item needs of the one nearest the
+    centre), as a heavier one needs more of it.
     """
     unit = 2 * (100 + percent)
 
     def run(batches):
         for batch in batches:
-            keys, items, weights, probes = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            keys, items, pivots, weights, probes = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             columns = (batch.column(c).to_pylist() for c in ("p", "item", "weight", "low", "high"))
             for p, item, weight, low, high, beyond, short in zip(*columns, _arrays(batch.column("beyond")), _arrays(batch.column("short"))):
                 h = mix(np.concatenate((beyond, short)).view(U) ^ mix(np.array([p], np.int64).view(U)))
-                add = lambda n, kind, probe: (keys.append(mix(h[:n] + U(kind))), items.append(np.full(n, item)), weights.append(np.full(n, weight)), probes.append(np.full(n, probe)))  # noqa: B023, E731
+                add = lambda n, kind, probe: (keys.append(mix(h[:n] + U(kind))), items.append(np.full(n, item)), pivots.append(np.full(n, p)), weights.append(np.full(n, weight)), probes.append(np.full(n, probe)))  # noqa: B023, E731
                 if weight + low > 0:
                     need = -(-(weight + low) // unit)
                     add(max(len(h) - need + 1, 0), need.bit_length(), True)
-                for kind in range(1, (-(-(high + low) // unit)).bit_length() + 1):
-                    need = max(1, -(-(((1 << (kind - 1)) - 1) * unit + 1 + weight - low) // unit))
+                own = max(-(-(weight + low) // unit), 0).bit_length()
+                for kind in range(max(own, 1), (-(-(high + low) // unit)).bit_length() + 1):
+                    least = weight if kind == own else ((1 << (kind - 1)) - 1) * unit + 1 - low  # of the weights that probe
+                    need = max(1, -(-(least + weight) // unit))
                     if len(h) >= need:
                         add(len(h) - need + 1, kind, False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(items)), pa.array(np.concatenate(weights)), pa.array(np.concatenate(probes))],
-                names=["key", "item", "weight", "probe"],
+                [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (items, pivots, weights, probes))],
+                names=["key", "item", "p", "weight", "probe"],
             )
 
     return run
@@ -254,15 +265,21 @@ def _labelled(rows: DataFrame, found: DataFrame, column: str = "item") -> DataFr
     return rows.join(found.withColumnRenamed("node", column), column, "left").withColumn("component", F.coalesce("component", column))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """(a, b) of rows with x, y and their components, which differ."""
-    return met.filter("c_x <> c_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
 def _across(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of rows (key, item, component) that meet by key and differ in component."""
     x, y = (df.select("key", F.col("item").alias(n), F.col("component").alias(f"c_{n}")) for df, n in ((left, "x"), (right, "y")))
-    return _pairs(x.join(y, "key"))
+    met = x.join(y.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("c_x") != F.col("c_y")) & (F.col("x") < F.col("y")))
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _enough(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows (key, item, component, weight and bits) that meet by key, differ in component and may share enough differences: their bits in common, and what shares a bit, bound how many."""
+    sides = (df.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("item", "component", "weight", "lost", *BITS))) for df, n in ((left, "x"), (right, "y")))
+    both = sum((F.bit_count(F.col(f"{b}_x").bitwiseAND(F.col(f"{b}_y"))) for b in BITS), F.least("lost_x", "lost_y"))
+    x, y = sides
+    right_, on = y.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")
+    met = x.join(right_, on & (F.col("component_x") != F.col("component_y")) & (2 * (100 + percent) * both >= F.col("weight_x") + F.col("weight_y")))
+    return met.select(F.least("item_x", "item_y").alias("a"), F.greatest("item_x", "item_y").alias("b"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -271,31 +288,36 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(per.filter("m > 0 and n > 0 and c <> d").select("key", "m"), "key")
 
 
-def _posted(large: DataFrame, texts: Callable, sets: Callable, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) links to the items nearest the centres, and the stored postings of all differences, for rows (key, item, n) of large bands."""
+def _posted(large: DataFrame, texts: Callable, sets: Callable, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b) links to the items nearest the centres, the stored postings of all differences, and the differences as bits, for rows (key, item, n) of large bands."""
     full = large.groupBy("item").agg(F.sum("n").alias("full"))
-    pivots = large.join(full, "item").groupBy("key").agg(F.max(F.struct("full", (-F.col("item")).alias("item"))).alias("m")).select("key", (-F.col("m.item")).alias("p"))
-    met = store(large.join(pivots, "key").select("p", "item").distinct())  # the pivot itself included
+    fullest = large.join(full, "item").groupBy("key").agg(F.max(F.struct("full", (-F.col("item")).alias("item"))).alias("m")).select("key", (-F.col("m.item")).alias("p"))
+    # Bands of one group of copies take one pivot: what most members' bands have, a member of this band or not.
+    most = lambda rows, by: rows.groupBy(by, "p").agg(F.count("*").alias("k")).groupBy(by).agg(F.max(F.struct("k", "p")).alias("m")).select(by, F.col("m.p").alias("p"))
+    favoured = most(large.join(fullest, "key"), "item")
+    pivots = store(most(large.join(favoured, "item"), "key"))
+    met = store(large.join(pivots, "key").select("p", "item").unionByName(pivots.select("p", F.col("p").alias("item"))).distinct())  # the pivot itself included
     body = store(texts(met.select(F.col("item").alias("id")).distinct()))
     side = lambda x: body.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     both = met.join(side("item"), "item").join(side("p"), "p").select("p", "item", "t_p", "t_item")
     diffs = store(both.mapInArrow(_diffs(sets), "p long, item long, n long, added array<long>, lacking array<long>"))
-    drop(body), drop(met)
+    drop(body), drop(met), drop(pivots)
     # What most of a group's members have, or lack, against the pivot, its centre has or lacks.
     each = lambda c: diffs.select("p", F.explode(c).alias("e")).groupBy("p", "e").agg(F.count("*").alias("k")).withColumn("kind", F.lit(c))
     size = diffs.groupBy("p").agg(F.count("*").alias("size"))
-    most = each("added").unionByName(each("lacking")).join(size, "p").filter(2 * F.col("k") > F.col("size"))
-    centre = most.groupBy("p").agg(F.collect_list(F.when(F.col("kind") == "added", F.col("e"))).alias("more"), F.collect_list(F.when(F.col("kind") == "lacking", F.col("e"))).alias("less"))
-    out = store(diffs.join(centre, "p", "left").mapInArrow(_centred(percent), "p long, item long, weight long, beyond array<long>, short array<long>"))
+    shared = each("added").unionByName(each("lacking")).join(size, "p").filter(2 * F.col("k") > F.col("size"))
+    centre = shared.groupBy("p").agg(F.collect_list(F.when(F.col("kind") == "added", F.col("e"))).alias("more"), F.collect_list(F.when(F.col("kind") == "lacking", F.col("e"))).alias("less"))
+    out = store(diffs.join(centre, "p", "left").mapInArrow(_centred(percent), "p long, item long, weight long, beyond array<long>, short array<long>, b0 long, b1 long, b2 long, b3 long, lost long"))
     drop(diffs)
     ends = out.groupBy("p").agg(F.min(F.struct("weight", "item")).alias("least"), F.max("weight").alias("high"))
     ends = ends.select("p", F.col("least.weight").alias("low"), F.col("least.item").alias("near"), "high")
     near = out.join(ends, "p").filter((F.col("weight") + F.col("low") <= 0) & (F.col("item") != F.col("near")))
     links = store(near.select(F.least("item", "near").alias("a"), F.greatest("item", "near").alias("b")).distinct())
     rows = out.join(ends.filter("high + low > 0").drop("near"), "p").select("p", "item", "weight", "beyond", "short", "low", "high")
-    posted = store(rows.mapInArrow(_postings(percent), "key long, item long, weight long, probe boolean"))
+    posted = store(rows.mapInArrow(_postings(percent), "key long, item long, p long, weight long, probe boolean"))
+    bits = store(out.select("p", "item", *BITS, "lost"))
     drop(out)
-    return links, posted
+    return links, posted, bits
 
 
 def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -305,11 +327,11 @@ def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataF
     of which `links` are similar. texts(ids) joins `id` to the text that sets() makes sets of; verify(pairs) keeps similar pairs.
 
     Bands of up to LEAF items that hold several components have their pairs across components tested. In a larger one every
-    member's exact differences from a centre are found: the set of the member whose bands are fullest, corrected to what
+    member's exact differences from a centre are found: the set of an item whose bands are fullest, corrected to what
     most members have. Members near enough to the centre are similar for sure, and linked. Any other is similar to a member if and
-    only if they share enough differences, so these meet by the rarer of their differences, not by the band. Where many still
-    meet under one, they are tested against the lightest member there, up to ROUNDS times, and what is then neither
-    connected nor alone in pairs. So the work goes with the members and their differences, save in groups where many
+    only if they share enough differences, so these meet by the rarer of their differences, not by the band, and pairs
+    whose differences as bits can't overlap enough go. Where many still meet under one, they are tested against the
+    lightest member there, up to ROUNDS times, and what is then neither connected nor alone in pairs. So the work goes with the members and their differences, save in groups where many
     members share rare differences and yet are not similar.
     """
     found = components(links)
@@ -337,7 +359,7 @@ def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataF
     if large.isEmpty():
         tested_too(pairs)
         return found
-    near, posted = _posted(large, texts, sets, percent)
+    near, posted, bits = _posted(large, texts, sets, percent)
     links = links.unionByName(near)
     found = components(links)
     for turn in range(ROUNDS + 1):
@@ -345,15 +367,17 @@ def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataF
         drop(posted)
         few = F.lit(True) if turn == ROUNDS else F.col("m") <= LEAF
         probes, listed = now.filter("probe"), now.filter("not probe")
-        pairs = pairs.unionByName(_across(probes.filter(few), listed.filter(few)))
-        hot = now.filter(~few).select("key", "item", "component", "weight", "probe")
+        drawn = lambda df: df.join(bits, ["p", "item"])  # noqa: B023, E731
+        pairs = pairs.unionByName(_enough(drawn(probes.filter(few)), drawn(listed.filter(few)), percent))
+        hot = now.filter(~few).select("key", "item", "p", "component", "weight", "probe")
         if turn == ROUNDS or hot.isEmpty():
             break
-        lightest = store(hot.filter("not probe").groupBy("key").agg(F.min(F.struct("weight", "item", "component")).alias("y")))
-        star = hot.filter("probe").select("key", F.col("item").alias("x"), F.col("component").alias("c_x")).join(lightest, "key").select("x", "c_x", F.col("y.item").alias("y"), F.col("y.component").alias("c_y"))
-        posted = store(hot.join(lightest, "key").filter(F.col("probe") | (F.struct("weight", "item") > F.struct("y.weight", "y.item"))).select("key", "item", "weight", "probe"))
-        tested_too(pairs.unionByName(_pairs(star)))
+        lightest = store(hot.filter("not probe").groupBy("key").agg(F.min(F.struct("weight", "item", "component", "p")).alias("y")).select("key", "y.*"))
+        star = _enough(drawn(hot.filter("probe")), drawn(lightest), percent)
+        left = hot.join(lightest.select("key", F.struct("weight", "item").alias("y")), "key").filter(F.col("probe") | (F.struct("weight", "item") > F.col("y")))
+        posted = store(left.select("key", "item", "p", "weight", "probe"))
+        tested_too(pairs.unionByName(star))
         pairs = pairs.limit(0)
     tested_too(pairs)
-    drop(rows), drop(now)
+    drop(rows), drop(now), drop(bits)
     return found

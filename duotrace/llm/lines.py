@@ -21,6 +21,8 @@ WEIGHTS = splitmix(ROWS, 31) | U(1)
 BAND_SEEDS = splitmix(BANDS, 32)
 STEP = U(0x9E3779B97F4A7C15)
 BASE = U(0xD1342543DE82EF95)
+#: A pair of lines whose minima agree this many standard errors below the threshold is not verified.
+ERRORS = 6
 NEWLINE, BLANKS = 10, (9, 10, 11, 12, 13, 32)
 BLANK = np.isin(np.arange(33), BLANKS)
 #: Bytes of text worked on at once, so that arrays of eight bytes a character stay in the processor's cache.
@@ -139,6 +141,35 @@ def _line_sets(column: pa.Array, q: int) -> list[np.ndarray]:
     return out
 
 
+def _signed(q: int):
+    """For rows (id, line): the same with 16 bits of each of the line's bucket minima."""
+
+    def run(batches):
+        for batch in batches:
+            out = [np.zeros((0, SLOTS), np.uint16)]
+            for _, _, data, offsets in chunks(batch.column(1), PIECE):
+                points, where = code_points(data, offsets)
+                out.append((mix(signatures(*shingles(points, where[:-1], where[1:], q), len(offsets) - 1)) >> U(48)).astype(np.uint16))
+            body = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in body], pa.binary())], names=["id", "line", "sig"])
+
+    return run
+
+
+def _hopeful(percent: int):
+    """Pairs (a, b, s_a, s_b, n) whose minima agree in a share of at least ERRORS standard errors below the threshold; n bounds the shingles of both."""
+
+    def run(batches):
+        t = percent / 100
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SLOTS) for k in (2, 3))
+            used = np.clip(np.asarray(batch.column(4)), 1, SLOTS)
+            keep = (x == y).mean(axis=1) >= t - ERRORS * np.sqrt(t * (1 - t) / used)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(q: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -152,11 +183,15 @@ def _verify(q: int, percent: int):
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, q: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of similar lines, stored. texts: id, line."""
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"t_{x}"))
-    near = F.least(F.char_length("t_a"), F.char_length("t_b")) > 0
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", "t_a", "t_b")
-    return store(both.mapInArrow(_verify(q, percent), "a long, b long"))
+    """The pairs (a, b) of similar lines, stored. texts: id, line, sig."""
+    side = lambda x, c, n: texts.select(F.col("id").alias(x), F.col(c).alias(f"{n}_{x}"), F.char_length("line").alias(f"n_{x}"))
+    rows = pairs.select("a", "b").join(side("a", "sig", "s"), "a").join(side("b", "sig", "s"), "b")
+    rows = rows.select("a", "b", "s_a", "s_b", (F.least("n_a", "n_b") - (q - 1)).alias("n"))
+    near = store(rows.mapInArrow(_hopeful(percent), "a long, b long"))
+    both = near.join(side("a", "line", "t"), "a").join(side("b", "line", "t"), "b").select("a", "b", "t_a", "t_b")
+    out = store(both.mapInArrow(_verify(q, percent), "a long, b long"))
+    drop(near)
+    return out
 
 
 def _lines(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -165,7 +200,7 @@ def _lines(docs: DataFrame, *more: str | Column) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).withColumn("id", F.xxhash64("line"))
 
 
-def repeated_lines(docs: DataFrame, characters: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, gone): for each document with lines to remove, their numbers from 0, in order.
 
     Lines are what newlines separate, compared as they are. Two lines are near copies if their sets of runs of
@@ -189,7 +224,7 @@ def repeated_lines(docs: DataFrame, characters: int = 5, percent: int = 80, doc_
     at = distinct.join(needed, "id", "left_semi").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.at").alias("_at"))
     here = _lines(docs, F.col("doc_id").alias("_doc")).withColumnRenamed("at", "_at")
     texts = here.join(at, (here["id"] == at["id"]) & (here["_at"] == at["_at"]) & here["_doc"].eqNullSafe(at["_doc"]), "left_semi").select("id", "line")
-    texts = store(texts.groupBy("id").agg(F.min("line").alias("line")))
+    texts = store(texts.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(_signed(characters), "id long, line string, sig binary"))
     drop(needed)
     verify = lambda some: _linked(some, texts, characters, percent)
     found = all_links(texts, _bands(characters, "line"), pairs, verify(pairs), lambda ids: texts.join(ids, "id", "left_semi").select("id", F.col("line").alias("text")), lambda column: _line_sets(column, characters), percent, verify)
@@ -206,7 +241,7 @@ def repeated_lines(docs: DataFrame, characters: int = 5, percent: int = 80, doc_
     return out
 
 
-def dedup_lines(docs: DataFrame, characters: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """docs with near and exact copies of lines taken out of `text`, and the counts n_lines and n_removed; see repeated_lines.
 
     Every row and every other column stays. A count whose name the table has already gets underscores after it. A text

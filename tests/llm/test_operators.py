@@ -156,7 +156,7 @@ def line_groups(docs):
     """Which lines go, by brute force."""
     where = [(d, k, x) for d, t in sorted(docs.items()) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
     lines = list(dict.fromkeys(x for *_, x in where))
-    sets = {k: {x[i : i + 5] for i in range(max(1, len(x) - 4))} for k, x in enumerate(lines)}
+    sets = {k: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for k, x in enumerate(lines)}
     group = roots(sets, similar(sets, 80))
     number, seen, gone = {x: k for k, x in enumerate(lines)}, set(), set()
     for d, k, x in where:
@@ -275,6 +275,35 @@ def test_minimax_is_least():
     assert minimax_cuts(np.zeros(0, np.int64), 3) == [0, 0, 0]
 
 
+def best_capacity(sizes, shards):
+    """The least largest sum of contiguous runs, by dynamic programming over all cuts."""
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    best = total[1:].astype(float)
+    for _ in range(shards - 1):
+        best = np.array([min(best[n], *(max(best[m], total[n + 1] - total[m + 1]) for m in range(n))) if n else best[0] for n in range(len(sizes))])
+    return int(best[-1])
+
+
+@pytest.mark.parametrize("bits, step", [(1, 1), (2, 3), (6, 8)])
+def test_shards_are_least_over_all_groups(spark, bits, step):
+    """Cuts fall between groups of equal texts wherever they are best, also inside the runs that the driver sums first."""
+    from pyspark.sql import functions as F
+
+    from duotrace.llm.sharding import shard
+
+    rng = random.Random(9)
+    rows = [(d, rng.choice("abcdefghij") * rng.choice((0, 1, 5, 40, 300)) + str(rng.randrange(50))) for d in range(160)] + [(900, None), (901, ""), (902, "x" * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("hash", "bucket", "shard", "salt", "size", "n", "k")})
+    groups = docs.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size")).orderBy("h").collect()
+    for shards in (1, 3, 7):
+        load, slots = Counter(), defaultdict(list)
+        for r in shard(docs, shards, bits=bits, step=step).collect():
+            load[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert max(load.values()) == best_capacity([g["size"] for g in groups], shards)
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 @needs_data
 def test_media_round_trip(spark):
     for r in registry.QUERIES["op8_chunk_store"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
