@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duotrace.config import SearchConfig
+from duotrace.functions.expr import net
 
 
 def cluster_stream(triggers: DataFrame, config: SearchConfig = SearchConfig(), delay: str = "30 seconds") -> DataFrame:
@@ -24,3 +25,21 @@ def family_stream(pairs: DataFrame, width: str = "4 seconds", delay: str = "30 s
     """fold, bi, start, net, n: the loudest pair of each family, a tumbling window of the second stream's time."""
     out = pairs.withWatermark("ts", delay).groupBy("fold", "bi", F.window("ts", width).alias("w")).agg(F.max("net").alias("net"), F.count("*").alias("n"))
     return out.select("fold", "bi", F.col("w.start").alias("start"), "net", "n")
+
+
+def coincidences(h: DataFrame, low: DataFrame, within: str = "15 milliseconds", delay: str = "30 seconds") -> DataFrame:
+    """seg, ts_h, ts_l, net: triggers (seg, ts, sigma) of both streams that come within a time of each other.
+
+    A stream-stream join: both sides' watermarks and the time bound let Spark drop rows that can no longer meet another.
+    """
+    a = h.withWatermark("ts", delay).select("seg", F.col("ts").alias("ts_h"), F.col("sigma").alias("sigma_h"))
+    b = low.withWatermark("ts", delay).select(F.col("seg").alias("seg_l"), F.col("ts").alias("ts_l"), F.col("sigma").alias("sigma_l"))
+    span = F.expr(f"interval {within}")
+    met = a.join(b, (F.col("seg") == F.col("seg_l")) & (F.col("ts_l") >= F.col("ts_h") - span) & (F.col("ts_l") <= F.col("ts_h") + span))
+    return met.select("seg", "ts_h", "ts_l", net(F.col("sigma_h"), F.col("sigma_l")).alias("net"))
+
+
+def sliding(samples: DataFrame, width: str = "4 seconds", step: str = "1 second", delay: str = "30 seconds") -> DataFrame:
+    """seg, start, n, mean: sliding windows over an unbounded stream of samples (seg, ts, value)."""
+    out = samples.withWatermark("ts", delay).groupBy("seg", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return out.select("seg", F.col("w.start").alias("start"), "n", "mean")

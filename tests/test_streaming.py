@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from duotrace.operators import intervals, ranking
 from duotrace.operators.cluster import cluster_triggers
-from duotrace.streaming.clusters import cluster_stream, family_stream
+from duotrace.streaming.clusters import cluster_stream, coincidences, family_stream, sliding
 
 START = datetime(2020, 1, 1)
 
@@ -48,6 +48,30 @@ def test_families(spark, tmp_path):
     assert sorted((r["fold"], r["bi"], int((r["start"] - START).total_seconds()) // 4, r["net"], r["n"]) for r in got) == sorted((*k, max(v), len(v)) for k, v in want.items())
 
 
+def test_coincidences_resume_where_they_stopped(spark, tmp_path):
+    """Two runs over one checkpoint see each row once; pairs are those of a plain loop."""
+    rng = random.Random(4)
+    rows = {x: [(k % 2, START + timedelta(milliseconds=rng.randrange(3000)), float(k)) for k in range(60)] for x in "hl"}
+    schema = "seg int, ts timestamp, sigma double"
+    paths = {x: str(tmp_path / x) for x in "hl"}
+    got = []
+    for part in (slice(0, 40), slice(40, None)):
+        for x in "hl":
+            spark.createDataFrame(rows[x][part], schema).write.mode("append").parquet(paths[x])
+        out = coincidences(*(spark.readStream.schema(schema).parquet(paths[x]) for x in "hl"))
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = sorted((r["seg"], r["ts_h"], r["ts_l"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = sorted((a[0], a[1], b[1]) for a in rows["h"] for b in rows["l"] if a[0] == b[0] and abs(a[1] - b[1]) <= timedelta(milliseconds=15))
+    assert got == want and want
+
+
+def test_sliding_windows(spark, tmp_path):
+    rows = [(0, START + timedelta(seconds=k), float(k)) for k in range(12)]
+    got = run(spark, sliding, spark.createDataFrame(rows, "seg int, ts timestamp, value double"), str(tmp_path / "s"), "sliding")
+    assert {int((r["start"] - START).total_seconds()): (r["n"], r["mean"]) for r in got if r["n"] == 4} == {k: (4, k + 1.5) for k in range(9)}
+
+
 def test_subtract_by_seconds(spark):
     rng = random.Random(7)
     some = lambda n: [(rng.randrange(2), a := rng.randrange(80), a + rng.randrange(12)) for _ in range(n)]
