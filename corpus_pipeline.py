@@ -1,4 +1,10 @@
-"""From raw documents to packed token sequences: five stages, each written as Parquet and read by the next."""
+"""From raw documents to packed token sequences: five stages, each written as Parquet and read by the next.
+
+Every stage takes null, empty and very long texts, repeated rows, null ids, empty tables and further columns, and keeps the
+columns it was given: null and empty texts are never near copies, contaminated or without a line, and are kept as they are;
+a null doc_id is kept by every stage that removes documents by id, and rejected by its own score; repeated rows of one doc_id
+stay or go together; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -25,8 +31,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and near lines the first stays. n_chars follows the text; documents left without a line that isn't blank go, those that had none stay."""
-    out = dedup_lines(docs.select(*docs.columns))
-    lost = (F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", r"[\x09-\x0D\x20]", "")) == 0)
+    total, removed = (name + "_" * max(len(c) for c in docs.columns) for name in ("lines", "removed"))  # names that no column has
+    out = dedup_lines(docs, n_lines=total, n_removed=removed)
+    lost = (F.col(removed) > 0) & ~F.col("text").rlike(r"[^\x09-\x0D\x20]")
     out = out.filter(~F.coalesce(lost, F.lit(False))).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
@@ -50,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: A classifier, tokenizers and iterated components are beyond SQL; tests/llm compares each stage with a plain version.
+#: A classifier, tokenizers and iterated components are beyond SQL; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
