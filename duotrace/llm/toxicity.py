@@ -217,7 +217,10 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, use: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A classifier from labelled texts whose labels row satisfies `use`: at most FIT_ROWS of them, whole texts.
 
-    Null labels and ids are passed over. With no rows, or one class only, the model is the smoothed share of toxic rows.
+    Null labels and ids are passed over; a doc_id that is labelled twice is toxic if any label is 1. With no rows (an empty
+    table of documents or labels), or one class only, the model is the smoothed share of toxic rows. Very long texts are
+    read whole. Only features that SEEN fitted texts have, with a gain of LEAST_G and among the FEATURES best, are weighted:
+    rarer ones are left out, as too few labels speak for them.
     """
     spark = prepare(docs.sparkSession)
     rows = labels.filter(use & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
@@ -251,7 +254,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     """(doc_id, score) for every row of docs: the probability that label 1 holds. Only the text counts.
 
     Null and empty texts get the score of a text without any feature; repeated rows are scored alike; a null doc_id is
-    kept; other columns are ignored.
+    kept; very long texts are read whole; an empty table gives no rows; other columns are ignored.
     """
     prepare(docs.sparkSession)
     m = docs.sparkSession.sparkContext.broadcast(model)

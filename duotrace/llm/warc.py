@@ -232,14 +232,15 @@ def _rows(columns):
 def read_archives(files: DataFrame, tasks: int) -> DataFrame:
     """One row a record of the WARC files in column `path`: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit's payload_bytes and refers_to come from the record that it refers to.
+    A revisit's payload_bytes and refers_to come from the record that it refers to; the job fails if no file has that one.
     """
     found = files.select("path").repartition(max(1, tasks)).mapInArrow(_read, "page_id long, record_id string, record_type string, refers_to_id string, bytes long, payload_digest string")
     found = store(found)
     whole = found.filter("refers_to_id is null")
     kept = whole.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("payload_bytes"))
     kept = store(kept.dropDuplicates(["refers_to_id"]))
-    again = found.filter("refers_to_id is not null").join(kept, "refers_to_id")
+    again = found.filter("refers_to_id is not null").join(kept, "refers_to_id", "left")
+    again = again.filter(F.assert_true(F.col("payload_bytes").isNotNull(), F.concat(F.lit("a revisit's record is missing: "), "refers_to_id")).isNull())
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return whole.select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(again.select(*columns))
 

@@ -201,6 +201,36 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.05 * len(good)
 
 
+def test_the_penalty_takes_the_blame_off_group_terms(monkeypatch):
+    """Toxic rows mention one group more often. With the penalty a swap changes the score less, neutral mentions are no longer rejected, and insults are found as well as before."""
+    from duotrace.llm import toxicity
+
+    rng = np.random.default_rng(6)
+    group, other, insult, word = range(4)
+    plain, toxic = [], []
+    for k in range(600):
+        bad = k % 3 == 0
+        row = {insult} if bad and rng.random() < 0.75 else set()
+        row |= {group} if rng.random() < (0.75 if bad else 0.04) else set()
+        row |= {other} if rng.random() < 0.05 else set()
+        row |= {word} if rng.random() < 0.5 else set()
+        plain.append(np.array(sorted(row), np.uint16)), toxic.append(float(bad))
+    swap = {group: other, other: group}
+    swapped = [np.array(sorted({swap.get(int(x), int(x)) for x in row}), np.uint16) for row in plain]
+    toxic, weights = np.array(toxic), {}
+    for penalty in (0.0, toxicity.COUNTERFACTUAL):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", penalty)
+        weights[penalty] = toxicity.fit(toxic, plain, swapped, 4)
+    old, new = weights.values()
+    chance = lambda w, row: 1 / (1 + np.exp(-(sum(w[x] for x in row) + w[-1])))
+    change = lambda w: np.mean([abs(chance(w, a) - chance(w, b)) for a, b in zip(plain, swapped)])
+    print("change under swap", change(old), change(new), "neutral mention", chance(old, [group]), chance(new, [group]))
+    assert change(new) < 0.5 * change(old)
+    assert chance(old, [group]) > 0.7 > chance(new, [group])  # 0.7 is where a text is rejected
+    found = lambda w: np.mean([chance(w, row) > 0.5 for row, y in zip(plain, toxic) if y and insult in row])
+    assert found(new) >= found(old) - 0.02
+
+
 @needs_data
 def test_packing_round_trip(spark):
     import public_tokenizers as P
@@ -231,6 +261,28 @@ def test_packing_round_trip(spark):
         assert at <= 4096
 
 
+def test_words_give_the_ids_of_whole_texts():
+    """The word-by-word encoder against the tokenizer, on odd texts."""
+    from duotrace.llm.packing import Encoder, default_tokenizer
+
+    encoder, rng = Encoder(default_tokenizer()), random.Random(1)
+    assert encoder.by_word
+    odd = ["don't", "It's", "'S", "é", "É", "İ", "ΣΑΣ", "ﬁ", "１2", "a1b", "--", "...", "x,y", "<|endoftext|>", "<", "|>", "\xa0", "\u3000", "\x1c", "\t", "\n", "\x0b", "\u0338", "=", "ß", "中文", "🙂", "a" * 300, "can''t", "'re", "Ⅷ", "\u200b", "word,%%%", "é%%%", "x'", "y's,", "\x85", "Äb.c"]
+    for _ in range(4000):
+        text = "".join(rng.choice(odd) + rng.choice((" ", "", "\n", ", ")) for _ in range(rng.randrange(12)))
+        assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    import public_tokenizers as P
+
+    from duotrace.llm.packing import Encoder
+
+    encoder, text = Encoder(P.path("byte_bpe_50k.json")), "Case  matters,\n and so does  white space.\n\n"
+    assert not encoder.by_word
+    assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_schedule_keeps_proportions():
     totals, weights = [50_000, 9_000, 100], [60, 30, 10]
     plan = Schedule(totals, weights, 1000)
