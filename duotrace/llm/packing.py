@@ -18,6 +18,8 @@ from ._io import prepare, store, text_or_empty
 LENGTH, END = 4096, 2
 #: Word pieces a Python worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: Slices of a queue whose places are found apart.
+SLICES = 1024
 #: The places of source queues in partitions are broadcast up to this many rows (about 60 bytes each).
 BROADCAST_ROWS = 500_000
 #: Texts with these are given to the tokenizer whole; any other falls apart at ASCII white space.
@@ -229,7 +231,8 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     Each document's tokens and an end token are cut into pieces, and pieces packed into sequences of 4096 tokens, so that
     each sequence holds the sources in their target proportions (by default their shares of all tokens, so that all
     sources last to the end). Only the last sequence may be shorter. Sources whose share is under one token a sequence
-    take turns as one queue, so there are at most 4096 queues; nothing is left out.
+    are one queue, in which their blocks (a partition's tokens of a source) come by the share of their source that has
+    gone before, so each is in proportion to a block; there are at most 4096 queues, and nothing is left out.
 
     A partition's documents queue in its order, partitions in theirs. Null and empty texts are one end token. A null
     source is a source of its own; repeated rows are packed each; other columns are ignored; an empty table gives no rows.
@@ -258,9 +261,16 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     plan = spark.sparkContext.broadcast(Schedule(totals, weights))
 
     queues = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "source string, queue int")
-    before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
     places = sizes.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
-    places = store(places.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+    # A queue takes its sources' blocks (their tokens of a partition) by how much of their own source has gone before, so
+    # that sources that share a queue stay in proportion to a block. Only sums of SLICES slices meet in a queue's window.
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gone = places.withColumn("gone", ahead / F.sum("n").over(Window.partitionBy("source"))).withColumn("slice", F.floor(F.col("gone") * SLICES))
+    earlier = Window.partitionBy("queue").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = gone.groupBy("queue", "slice").agg(F.sum("n").alias("m")).select("queue", "slice", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("queue", "slice").orderBy("gone", "source", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("base")
+    places = store(gone.join(slices, ["queue", "slice"]).select("source", "part", "queue", base))
     few = places.count() <= BROADCAST_ROWS
     placed = rows.join(F.broadcast(places) if few else places, ["source", "part"])
     kind = "<u2" if Encoder(path).kind.itemsize == 2 else "<u4"

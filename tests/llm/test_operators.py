@@ -261,6 +261,21 @@ def test_packing_round_trip(spark):
         assert at <= 4096
 
 
+def test_small_sources_stay_in_proportion(spark):
+    """Sources under one token a sequence share a queue: each begins, is half done and ends as the others do, to a block."""
+    from duotrace.llm.packing import pack
+
+    docs = spark.range(0, 24_000, numPartitions=8).selectExpr("id as doc_id", "concat('word', id) as text", "concat('site', id % 6000) as source")
+    rows = pack(docs).collect()
+    assert len({r["doc_id"] for r in rows}) == 24_000
+    last = max(r["sequence_id"] for r in rows)
+    seen = defaultdict(list)
+    for r in rows:
+        seen[r["doc_id"] % 6000].append(r["sequence_id"])
+    early = sum(min(x) <= last / 2 for x in seen.values())
+    assert early > 5900 and sum(max(x) >= last / 2 for x in seen.values()) > 5900
+
+
 def test_words_give_the_ids_of_whole_texts():
     """The word-by-word encoder against the tokenizer, on odd texts."""
     from duotrace.llm.packing import Encoder, default_tokenizer
