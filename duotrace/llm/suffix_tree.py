@@ -22,8 +22,8 @@ LEAST = 2
 DIVERGENCE = 3.0
 #: Bytes of runs and counts for a byte of text, at most.
 GRAM_BYTES = 4
-#: Words that a mapper encodes as one block.
-BLOCK_TOKENS = 750_000
+#: Words, or bytes of symbols, that a mapper encodes as one block; a longer text is a block of its own.
+BLOCK_TOKENS, BLOCK_BYTES = 400_000, 5 << 19
 
 
 def _streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -44,43 +44,61 @@ def runs(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return six[keep]
 
 
-def _encode(batches):
-    """Texts to blocks: the block's words with their training counts, its documents as numbers of those words, and their symbols."""
+def _blocks(batches, entries, size: int, names: list[str], packed):
+    """Rows of texts (id, text, train) to blocks: entries() gives parts of one and how much they are; packed() the row of a full block."""
     from pyspark import TaskContext
 
-    task, serial = TaskContext.get().partitionId(), 0
-    held, rows = [], 0
+    task, serial, held, rows = TaskContext.get().partitionId(), 0, [], 0
 
     def block():
-        nonlocal serial
-        ids, sizes, train, words, streams = [], [], [], [], []
-        for i, n, t, w, s in held:
-            ids.append(i), sizes.append(n), train.append(t), words.append(w), streams.extend(s)
-        ids, sizes, train, words = (np.concatenate(x) for x in (ids, sizes, train, words))
-        vocabulary, inverse = np.unique(words, return_inverse=True)
-        counts = np.bincount(inverse, weights=np.repeat(train, sizes), minlength=len(vocabulary)).astype(np.uint32)
-        lengths = np.array([len(x) for x in streams], np.uint32)
-        serial += 1
-        row = [(task << 32) + serial, vocabulary, counts, ids, sizes.astype(np.uint32), inverse.astype(np.uint32), np.frombuffer(b"".join(streams), np.uint8), lengths, train.astype(np.uint8)]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row[1:])], names=["block", "words", "counts", "docs", "sizes", "tokens", "symbols", "lengths", "train"])
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in packed(*zip(*held))]
+        return pa.RecordBatch.from_arrays([pa.array([(task << 32) + serial], pa.int64()), *columns], names=["block", *names])
 
     for batch in batches:
         ids, train = np.asarray(batch.column(0)), np.asarray(batch.column(2).to_pylist(), bool)
-        for lo, hi, data, offsets in chunks(batch.column(1)):
-            low = LOWER[data]
-            starts, ends, first = word_spans(low, offsets)
-            h = span_hashes(low, starts, ends)
-            h = np.insert(h, first[1:], END_WORD)
-            sizes = np.diff(first) + 1
-            held.append((ids[lo:hi], sizes, train[lo:hi], h, _streams(data, offsets)))
-            rows += len(h)
-            if rows >= BLOCK_TOKENS:
+        for lo, hi, data, offsets in chunks(batch.column(1), BLOCK_BYTES):
+            *part, n = entries(data, offsets)
+            held.append((ids[lo:hi], train[lo:hi], *part))
+            rows += n
+            if rows >= size:
                 yield block()
-                held, rows = [], 0
+                serial, held, rows = serial + 1, [], 0
     if held:
         yield block()
 
 
+def _word_blocks(batches):
+    """A block's words with their training counts, and its documents as numbers of those words."""
+
+    def entries(data, offsets):
+        low = LOWER[data]
+        starts, ends, first = word_spans(low, offsets)
+        h = np.insert(span_hashes(low, starts, ends), first[1:], END_WORD)
+        return np.diff(first) + 1, h, len(h)
+
+    def packed(ids, train, sizes, words):
+        ids, train, sizes, words = (np.concatenate(x) for x in (ids, train, sizes, words))
+        vocabulary, inverse = np.unique(words, return_inverse=True)
+        counts = np.bincount(inverse, weights=np.repeat(train, sizes), minlength=len(vocabulary))
+        return vocabulary, counts.astype(np.uint32), ids, sizes.astype(np.uint32), inverse.astype(np.uint32)
+
+    return _blocks(batches, entries, BLOCK_TOKENS, ["words", "counts", "docs", "sizes", "tokens"], packed)
+
+
+def _symbol_blocks(batches):
+    """A block's documents as symbols."""
+
+    def entries(data, offsets):
+        streams = _streams(data, offsets)
+        return streams, sum(map(len, streams))
+
+    def packed(ids, train, streams):
+        streams = [x for some in streams for x in some]
+        return np.concatenate(ids), np.frombuffer(b"".join(streams), np.uint8), np.array([len(x) for x in streams], np.uint32), np.concatenate(train).astype(np.uint8)
+
+    return _blocks(batches, entries, BLOCK_BYTES, ["docs", "symbols", "lengths", "train"], packed)
+
+
 def _count_mapper(n_parts: int):
     def run(batches):
         packer = Packer(n_parts, 4)
@@ -309,22 +327,21 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     n = parts_for(spark, GRAM_BYTES * text_bytes(docs, text))
     null = -(1 << 63)
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("doc_id"), text_or_empty(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = store(docs.mapInArrow(_encode, "block long, words binary, counts binary, docs binary, sizes binary, tokens binary, symbols binary, lengths binary, train binary"))
+    blocks = store(docs.mapInArrow(_word_blocks, "block long, words binary, counts binary, docs binary, sizes binary, tokens binary"))
     found = store(exchange(blocks.select("block", "words", "counts"), _count_mapper(n), 4, _count_reducer, "block long, places binary, totals binary, tokens long, distinct long"))
     tokens, distinct = (int(x or 0) for x in found.agg(F.sum("tokens"), F.sum("distinct")).first())
     per_block = found.filter("block <> -1").groupBy("block").agg(F.collect_list(F.struct("places", "totals")).alias("found"))
     base = store(blocks.select("block", "docs", "sizes", "tokens").join(per_block, "block").mapInArrow(_base, "doc_id long, n_tokens long, n_known long, logs double"))
 
-    drop(found)
-    texts = blocks.select("block", "docs", "symbols", "lengths", "train")
-    rows = texts.mapInArrow(_short_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    short = spark.sparkContext.broadcast(Short(*(rows[c].to_numpy(np.int64) for c in ("gram", "n"))))
+    drop(found), drop(blocks)
+    texts = store(docs.mapInArrow(_symbol_blocks, "block long, docs binary, symbols binary, lengths binary, train binary"))
+    rows = texts.mapInArrow(_short_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    short = spark.sparkContext.broadcast(Short(*(rows.column(c).to_numpy() for c in ("gram", "n"))))
     packed = texts.mapInArrow(_gram_mapper(n), "part int, block long, grams binary, times binary")
     logs = store(packed.groupBy("part").applyInArrow(_gram_reducer(short), "part int, block long, logs binary"))
     per_block = logs.groupBy("block").agg(F.collect_list(F.struct("part", "logs")).alias("found"))
     scores = store(texts.join(per_block, "block").mapInArrow(_adder(n), "doc_id long, score double"))
-    drop(logs)
-    drop(blocks)
+    drop(logs), drop(texts)
     joined = base.unionByName(scores, allowMissingColumns=True).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")))
     return joined.select(
         F.when(F.col("doc_id") != null, F.col("doc_id")).alias("doc_id"),
