@@ -201,25 +201,25 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(x.values if x.is_valid else [], np.int64) for x in column]
 
 
-#: A set of differences as 256 bits; `lost` are the differences that share a bit with another.
-BITS = ["b0", "b1", "b2", "b3"]
+#: A set of differences as 1024 bits; `lost` are the differences that share a bit with another.
+BITS = [f"b{k}" for k in range(16)]
 
 
 def _centred(percent: int):
-    """For rows (p, item, n, added, lacking, more, less): the item's differences from the group's centre (p's set with `more` and without `less`), their weight, and their places among 256 bits."""
+    """For rows (p, item, n, added, lacking, more, less): the item's differences from the group's centre (p's set with `more` and without `less`), their weight, and their places among 1024 bits."""
 
     def run(batches):
         for batch in batches:
-            out, bits, lost = [[], [], []], np.zeros((batch.num_rows, 4), U), []
+            out, bits, lost = [[], [], []], np.zeros((batch.num_rows, len(BITS)), U), []
             for k, (n, *some) in enumerate(zip(batch.column("n").to_pylist(), *(_arrays(batch.column(c)) for c in ("added", "lacking", "more", "less")))):
                 added, lacking, more, less = some
                 beyond = np.concatenate((np.setdiff1d(added, more), np.setdiff1d(less, lacking)))
                 short = np.concatenate((np.setdiff1d(lacking, less), np.setdiff1d(more, added)))
                 out[0].append((100 + percent) * (len(beyond) + len(short)) - (100 - percent) * n), out[1].append(np.sort(beyond)), out[2].append(np.sort(short))
-                place = np.unique(mix(np.concatenate((beyond, short)).view(U)) >> U(56))
+                place = np.unique(mix(np.concatenate((beyond, short)).view(U)) >> U(54))
                 np.bitwise_or.at(bits[k], (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
                 lost.append(len(beyond) + len(short) - len(place))
-            columns = [batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), _lists(out[1]), _lists(out[2]), *(pa.array(bits[:, i].view(np.int64)) for i in range(4)), pa.array(lost, pa.int64())]
+            columns = [batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), _lists(out[1]), _lists(out[2]), *(pa.array(bits[:, i].view(np.int64)) for i in range(len(BITS))), pa.array(lost, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["p", "item", "weight", "beyond", "short", *BITS, "lost"])
 
     return run
@@ -272,13 +272,18 @@ def _across(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _enough(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows (key, item, component, weight and bits) that meet by key, differ in component and may share enough differences: their bits in common, and what shares a bit, bound how many."""
-    sides = (df.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("item", "component", "weight", "lost", *BITS))) for df, n in ((left, "x"), (right, "y")))
+def _enough(left: DataFrame, right: DataFrame, percent: int, exactly: bool = False) -> DataFrame:
+    """(a, b) of rows (key, item, component, weight and bits) that meet by key, differ in component and may share enough differences: their bits in common, and what shares a bit, bound how many. exactly: the differences themselves are counted too."""
+    lists = ["beyond", "short"] if exactly else []
+    sides = (df.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("item", "component", "weight", "lost", *BITS, *lists))) for df, n in ((left, "x"), (right, "y")))
     both = sum((F.bit_count(F.col(f"{b}_x").bitwiseAND(F.col(f"{b}_y"))) for b in BITS), F.least("lost_x", "lost_y"))
     x, y = sides
     right_, on = y.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")
-    met = x.join(right_, on & (F.col("component_x") != F.col("component_y")) & (2 * (100 + percent) * both >= F.col("weight_x") + F.col("weight_y")))
+    enough = lambda shared: 2 * (100 + percent) * shared >= F.col("weight_x") + F.col("weight_y")
+    on = on & (F.col("component_x") != F.col("component_y")) & enough(both)
+    if exactly:
+        on &= enough(sum((F.size(F.array_intersect(f"{c}_x", f"{c}_y")) for c in lists), F.lit(0)))
+    met = x.join(right_, on)
     return met.select(F.least("item_x", "item_y").alias("a"), F.greatest("item_x", "item_y").alias("b"))
 
 
@@ -289,7 +294,7 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _posted(large: DataFrame, texts: Callable, sets: Callable, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a, b) links to the items nearest the centres, the stored postings of all differences, and the differences as bits, for rows (key, item, n) of large bands."""
+    """(a, b) links to the items nearest the centres, the stored postings of all differences, and these differences, also as bits, for rows (key, item, n) of large bands."""
     full = large.groupBy("item").agg(F.sum("n").alias("full"))
     fullest = large.join(full, "item").groupBy("key").agg(F.max(F.struct("full", (-F.col("item")).alias("item"))).alias("m")).select("key", (-F.col("m.item")).alias("p"))
     # Bands of one group of copies take one pivot: what most members' bands have, a member of this band or not.
@@ -307,7 +312,7 @@ def _posted(large: DataFrame, texts: Callable, sets: Callable, percent: int) ->
     size = diffs.groupBy("p").agg(F.count("*").alias("size"))
     shared = each("added").unionByName(each("lacking")).join(size, "p").filter(2 * F.col("k") > F.col("size"))
     centre = shared.groupBy("p").agg(F.collect_list(F.when(F.col("kind") == "added", F.col("e"))).alias("more"), F.collect_list(F.when(F.col("kind") == "lacking", F.col("e"))).alias("less"))
-    out = store(diffs.join(centre, "p", "left").mapInArrow(_centred(percent), "p long, item long, weight long, beyond array<long>, short array<long>, b0 long, b1 long, b2 long, b3 long, lost long"))
+    out = store(diffs.join(centre, "p", "left").mapInArrow(_centred(percent), "p long, item long, weight long, beyond array<long>, short array<long>, " + ", ".join(f"{b} long" for b in BITS) + ", lost long"))
     drop(diffs)
     ends = out.groupBy("p").agg(F.min(F.struct("weight", "item")).alias("least"), F.max("weight").alias("high"))
     ends = ends.select("p", F.col("least.weight").alias("low"), F.col("least.item").alias("near"), "high")
@@ -315,9 +320,7 @@ def _posted(large: DataFrame, texts: Callable, sets: Callable, percent: int) ->
     links = store(near.select(F.least("item", "near").alias("a"), F.greatest("item", "near").alias("b")).distinct())
     rows = out.join(ends.filter("high + low > 0").drop("near"), "p").select("p", "item", "weight", "beyond", "short", "low", "high")
     posted = store(rows.mapInArrow(_postings(percent), "key long, item long, p long, weight long, probe boolean"))
-    bits = store(out.select("p", "item", *BITS, "lost"))
-    drop(out)
-    return links, posted, bits
+    return links, posted, out
 
 
 def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -359,7 +362,7 @@ def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataF
     if large.isEmpty():
         tested_too(pairs)
         return found
-    near, posted, bits = _posted(large, texts, sets, percent)
+    near, posted, differences = _posted(large, texts, sets, percent)
     links = links.unionByName(near)
     found = components(links)
     for turn in range(ROUNDS + 1):
@@ -367,8 +370,9 @@ def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataF
         drop(posted)
         few = F.lit(True) if turn == ROUNDS else F.col("m") <= LEAF
         probes, listed = now.filter("probe"), now.filter("not probe")
-        drawn = lambda df: df.join(bits, ["p", "item"])  # noqa: B023, E731
-        pairs = pairs.unionByName(_enough(drawn(probes.filter(few)), drawn(listed.filter(few)), percent))
+        last = turn == ROUNDS
+        drawn = lambda df: df.join(differences.drop("weight") if last else differences.select("p", "item", "lost", *BITS), ["p", "item"])  # noqa: B023, E731
+        pairs = pairs.unionByName(_enough(drawn(probes.filter(few)), drawn(listed.filter(few)), percent, last))
         hot = now.filter(~few).select("key", "item", "p", "component", "weight", "probe")
         if turn == ROUNDS or hot.isEmpty():
             break
@@ -379,5 +383,5 @@ def all_links(items: DataFrame, bands: Callable, tested: DataFrame, links: DataF
         tested_too(pairs.unionByName(star))
         pairs = pairs.limit(0)
     tested_too(pairs)
-    drop(rows), drop(now), drop(bits)
+    drop(rows), drop(now), drop(differences)
     return found
