@@ -25,6 +25,8 @@ BASE = U(0xD1342543DE82EF95)
 ERRORS = 6
 NEWLINE, BLANKS = 10, (9, 10, 11, 12, 13, 32)
 BLANK = np.isin(np.arange(33), BLANKS)
+#: Places of lines whose texts are needed are broadcast up to this many (about 100 bytes each in memory); more are joined by a shuffle of all lines.
+PLACES_ROWS = 400_000
 #: Bytes of text worked on at once, so that arrays of eight bytes a character stay in the processor's cache.
 PIECE = 1 << 18
 
@@ -222,6 +224,8 @@ def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_
     needed = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     # Their texts, from their first places alone, so that a common line doesn't meet in one task.
     at = distinct.join(needed, "id", "left_semi").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.at").alias("_at"))
+    if needed.count() <= PLACES_ROWS:
+        at = F.broadcast(at)
     here = _lines(docs, F.col("doc_id").alias("_doc")).withColumnRenamed("at", "_at")
     texts = here.join(at, (here["id"] == at["id"]) & (here["_at"] == at["_at"]) & here["_doc"].eqNullSafe(at["_doc"]), "left_semi").select("id", "line")
     texts = store(texts.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(_signed(characters), "id long, line string, sig binary"))
