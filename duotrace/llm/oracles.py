@@ -31,3 +31,12 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
 word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS body FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+_SEARCH_TERMS = rf"translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), '{UPPER}', '{LOWER}')"
+SEARCH = f"""WITH t AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_SEARCH_TERMS} AS term FROM documents) GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id), s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+m AS (SELECT doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM d, s),
+q AS (SELECT DISTINCT item_id, {_SEARCH_TERMS} AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50"""
