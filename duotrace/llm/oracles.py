@@ -40,3 +40,17 @@ q AS (SELECT DISTINCT item_id, {_SEARCH_TERMS} AS term FROM benchmark),
 w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term),
 r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY ALL)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50"""
+
+#: A CRC-32 of a decimal number's digits: the register is a list's running value, a digit and seven zeros for its eight bits.
+_CRC = "xor(list_reduce([4294967295] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295)"
+TRIE = f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dig) AS pos FROM (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS dig, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, dig, chars FROM c JOIN t ON t.conv_id = c.base AND pos <= h UNION ALL SELECT conv_id, pos, dig, chars FROM t JOIN c USING (conv_id) WHERE pos > h UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+k AS (SELECT conv_id, row_number() OVER w - 1 AS depth, chars, md5(string_agg(dig, '') OVER w) AS k FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+p AS MATERIALIZED (SELECT *, lag(k) OVER w AS up, lead(k) OVER w IS NULL AS ends FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY k, depth),
+ch AS (SELECT up AS k, count(*) AS n_children FROM n GROUP BY up),
+m AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (k)),
+s AS (SELECT p.k, sum((m.n_children = 0)::INT)::BIGINT AS n_leaves, sum((m.n_convs - 1) * m.chars)::BIGINT AS saved_tokens FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.k)
+SELECT m.conv_id, m.depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256 FROM m JOIN s USING (k) LEFT JOIN m AS a ON a.k = m.up"""
