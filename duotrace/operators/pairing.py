@@ -24,14 +24,15 @@ def zero_lag(win: DataFrame) -> DataFrame:
 def pairings(segs: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """ai, bi, off, fold: offsets of one segment's windows against another's of the same fold.
 
-    Offsets come in steps; of a segment with itself only distant ones. At most max_offsets are kept for a pair, chosen by
+    Offsets come in steps, out to one step less than the shorter segment; of a segment with itself only distant ones. At most max_offsets are kept for a pair, chosen by
     an arithmetic hash, so a rerun or another engine keeps the same ones.
     """
     a, b = (segs.select("fold", F.col("seg").alias(x), F.col("n").alias(n)) for x, n in (("ai", "na"), ("bi", "nb")))
     pair = a.join(b, "fold")
-    reach, step = F.least("na", "nb") - 16, config.offset_step
+    step = config.offset_step
+    reach = F.least("na", "nb") - step
     cross = F.when(reach >= 0, F.sequence(-reach, reach, F.lit(step).cast("long")))
-    far = F.when(F.col("na") - 16 >= config.min_self_offset, F.sequence(F.lit(config.min_self_offset).cast("long"), F.col("na") - 16, F.lit(step).cast("long")))
+    far = F.when(F.col("na") - step >= config.min_self_offset, F.sequence(F.lit(config.min_self_offset).cast("long"), F.col("na") - step, F.lit(step).cast("long")))
     own = F.concat(far, F.transform(far, lambda x: -x))
     pair = pair.select("ai", "bi", "fold", F.explode(F.when(F.col("ai") == F.col("bi"), own).otherwise(cross)).alias("off"))
     mark = ((F.col("off") + 1000000) * 7919 + F.col("ai") * 104729 + F.col("bi") * 1299709) % 1000003

@@ -98,8 +98,10 @@ def frames(samples: DataFrame, keys: list[str], at: str, values: list[str], leng
     return out.filter(F.col("n") == length)
 
 
-def clean_frames(samples: DataFrame, keys: list[str], at: str, masks: dict[str, int], length: int, step: int) -> DataFrame:
-    """keys, w: whole windows all of whose samples have every bit of each mask."""
+def clean_frames(samples: DataFrame, keys: list[str], at: str, masks: dict[str, int], length: int, step: int, finite: tuple[str, ...] = ()) -> DataFrame:
+    """keys, w: whole windows all of whose samples have every bit of each mask and a finite number in each column of `finite` (null, NaN and infinities aren't)."""
     good = [F.when(F.col(c).bitwiseAND(F.lit(m)) == m, 1).otherwise(0).alias(f"_{c}") for c, m in masks.items()]
+    good += [F.when(F.abs(F.col(c)) < float("inf"), 1).otherwise(0).alias(f"_{c}") for c in finite]  # NaN is larger than all numbers
+    masks = [*masks, *finite]
     out = frames(samples.select(*keys, at, *good), keys, at, [f"_{c}" for c in masks], length, step)
     return out.filter(" and ".join(f"_{c} = n" for c in masks)).select(*keys, "w")

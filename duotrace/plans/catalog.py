@@ -31,18 +31,18 @@ def aligned_best(spark, d):
 
 
 def sigma_flags(spark, d):
-    """By stream, thresholds of 3 and 5 deviations of the network statistic's noise, and how many windows reach them."""
-    win = fx.windows(spark, d)
-    marks = tables.k_sigma(win, ["det"], "centroid")
-    out = win.join(F.broadcast(marks), "det").groupBy("det", "t3", "t5").agg(F.count_if(F.col("centroid") + 60 * F.col("sigma") > F.col("t3")).alias("over3"), F.count_if(F.col("centroid") + 60 * F.col("sigma") > F.col("t5")).alias("over5"))
-    return out.select("det", F.round("t3", R).alias("t3"), F.round("t5", R).alias("t5"), "over3", "over5")
+    """By fold, thresholds of 3 and 5 deviations above the mean of the network statistic, and how many zero-lag rows lie above them."""
+    zero = pairing.zero_lag(fx.windows(spark, d))
+    marks = tables.k_sigma(zero, ["fold"], "net")
+    out = zero.join(F.broadcast(marks), "fold").groupBy("fold", "t3", "t5").agg(F.count_if(F.col("net") > F.col("t3")).alias("over3"), F.count_if(F.col("net") > F.col("t5")).alias("over5"))
+    return out.select("fold", F.round("t3", R).alias("t3"), F.round("t5", R).alias("t5"), "over3", "over5")
 
 
 def mass_hit_rate(spark, d):
-    """The share of each mass bin's signals above three deviations of the noise half."""
-    inj = _inj(spark, d)
-    noise = tables.k_sigma(inj.filter("noise_half = 0").withColumn("one", F.lit(1)), ["one"], "loglr", (1,))
-    out = inj.withColumn("one", F.lit(1)).join(F.broadcast(noise.select("one", "t1")), "one").groupBy(_bin()).agg(F.count("*").alias("n"), F.count_if(F.col("loglr") > F.col("t1")).alias("hits"))
+    """The share of each mass bin's signals whose likelihood ratio lies above three deviations of the noise half's."""
+    inj = _inj(spark, d).withColumn("ratio", F.exp("loglr")).withColumn("one", F.lit(1))
+    noise = tables.k_sigma(inj.filter("noise_half = 0"), ["one"], "ratio", (3,))
+    out = inj.join(F.broadcast(noise.select("one", "t3")), "one").groupBy(_bin()).agg(F.count("*").alias("n"), F.count_if(F.col("ratio") > F.col("t3")).alias("hits"))
     return out.withColumn("rate", F.round(F.col("hits") / F.col("n"), R))
 
 
@@ -93,10 +93,17 @@ def sample_windows(spark, d):
     return out.groupBy("seg").agg(F.count("*").alias("n"), F.round(F.max("value"), 3).alias("most"))
 
 
+def _masked(spark, d):
+    """Samples most of which have every quality bit and no signal put in; some bits are missing, and some values aren't finite."""
+    k = F.col("k")
+    s = _samples(spark, d).withColumn("dq", F.when(k % 13 == 0, k % 8).otherwise(127)).withColumn("inj", F.when(k % 17 == 0, k % 32).otherwise(F.when(k % 2 == 0, 31).otherwise(23)))
+    return s.withColumn("value", F.when(F.col("event_id") % 53 == 0, F.lit(float("nan"))).when(F.col("event_id") % 59 == 0, F.lit(float("inf"))).otherwise(F.col("value")))
+
+
 def clean_windows(spark, d):
-    """Windows of 4 samples all of which have the quality bits, and no signal was put in (hardware bit 8 doesn't matter)."""
-    s = _samples(spark, d).withColumn("dq", F.col("dq").bitwiseOR(F.lit(3))).withColumn("inj", F.col("inj").bitwiseOR(F.lit(6)))
-    return tables.clean_frames(s, ["seg"], "at", {"dq": DQ & 3, "inj": INJ & 6}, 4, 2).groupBy("seg").agg(F.count("*").alias("n"), F.sum("w").alias("sum_w"))
+    """Windows of 4 samples all of which have the quality bits, no signal put in (the hardware bit, 8, doesn't matter) and a finite value."""
+    good = tables.clean_frames(_masked(spark, d), ["seg"], "at", {"dq": DQ, "inj": INJ}, 4, 2, finite=("value",))
+    return good.groupBy("seg").agg(F.count("*").alias("n"), F.sum("w").alias("sum_w"))
 
 
 def injection_mask(spark, d):
@@ -125,7 +132,7 @@ def metadata_merge(spark, d):
 
 def catalogue_order(spark, d):
     """Rows of a catalogue that a list names, in the list's order; names that the catalogue lacks are left out."""
-    wanted = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("position")).filter("position % 7 = 0")
+    wanted = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("position"))
     wanted = tables.first_of(wanted, "id", "position")
     return wanted.join(fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), "id").select("position", "id", "c_name")
 
@@ -206,7 +213,7 @@ def nulls_last(spark, d):
 
 def reanchor(spark, d):
     """Scores of one stream on the scale of the other: by mean and deviation."""
-    win = fx.windows(spark, d).filter("idx < 50")
+    win = fx.windows(spark, d)
     stats = win.groupBy("det").agg(F.avg("sigma").alias("m"), F.stddev_pop("sigma").alias("s"))
     a, b = (stats.filter(F.col("det") == x).select(F.lit("H1").alias("det"), F.col("m").alias(f"m_{x}"), F.col("s").alias(f"s_{x}")) for x in ("H1", "L1"))
     both = win.filter("det = 'H1'").join(F.broadcast(a), "det").join(F.broadcast(b), "det")
@@ -226,7 +233,7 @@ _W = f"WITH {_WIN.strip()}"
 _KNOWN = "known(name, seg, event_gps) AS (VALUES ('EV0', 0, 100.3::DOUBLE), ('EV3', 3, 3000250.7::DOUBLE))"
 _SAMPLES = """WITH s AS (SELECT seg, event_id, value, k, pos, k % 8 AS dq, (k * 3) % 32 AS inj FROM (SELECT user_id % 8 AS seg, event_id, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
   row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS pos FROM events)),
-f AS (SELECT a.seg, a.pos // 2 AS w, count(*) AS n, sum(b.value) AS v, bool_and((b.dq | 3) & 3 = 3 AND ((b.inj | 6) & 6) = 6) AS good FROM s a JOIN s b ON b.seg = a.seg AND b.pos BETWEEN a.pos AND a.pos + 3 WHERE a.pos % 2 = 0 GROUP BY a.seg, a.pos HAVING count(*) = 4)"""
+f AS (SELECT a.seg, a.pos // 2 AS w, count(*) AS n, sum(b.value) AS v, bool_and(((CASE WHEN b.k % 13 = 0 THEN b.k % 8 ELSE 127 END) & 7) = 7 AND ((CASE WHEN b.k % 17 = 0 THEN b.k % 32 WHEN b.k % 2 = 0 THEN 31 ELSE 23 END) & 23) = 23 AND b.event_id % 53 <> 0 AND b.event_id % 59 <> 0) AS good FROM s a JOIN s b ON b.seg = a.seg AND b.pos BETWEEN a.pos AND a.pos + 3 WHERE a.pos % 2 = 0 GROUP BY a.seg, a.pos HAVING count(*) = 4)"""
 _SECONDS = """WITH i AS (SELECT user_id % 8 AS seg, event_id AS s, event_id + CASE WHEN event_type = 'error' THEN user_id % 7 ELSE 40 END AS e, event_type = 'error' AS veto FROM events),
 sec AS (SELECT DISTINCT seg, unnest(range(s, e)) AS t FROM i WHERE NOT veto), bad AS (SELECT DISTINCT seg, unnest(range(s, e)) AS t FROM i WHERE veto)"""
 
@@ -243,10 +250,10 @@ ORACLES = {
         JOIN (SELECT name, det, idx AS centre_idx, sigma AS centre_sigma FROM n QUALIFY row_number() OVER (PARTITION BY name, det ORDER BY away, idx) = 1) USING (name, det)""",
     "aligned_best": f"""{_W}, {_KNOWN} SELECT name, idx, round(total, {R}) AS total FROM (SELECT name, idx, sum(sigma) AS total FROM win JOIN known USING (seg) WHERE abs(gps - event_gps) <= {REACH} GROUP BY name, idx HAVING count(DISTINCT det) = 2)
         QUALIFY row_number() OVER (PARTITION BY name ORDER BY total DESC, idx) = 1""",
-    "sigma_flags": f"""{_W}, m AS (SELECT det, avg(centroid) + 3 * stddev_pop(centroid) AS t3, avg(centroid) + 5 * stddev_pop(centroid) AS t5 FROM win GROUP BY det)
-        SELECT det, round(t3, {R}) AS t3, round(t5, {R}) AS t5, count(*) FILTER (centroid + 60 * sigma > t3) AS over3, count(*) FILTER (centroid + 60 * sigma > t5) AS over5 FROM win JOIN m USING (det) GROUP BY det, m.t3, m.t5""",
-    "mass_hit_rate": _INJ + f""", m AS (SELECT avg(loglr) + stddev_pop(loglr) AS t FROM inj WHERE noise_half = 0)
-        SELECT bin, count(*) AS n, count(*) FILTER (loglr > t) AS hits, round(count(*) FILTER (loglr > t) / count(*), {R}) AS rate FROM inj, m GROUP BY bin""",
+    "sigma_flags": f"""{_W}, m AS (SELECT fold, avg(net) + 3 * stddev_pop(net) AS t3, avg(net) + 5 * stddev_pop(net) AS t5 FROM zero GROUP BY fold)
+        SELECT fold, round(t3, {R}) AS t3, round(t5, {R}) AS t5, count(*) FILTER (net > t3) AS over3, count(*) FILTER (net > t5) AS over5 FROM zero JOIN m USING (fold) GROUP BY fold, m.t3, m.t5""",
+    "mass_hit_rate": _INJ + f""", m AS (SELECT avg(exp(loglr)) + 3 * stddev_pop(exp(loglr)) AS t FROM inj WHERE noise_half = 0)
+        SELECT bin, count(*) AS n, count(*) FILTER (exp(loglr) > t) AS hits, round(count(*) FILTER (exp(loglr) > t) / count(*), {R}) AS rate FROM inj, m GROUP BY bin""",
     "benchmark_summary": _INJ + f"SELECT gated, count(*) AS n, round(avg(loglr), {R}) AS mean, round(quantile_cont(loglr, 0.5), {R}) AS median, round(max(loglr), {R}) AS most, count(*) FILTER (loglr > 1) AS n_above FROM inj GROUP BY gated",
     "split_summary": _INJ + "SELECT CASE WHEN inj_id % 10 < 8 THEN 'train' WHEN inj_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT inj_id // 4096) AS blocks FROM inj GROUP BY 1",
     "segment_totals": _SECONDS + f""" SELECT seg, total_s, coalesce(good_s, 0) AS good_s, round(1 - coalesce(good_s, 0) / total_s, {R}) AS vetoed_frac FROM (SELECT seg, count(*) AS total_s FROM sec GROUP BY seg)
@@ -260,7 +267,7 @@ ORACLES = {
         SELECT h.seg, h.k, h.event_id AS h_id, l.event_id AS l_id FROM r h JOIN r l ON h.seg = l.seg AND h.k = l.k AND h.det = 0 AND l.det = 1""",
     "bank_parameters": """SELECT c_mktsegment, sum(CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 1 END)::BIGINT AS n, sum(CASE WHEN o_orderkey % 3 = 0 THEN 6 ELSE 0 END)::BIGINT AS copies FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""",
     "metadata_merge": """SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_size ELSE first_value(p_size) OVER (PARTITION BY p_type ORDER BY p_partkey) END AS size FROM part""",
-    "catalogue_order": "SELECT min(o_orderkey) AS position, o_custkey AS id, any_value(c_name) AS c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 7 = 0 GROUP BY o_custkey",
+    "catalogue_order": "SELECT min(o_orderkey) AS position, o_custkey AS id, any_value(c_name) AS c_name FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey",
     "file_sets": f"""{_W}, {_KNOWN} SELECT start::BIGINT AS start FROM (SELECT floor(gps / 4096) * 4096 AS start FROM win WHERE det = 'H1' INTERSECT SELECT floor(gps / 4096) * 4096 FROM win WHERE det = 'L1'
         EXCEPT SELECT floor(event_gps / 4096) * 4096 FROM known)""",
     "even_choice": f"""{_W}, n AS (SELECT seg, det, count(*) AS n FROM win GROUP BY ALL), k AS (SELECT DISTINCT seg, det, floor(k * (n - 1) / 4.0::DOUBLE)::BIGINT AS idx FROM n, (SELECT unnest(range(5)) AS k)) SELECT seg, det, idx FROM k""",
@@ -278,6 +285,6 @@ ORACLES = {
         a AS (SELECT noise_half, mtot, coalesce((y + lag(y) OVER w) / 2 * (mtot - lag(mtot) OVER w), 0.0) AS a FROM p WINDOW w AS (PARTITION BY noise_half ORDER BY mtot))
         SELECT noise_half, mtot, round(sum(a) OVER (PARTITION BY noise_half ORDER BY mtot), 4) AS volume FROM a""",
     "nulls_last": _INJ + f"SELECT inj_id, round(s, {R}) AS s FROM (SELECT inj_id, CASE WHEN noise_half = 0 THEN loglr END AS s FROM inj ORDER BY s DESC NULLS LAST, inj_id LIMIT 10)",
-    "reanchor": f"""{_W}, w AS (SELECT * FROM win WHERE idx < 50), m AS (SELECT det, avg(sigma) AS m, stddev_pop(sigma) AS s FROM w GROUP BY det)
+    "reanchor": f"""{_W}, w AS (SELECT * FROM win), m AS (SELECT det, avg(sigma) AS m, stddev_pop(sigma) AS s FROM w GROUP BY det)
         SELECT seg, idx, round((sigma * h.s + h.m - l.m) / l.s, 5) AS sigma FROM w, (SELECT * FROM m WHERE det = 'H1') h, (SELECT * FROM m WHERE det = 'L1') l WHERE w.det = 'H1'""",
 }

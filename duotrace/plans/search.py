@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from duotrace.config import FIXTURE, FULL, YEAR_S
 from duotrace.functions.expr import features, kept_by, loglr
-from duotrace.functions.stats import poisson_table
 from duotrace.operators import cluster, far, pairing
 from duotrace.sources import fixtures as fx
 from duotrace.sources.tables import written
@@ -110,6 +109,11 @@ def pairings(spark, d, config=CONFIG):
     return pairing.pairings(fx.segments(_win(spark, d)), config).select("ai", "bi", "off", "fold")
 
 
+def pairings_fine(spark, d):
+    """The same at a whole search's step of 4."""
+    return pairings(spark, d, replace(CONFIG, offset_step=4))
+
+
 def time_slide_join(spark, d, config=CONFIG):
     _, slide = _slide(spark, d, config)
     out = slide.groupBy("ai", "bi", "off").agg(F.count("*").alias("n"), F.count_if(F.col("net") >= 3.0).alias("n_loud"), F.max("net").alias("max_net"))
@@ -180,7 +184,9 @@ def net_channel_far(spark, d, config=CONFIG):
 
 
 def poisson_ul(spark, d):
-    return rounded(poisson_table(spark, 20), "ul", "low", "high")
+    """The limits of as many events as each segment has clusters of triggers."""
+    seen = cluster.cluster_triggers(pairing.zero_lag(_win(spark, d)).filter(F.col("net") > CONFIG.net_cut), CONFIG).groupBy("seg").agg(F.count("*").alias("n"))
+    return rounded(far.with_interval(seen, "n"), "ul", "low", "high").select("seg", "n", "ul", "low", "high")
 
 
 def best_far_detections(spark, d, config=CONFIG):
@@ -285,7 +291,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_streams, sigma_norm, net_sigma, feature_gate, lr_score, cluster_triggers, topk_triggers, pairings, time_slide_join, nearest_event, excision_antijoin,
-        livetime, bounded_prune, family_max, louder_families, per_arm_far, per_arm_net, gated_families, net_channel_far, poisson_ul, candidates, best_far_detections, veto_detections, detections_in_order, named_events,
+        livetime, bounded_prune, family_max, louder_families, per_arm_far, per_arm_net, gated_families, net_channel_far, poisson_ul, candidates, pairings_fine, best_far_detections, veto_detections, detections_in_order, named_events,
         kept_by_label, pair_dedup_dominance,
         coherence_ceiling, coherence_maxlag, noise_sample_cap,
     )
@@ -398,6 +404,7 @@ ORACLES = {
     ),
     "topk_triggers": _sql(f"SELECT seg, idx, round(net, {R}) AS net FROM zero ORDER BY round(net, {R}) DESC, seg, idx LIMIT 8"),
     "pairings": _sql("SELECT ai, bi, off, fold FROM pairs"),
+    "pairings_fine": _sql("SELECT ai, bi, off, fold FROM pairs").replace("least(na, nb) - 16", "least(na, nb) - 4").replace("na - 16", "na - 4").replace(", 16)", ", 4)").replace(">= 16", ">= 4"),
     "time_slide_join": _sql(f"SELECT ai, bi, off, count(*) AS n, count(*) FILTER (net >= 3.0) AS n_loud, round(max(net), {R}) AS max_net FROM slide GROUP BY ALL"),
     "nearest_event": _sql("SELECT name, seg, idx FROM near"),
     "excision_antijoin": _sql("SELECT ai, bi, count(*) AS n_kept FROM clean GROUP BY ALL"),
@@ -434,7 +441,8 @@ ORACLES = {
         SELECT name, fold, n_raw, n_dedup, n_l1, round(share, {R}) AS dominance, round(n_l1 / live_yr, 1) AS far, round(low / live_yr, 1) AS far_low, round(high / live_yr, 1) AS far_high, round(ul / live_yr, 1) AS far_ul,
         n_l1 <= 2 OR share > 0.5 AS upper_limit FROM s LEFT JOIN live USING (fold) JOIN limits ON limits.n = n_l1""",
     "net_channel_far": _sql(f"SELECT seg, idx, round(net, {R}) AS net, (SELECT count(*) FROM fam f WHERE f.fold = t.fold AND f.net >= t.net) AS n_net FROM trig t"),
-    "poisson_ul": f"WITH RECURSIVE want AS (SELECT unnest(range(21)) AS n), {_LIMITS} SELECT n, round(ul, {R}) AS ul, round(low, {R}) AS low, round(high, {R}) AS high FROM limits",
+    "poisson_ul": f"""WITH RECURSIVE {_ALL}, {_CAND}, c AS (SELECT seg, count(*) AS n FROM clus GROUP BY seg), want AS (SELECT DISTINCT n FROM c), {_LIMITS}
+        SELECT seg, n, round(ul, {R}) AS ul, round(low, {R}) AS low, round(high, {R}) AS high FROM c JOIN limits USING (n)""",
     "kept_by_label": _sql(
         """SELECT seg, idx, CASE WHEN hm > 0.5 AND lm > 0.5 THEN 'HM+LM' WHEN hm > 0.5 THEN 'HM' WHEN lm > 0.5 THEN '+LM' ELSE 'none' END AS kept_by, greatest(hm, lm) < 0.5 AS is_glitch FROM trig"""
     ),

@@ -124,7 +124,12 @@ def test_offsets(spark):
     got = {}
     for r in pairing.pairings(segs).collect():
         got.setdefault((r["ai"], r["bi"]), set()).add(r["off"])
-    assert got[0, 2] == got[2, 0] == {0} and (0, 0) not in got and (0, 4) not in got and (0, 1) not in got
+    assert got[0, 2] == got[2, 0] == {-12, -8, -4, 0, 4, 8, 12} and got[0, 4] == {-6, -2, 2, 6} and (0, 0) not in got and (0, 1) not in got
+    whole = spark.createDataFrame([(0, 0, 100), (2, 0, 100)], "seg long, fold int, n long")
+    offsets = sorted(r["off"] for r in pairing.pairings(whole).filter("ai = 0 and bi = 2").collect())
+    assert offsets == list(range(-96, 97, 4))
+    wide = pairing.pairings(whole, replace(CONFIG, offset_step=16, min_self_offset=64))
+    assert sorted(r["off"] for r in wide.filter("ai = 0 and bi = 0").collect()) == [-80, -64, 64, 80]
     assert len(got[1, 1]) == 400 and min(abs(o) for o in got[1, 1]) >= 3600 and all((abs(o) - 3600) % 4 == 0 for o in got[1, 1])
 
 

@@ -36,3 +36,14 @@ def test_even_choice_and_whole_windows(spark):
     assert sorted(r["id"] for r in got) == [0, 2, 5, 7, 10]
     s = spark.createDataFrame([(0, k, 1) for k in (0, 1, 2, 3, 4, 5, 7, 8)], "seg int, at long, v int")  # 6 is missing
     assert sorted(r["w"] for r in tables.frames(s, ["seg"], "at", ["v"], 4, 1).collect()) == [0, 1, 2]
+
+
+def test_clean_frames_need_bits_and_finite_values(spark):
+    rows = [(0, i, 7, 23, 1.0) for i in range(40)]
+    rows[5] = (0, 5, 3, 23, 1.0)  # a quality bit missing
+    rows[12] = (0, 12, 7, 22, 1.0)  # a signal put in
+    rows[13] = (0, 13, 7, 31, 1.0)  # the hardware bit may be set
+    rows[20], rows[26], rows[33] = (0, 20, 7, 23, float("nan")), (0, 26, 7, 23, float("-inf")), (0, 33, 7, 23, None)
+    got = tables.clean_frames(spark.createDataFrame(rows, "seg int, at long, dq long, inj long, v double"), ["seg"], "at", {"dq": 7, "inj": 23}, 4, 2, finite=("v",))
+    bad = {5, 12, 20, 26, 33}
+    assert sorted(r["w"] for r in got.collect()) == [w for w in range(19) if not bad & set(range(2 * w, 2 * w + 4))]
