@@ -226,11 +226,12 @@ def _centred(percent: int):
 
 
 def _postings(percent: int):
-    """For rows (p, item, weight, beyond, short, low, high): (key, item, p, weight, probe), a row for each difference that a partner must share one of.
+    """For rows (p, item, weight, ranked, low, high): (key, item, p, weight, probe), a row for each difference that a partner must share one of.
 
     Two items are similar if and only if they share (weight + weight) / (2 * (100 + percent)) differences at least. Of `need` shared
-    ones, one lies among the first size - need + 1 of either item's in any common order; those beyond the centre come
-    first, being rarer. A link not yet found has a misfit on one side; the heavier item probes, and the lighter lists itself once
+    ones, one lies among the first size - need + 1 of either item's in any common order. `ranked` has them rarest in the
+    group first, with how many items have each; what one item alone has takes its place in the order, but makes no row.
+    A link not yet found has a misfit on one side; the heavier item probes, and the lighter lists itself once
     for its own class of weights and each heavier one (by powers of two of what such an item needs of the one nearest the
     centre), as a heavier one needs more of it.
     """
@@ -240,9 +241,15 @@ def _postings(percent: int):
         for batch in batches:
             keys, items, pivots, weights, probes = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             columns = (batch.column(c).to_pylist() for c in ("p", "item", "weight", "low", "high"))
-            for p, item, weight, low, high, beyond, short in zip(*columns, _arrays(batch.column("beyond")), _arrays(batch.column("short"))):
-                h = mix(np.concatenate((beyond, short)).view(U) ^ mix(np.array([p], np.int64).view(U)))
-                add = lambda n, kind, probe: (keys.append(mix(h[:n] + U(kind))), items.append(np.full(n, item)), pivots.append(np.full(n, p)), weights.append(np.full(n, weight)), probes.append(np.full(n, probe)))  # noqa: B023, E731
+            for p, item, weight, low, high, ranked in zip(*columns, batch.column("ranked")):
+                held, many = (np.asarray(ranked.values.field(c), np.int64) if ranked.is_valid else np.zeros(0, np.int64) for c in ("e", "k"))
+                h = mix(held.view(U) ^ mix(np.array([p], np.int64).view(U)))
+
+                def add(n, kind, probe):
+                    some = mix(h[:n][many[:n] > 1] + U(kind))  # noqa: B023
+                    m = len(some)
+                    keys.append(some), items.append(np.full(m, item)), pivots.append(np.full(m, p)), weights.append(np.full(m, weight)), probes.append(np.full(m, probe))  # noqa: B023
+
                 if weight + low > 0:
                     need = -(-(weight + low) // unit)
                     add(max(len(h) - need + 1, 0), need.bit_length(), True)
@@ -260,6 +267,14 @@ def _postings(percent: int):
     return run
 
 
+def _by_rarity(rows: DataFrame) -> DataFrame:
+    """rows (p, item, beyond, short and more) with `ranked`, the item's differences (k, e): e, and the k items of the group that have it; rarest first."""
+    each = store(rows.select("p", "item", F.explode(F.concat("beyond", "short")).alias("e")))
+    often = each.groupBy("p", "e").agg(F.count("*").alias("k"))
+    ranked = each.join(often, ["p", "e"]).groupBy("p", "item").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("ranked"))
+    return rows.drop("beyond", "short").join(ranked, ["p", "item"], "left")
+
+
 def _labelled(rows: DataFrame, found: DataFrame, column: str = "item") -> DataFrame:
     """rows with the component of the item (its own number, if it has no link)."""
     return rows.join(found.withColumnRenamed("node", column), column, "left").withColumn("component", F.coalesce("component", column))
@@ -318,7 +333,7 @@ def _posted(large: DataFrame, texts: Callable, sets: Callable, percent: int) ->
     ends = ends.select("p", F.col("least.weight").alias("low"), F.col("least.item").alias("near"), "high")
     near = out.join(ends, "p").filter((F.col("weight") + F.col("low") <= 0) & (F.col("item") != F.col("near")))
     links = store(near.select(F.least("item", "near").alias("a"), F.greatest("item", "near").alias("b")).distinct())
-    rows = out.join(ends.filter("high + low > 0").drop("near"), "p").select("p", "item", "weight", "beyond", "short", "low", "high")
+    rows = _by_rarity(out.join(ends.filter("high + low > 0").drop("near"), "p").select("p", "item", "weight", "beyond", "short", "low", "high"))
     posted = store(rows.mapInArrow(_postings(percent), "key long, item long, p long, weight long, probe boolean"))
     return links, posted, out
 

@@ -37,3 +37,36 @@ def test_components_are_those_of_a_plain_union_find(spark, monkeypatch, links, r
     got = _graph.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(got) == len(set(got))
     assert {(r["node"], r["component"]) for r in got} == plain(links)
+
+
+def test_few_pairs_meet_in_a_group_of_near_copies(spark, monkeypatch):
+    """Members that differ in own words and in shared variants, all below the threshold: what meets under rare differences is a small part of all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from duotrace.llm import _bands
+    from duotrace.llm.neardup import near_duplicates
+
+    seen = []
+    real = _bands._open
+
+    def counted(rows):
+        out = real(rows)
+        per = out.groupBy("key").agg(F.count_if("probe").alias("m"), F.count_if(~F.col("probe")).alias("n"))
+        seen.append(per.agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(_bands, "_open", counted)
+    n, r = 300, random.Random(300)
+    variants = [(r.randrange(0, 297), [f"v{k}_{j}" for j in range(3)]) for k in range(5)]
+    docs = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(300)]
+        at, own = variants[i % 5]
+        words[at : at + 3] = own
+        for j in range(6):
+            words[r.randrange(300)] = f"o{i}_{j}"
+        docs.append((i, " ".join(words)))
+    near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), words=3, percent=85).count()
+    assert seen and seen[-1] < n * n // 8  # 137,372 in order of hash, before rarity decided
