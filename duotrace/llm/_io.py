@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts are long, so a batch is kept to a few MB; this bounds a Python worker's memory.
@@ -66,5 +66,10 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The doc_id, or for a row without one a 64-bit hash of its text, so that such rows are judged each by its own text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.lit("no id"), text_or_empty(text)))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

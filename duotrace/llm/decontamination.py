@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import prepare, store, text_or_empty
+from ._io import prepare, row_key, store, text_or_empty
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A window of WINDOW words; its fingerprint is the least hash of the GRAM-word grams in it, so winnowing keeps one
@@ -131,10 +131,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """The rows of docs that are not contaminated, with their own columns."""
-    doc_id = names.get("doc_id", "doc_id")
-    bad = store(overlaps(docs, benchmark, **names).filter("contaminated").select(F.col("doc_id").alias("_bad")))
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs that are not contaminated, with their own columns. A row without an id is judged by its own text alone."""
+    key = row_key(names.get("doc_id", "doc_id"), names.get("text", "text"))
+    keyed = docs.select(key.alias("doc_id"), F.col(names.get("text", "text")).alias("text"))
+    bad = store(overlaps(keyed, benchmark, item_id=names.get("item_id", "item_id")).filter("contaminated").select(F.col("doc_id").alias("_bad")))
+    return docs.join(bad, key == bad["_bad"], "left_anti")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

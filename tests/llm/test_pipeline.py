@@ -88,10 +88,13 @@ def test_decontamination(spark, tmp_path):
     clean = [(d, " ".join(rng.choice(words) for _ in range(80))) for d in range(10)]
     dirty = [(100 + k, clean[k][1] + " " + items[k][1].upper()) for k in range(5)] + [(120, "Only, three; words!")]
     little = [(130, " ".join(rng.choice(words) for _ in range(600)) + " " + items[0][1])]  # under a twentieth
-    rows = clean + dirty + little + [(140, None), (141, ""), (None, clean[0][1])]
+    long = (150, " ".join(rng.choice(words) for _ in range(300_000)) + " " + items[1][1])
+    odd = [(140, None), (141, ""), (None, clean[0][1]), (None, None), long]
+    rows = clean + dirty + little + odd + [(None, items[2][1]), (None, "only three words")]  # rows without an id, each by its own text
     docs = frame(spark, rows)
     out = pipeline.decontamination(spark, docs, str(tmp_path))
-    assert out.columns == docs.columns and kept(out) == Counter(clean + little + [(140, None), (141, ""), (None, clean[0][1])])
+    assert out.columns == docs.columns and kept(out) == Counter(clean + little + odd)
+    assert pipeline.decontamination(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 @needs_data
@@ -103,6 +106,12 @@ def test_toxicity_rejects_by_score(spark):
     scores = score_toxicity(docs, train(docs, spark.read.parquet(f"{SF}/labels.parquet"), ~held_out()))
     low = {r["doc_id"] for r in scores.filter(F.col("score") < 0.7).select("doc_id").collect()}
     assert out.columns == docs.columns and {r["doc_id"] for r in out.select("doc_id").collect()} == low
+    bad = docs.join(scores.filter("score >= 0.9").orderBy("doc_id").limit(1), "doc_id").drop("score")
+    good = docs.join(scores.filter("score < 0.1").orderBy("doc_id").limit(1), "doc_id").drop("score")
+    odd = docs.filter(F.col("doc_id").isin([r["doc_id"] for r in bad.unionByName(good).collect()])).withColumn("doc_id", F.lit(None).cast("long"))
+    more = docs.unionByName(odd).unionByName(odd.limit(1).withColumn("text", F.lit(None).cast("string")))
+    kept_texts = [r["text"] for r in pipeline.toxicity(spark, more, SF).filter("doc_id is null").collect()]
+    assert sorted(kept_texts, key=str) == sorted([good.first()["text"], None], key=str)
 
 
 @needs_data
