@@ -2,7 +2,7 @@
 
 Every stage takes null, empty and very long texts, repeated rows, null ids, empty tables and further columns, and keeps the
 columns it was given: null and empty texts are never near copies, contaminated or without a line, and are kept as they are;
-a null doc_id is kept by every stage that removes documents by id, and rejected by its own score; repeated rows of one doc_id
+a row without a doc_id is judged by its own text in every stage (and always kept by near_dedup); repeated rows of one doc_id
 stay or go together; an empty table stays empty.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duotrace.llm._io import prepare, store
+from duotrace.llm._io import prepare, row_key, store
 from duotrace.llm.decontamination import decontaminate
 from duotrace.llm.lines import dedup_lines
 from duotrace.llm.neardup import near_duplicates
@@ -24,9 +24,9 @@ TOXIC = 0.7
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score of 0.7 or more) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = score_toxicity(docs, train(docs, labels, ~held_out()))
+    scores = score_toxicity(docs.select(row_key().alias("doc_id"), "text"), train(docs, labels, ~held_out()))
     bad = store(scores.filter(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(bad, row_key() == bad["_bad"], "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
