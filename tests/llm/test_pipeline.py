@@ -101,9 +101,10 @@ def test_decontamination(spark, tmp_path):
 def test_toxicity_rejects_by_score(spark):
     from duotrace.llm.toxicity import held_out, score_toxicity, train
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = pipeline.toxicity(spark, docs, SF)
-    scores = score_toxicity(docs, train(docs, spark.read.parquet(f"{SF}/labels.parquet"), ~held_out()))
+    directory = "/root/testdata/sf0.01"  # the smallest table has too few labels for a score of 0.7
+    docs = spark.read.parquet(f"{directory}/documents.parquet")
+    out = pipeline.toxicity(spark, docs, directory)
+    scores = score_toxicity(docs, train(docs, spark.read.parquet(f"{directory}/labels.parquet"), ~held_out()))
     low = {r["doc_id"] for r in scores.filter(F.col("score") < 0.7).select("doc_id").collect()}
     assert out.columns == docs.columns and {r["doc_id"] for r in out.select("doc_id").collect()} == low
     ends = [scores.orderBy(order).first() for order in (F.desc("score"), F.asc("score"))]
@@ -111,7 +112,7 @@ def test_toxicity_rejects_by_score(spark):
     text = {r["doc_id"]: r["text"] for r in odd.collect()}
     odd = odd.withColumn("doc_id", F.lit(None).cast("long"))
     more = docs.unionByName(odd).unionByName(odd.limit(1).withColumn("text", F.lit(None).cast("string")))
-    kept_texts = [r["text"] for r in pipeline.toxicity(spark, more, SF).filter("doc_id is null").collect()]
+    kept_texts = [r["text"] for r in pipeline.toxicity(spark, more, directory).filter("doc_id is null").collect()]
     assert ends[0]["score"] >= 0.7 > ends[1]["score"] and sorted(kept_texts, key=str) == sorted([text[ends[1]["doc_id"]], None], key=str)
 
 
