@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duotrace.config import YEAR_S, SearchConfig
 from duotrace.functions.expr import features, kept_by, loglr
 from duotrace.functions.stats import poisson_table, poisson_upper_large
+from duotrace.operators import dominance
 from duotrace.operators.pairing import arm_stubs, coherence_stub
+from duotrace.sources.tables import written
 
 
 def with_scores(rows: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -81,27 +85,33 @@ def louder_families(triggers: DataFrame, background: DataFrame, out: str = "n_lo
     return count_louder(triggers, fam, "loglr", ["fold"], out)
 
 
-#: Triggers that are broadcast at a time (under 100 bytes each); more are taken in blocks.
-BLOCK_ROWS = 10_000
+#: The plane's cells in which per_arm sums families: of the ranking score, and of an arm's.
+CELL, ARM_CELL = 0.25, 1 / 32
 
 
 def per_arm(triggers: DataFrame, rows: DataFrame, score: str, inclusive: bool = False, hm: str = "n_hm", lm: str = "n_lm") -> DataFrame:
     """triggers with n_hm, n_lm: distinct families (bi, l1bin) of rows that are louder and whose arm scores as high as the trigger's.
 
-    Rows of the trigger's own segment in either stream don't count. triggers are the candidates, a few; each block of
-    BLOCK_ROWS of them is broadcast and compared with every row in the scan, and families are counted with map-side combine.
+    Rows of the trigger's own segment in either stream don't count. Each family is reduced to its staircase of (score, arm),
+    and that to signed points, so that families are counted by sums of points beyond the trigger's place, and triggers never
+    meet rows. A segment's own triggers get corrections: less the families of that second segment, and for families whose
+    staircase the first segment has a part in, what they are without it instead of what they are.
     """
-    t = triggers.select("seg", "idx", "fold", F.col(score).alias("t_x"), F.col("hm").alias("t_hm"), F.col("lm").alias("t_lm"))
-    b = rows.select(F.col("fold").alias("b_fold"), "ai", "bi", "l1bin", F.col(score).alias("b_x"), F.col("hm").alias("b_hm"), F.col("lm").alias("b_lm"))
-    blocks = max(1, -(-2 * t.count() // BLOCK_ROWS)) if t.count() > BLOCK_ROWS else 1
-    louder = F.col("b_x") >= F.col("t_x") if inclusive else F.col("b_x") > F.col("t_x")
-    on = (F.col("b_fold") == F.col("fold")) & louder & (F.col("ai") != F.col("seg")) & (F.col("bi") != F.col("seg"))
-    counts = None
-    for k in range(blocks):
-        block = t.filter(F.pmod(F.xxhash64("seg", "idx"), F.lit(blocks)) == k) if blocks > 1 else t
-        met = b.join(F.broadcast(block), on).groupBy("seg", "idx", "bi", "l1bin").agg(F.max(F.col("b_hm") >= F.col("t_hm")).alias("hm"), F.max(F.col("b_lm") >= F.col("t_lm")).alias("lm"))
-        some = met.groupBy("seg", "idx").agg(F.count_if("hm").alias(hm), F.count_if("lm").alias(lm))
-        counts = some if counts is None else counts.unionByName(some)
+    family = ["arm", "fold", "bi", "l1bin"]
+    arms = F.explode(F.array(*(F.struct(F.lit(n).alias("arm"), F.col(n).cast("double").alias("y")) for n in ("hm", "lm")))).alias("a")
+    points = rows.filter(F.col(score).isNotNull()).select("fold", "ai", "bi", "l1bin", F.col(score).cast("double").alias("x"), arms).select("fold", "ai", "bi", "l1bin", "x", "a.*").filter("y is not null")
+    own = written(dominance.staircase(points, [*family, "ai"]))
+    stairs = written(dominance.staircase(own, family))
+    held = stairs.filter("ai <> bi").select(*family, F.col("ai").alias("seg")).distinct()
+    everywhere = dominance.corners(stairs, family, 1).withColumn("seg", F.lit(-1).cast("long"))
+    second = dominance.corners(stairs, family, -1).withColumn("seg", F.col("bi").cast("long"))
+    taken = dominance.corners(stairs.join(held, family), [*family, "seg"], -1)
+    without = dominance.corners(dominance.staircase(own.join(held, family).filter("ai <> seg"), [*family, "seg"]), [*family, "seg"], 1)
+    signed = written(reduce(DataFrame.unionByName, (df.select("arm", "fold", F.col("seg").cast("long").alias("part"), "x", "y", "n") for df in (everywhere, second, taken, without))))
+    asked = triggers.filter(F.col(score).isNotNull()).select("seg", "idx", "fold", F.col(score).cast("double").alias("x"), arms)
+    asked = asked.select("seg", "idx", "fold", "x", "a.*", F.explode(F.array(F.lit(-1).cast("long"), F.col("seg").cast("long"))).alias("part"))
+    counted = dominance.beyond(asked, signed, ["arm", "fold", "part"], ["seg", "idx", "arm"], inclusive, CELL, ARM_CELL)
+    counts = counted.groupBy("seg", "idx").agg(*(F.sum(F.when(F.col("arm") == a, F.col("n")).otherwise(0)).alias(n) for a, n in (("hm", hm), ("lm", lm))))
     return triggers.join(counts, ["seg", "idx"], "left").fillna(0, [hm, lm])
 
 

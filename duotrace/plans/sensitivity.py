@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duotrace.functions.expr import logistic
-from duotrace.operators import intervals, ranking
+from duotrace.operators import curves, intervals, ranking
 from duotrace.sources import fixtures as fx
 
 R = 6
@@ -102,6 +102,13 @@ def curve_lookup(spark, d):
     return _inj(spark, d).select("inj_id", F.round(out, R).alias("log_far"), (x >= CURVE[-1][0]).alias("upper_limit"), (x <= CURVE[0][0]).alias("lower_bound"))
 
 
+def curve_table_lookup(spark, d):
+    """Rates of the second noise half's scores by the curve that the first half's ranks make, in the logarithm; an as-of join of two tables."""
+    curve = far_curve(spark, d).select("score", "far")
+    out = curves.interpolated(_inj(spark, d).filter("noise_half = 1"), curve, "loglr", "score", "far", "rate", logarithmic=True)
+    return out.select("inj_id", F.round("rate", R).alias("rate"), "rate_low", "rate_high")
+
+
 def veto_subtract(spark, d):
     e = fx.table(spark, d, "events")
     at = F.col("event_id")
@@ -151,7 +158,7 @@ def kernel_density(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        mass_efficiency, sensitive_volume, volume_curve, far_curve, roc_auc, reliability, mass_density, quantile_grid, curve_lookup, veto_subtract, source_split,
+        mass_efficiency, sensitive_volume, volume_curve, far_curve, roc_auc, reliability, mass_density, quantile_grid, curve_lookup, curve_table_lookup, veto_subtract, source_split,
         stratified_sample, poisson_bootstrap, quality_bits, kernel_density,
     )
 }
@@ -191,6 +198,11 @@ ORACLES = {
     "quantile_grid": _windows("""SELECT det, k::INT AS k, round(v[k + 1], 5) AS v FROM (SELECT det, quantile_cont(sigma, [""" + ", ".join(str(k / 32) for k in range(33)) + """]) AS v
         FROM win WHERE sigma >= 1 GROUP BY det), (SELECT unnest(range(33)) AS k)"""),
     "curve_lookup": _INJ + f"SELECT inj_id, round({_curve()}, {R}) AS log_far, loglr >= {CURVE[-1][0]} AS upper_limit, loglr <= {CURVE[0][0]} AS lower_bound FROM inj",
+    "curve_table_lookup": _INJ + f""", c AS MATERIALIZED (SELECT DISTINCT round(loglr, 2) AS score, rank() OVER (ORDER BY round(loglr, 2) DESC) - 1 + count(*) OVER (PARTITION BY round(loglr, 2)) AS k FROM inj WHERE noise_half = 0),
+        p AS (SELECT score, k / 0.5::DOUBLE AS far FROM c), e AS (SELECT min(score) AS lo, max(score) AS hi, arg_min(far, score) AS flo, arg_max(far, score) AS fhi FROM p),
+        a AS (SELECT inj_id, loglr, p.score AS x0, p.far AS y0 FROM (SELECT * FROM inj WHERE noise_half = 1) i ASOF LEFT JOIN p ON i.loglr >= p.score),
+        b AS (SELECT a.*, p.score AS x1, p.far AS y1 FROM a ASOF LEFT JOIN p ON a.loglr < p.score)
+        SELECT inj_id, round(CASE WHEN loglr <= lo THEN flo WHEN loglr >= hi THEN fhi ELSE exp(ln(y0) + (loglr - x0) * ((ln(y1) - ln(y0)) / (x1 - x0))) END, {R}) AS rate, loglr <= lo AS rate_low, loglr >= hi AS rate_high FROM b, e""",
     "veto_subtract": """WITH i AS (SELECT user_id % 8 AS seg, event_id AS s, event_id + CASE WHEN event_type = 'error' THEN user_id % 7 ELSE 40 END AS e, event_type = 'error' AS veto FROM events),
         sec AS (SELECT DISTINCT seg, unnest(range(s, e)) AS t FROM i WHERE NOT veto), bad AS (SELECT DISTINCT seg, unnest(range(s, e)) AS t FROM i WHERE veto),
         good AS (SELECT seg, t, t - row_number() OVER (PARTITION BY seg ORDER BY t) AS island FROM (SELECT * FROM sec EXCEPT SELECT * FROM bad))
