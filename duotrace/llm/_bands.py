@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._io import drop, parts_for, store
-from ._packed import Packer, exchange, groups, schema, unpack
+from ._packed import Packer, exchange, groups, schema, tidy, unpack
 from ._text import mix
 
 U = np.uint64
 #: Entries that a mapper lets meet before it sends.
-MEET_ROWS = 2_000_000
+MEET_ROWS = 1_000_000
 #: Keys of bands that need a second look are broadcast up to this many (8 bytes each); more are joined.
 BROADCAST_ROWS = 1_000_000
 #: Bands of up to this many items are tested in pairs, and postings of differences with up to this many items that probe them.
@@ -320,21 +320,21 @@ def _posted(large: DataFrame, texts: Callable, sets: Callable, percent: int) ->
     body = store(texts(met.select(F.col("item").alias("id")).distinct()))
     side = lambda x: body.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     both = met.join(side("item"), "item").join(side("p"), "p").select("p", "item", "t_p", "t_item")
-    diffs = store(both.mapInArrow(_diffs(sets), "p long, item long, n long, added array<long>, lacking array<long>"))
+    diffs = store(both.mapInArrow(tidy(_diffs(sets)), "p long, item long, n long, added array<long>, lacking array<long>"))
     drop(body), drop(met), drop(pivots)
     # What most of a group's members have, or lack, against the pivot, its centre has or lacks.
     each = lambda c: diffs.select("p", F.explode(c).alias("e")).groupBy("p", "e").agg(F.count("*").alias("k")).withColumn("kind", F.lit(c))
     size = diffs.groupBy("p").agg(F.count("*").alias("size"))
     shared = each("added").unionByName(each("lacking")).join(size, "p").filter(2 * F.col("k") > F.col("size"))
     centre = shared.groupBy("p").agg(F.collect_list(F.when(F.col("kind") == "added", F.col("e"))).alias("more"), F.collect_list(F.when(F.col("kind") == "lacking", F.col("e"))).alias("less"))
-    out = store(diffs.join(centre, "p", "left").mapInArrow(_centred(percent), "p long, item long, weight long, beyond array<long>, short array<long>, " + ", ".join(f"{b} long" for b in BITS) + ", lost long"))
+    out = store(diffs.join(centre, "p", "left").mapInArrow(tidy(_centred(percent)), "p long, item long, weight long, beyond array<long>, short array<long>, " + ", ".join(f"{b} long" for b in BITS) + ", lost long"))
     drop(diffs)
     ends = out.groupBy("p").agg(F.min(F.struct("weight", "item")).alias("least"), F.max("weight").alias("high"))
     ends = ends.select("p", F.col("least.weight").alias("low"), F.col("least.item").alias("near"), "high")
     near = out.join(ends, "p").filter((F.col("weight") + F.col("low") <= 0) & (F.col("item") != F.col("near")))
     links = store(near.select(F.least("item", "near").alias("a"), F.greatest("item", "near").alias("b")).distinct())
     rows = _by_rarity(out.join(ends.filter("high + low > 0").drop("near"), "p").select("p", "item", "weight", "beyond", "short", "low", "high"))
-    posted = store(rows.mapInArrow(_postings(percent), "key long, item long, p long, weight long, probe boolean"))
+    posted = store(rows.mapInArrow(tidy(_postings(percent)), "key long, item long, p long, weight long, probe boolean"))
     return links, posted, out
 
 

@@ -8,6 +8,9 @@ tenth of the bytes and hardly any JVM time. A mapper removes local repeats first
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,13 +61,40 @@ class Packer:
             )
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: a Python worker outlives its tasks, and what it keeps adds to the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(mapper: Callable) -> Callable:
+    """mapper, giving back memory once a task is done."""
+
+    def run(batches):
+        try:
+            yield from mapper(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def unpack(table: pa.Table, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x.as_buffer() for x in table.column(f"c{i}")), kind) for i, kind in enumerate(kinds)]
 
 
 def exchange(df: DataFrame, mapper: Callable, n: int, reducer: Callable[[pa.Table], pa.Table], out: str) -> DataFrame:
     """mapper: batches of df to batches of schema(n); reducer: the packs of one partition to a table of `out`."""
-    return df.mapInArrow(mapper, schema(n)).groupBy("part").applyInArrow(reducer, out)
+
+    def reduced(table: pa.Table) -> pa.Table:
+        try:
+            return reducer(table)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(tidy(mapper), schema(n)).groupBy("part").applyInArrow(reduced, out)
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

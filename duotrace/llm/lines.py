@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ._bands import all_links, candidates
 from ._io import drop, parts_for, prepare, store, text_or_empty
+from ._packed import tidy
 from ._text import chunks, mix, splitmix
 
 U = np.uint64
@@ -189,9 +190,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, q: int, percent: int) -> DataFra
     side = lambda x, c, n: texts.select(F.col("id").alias(x), F.col(c).alias(f"{n}_{x}"), F.char_length("line").alias(f"n_{x}"))
     rows = pairs.select("a", "b").join(side("a", "sig", "s"), "a").join(side("b", "sig", "s"), "b")
     rows = rows.select("a", "b", "s_a", "s_b", (F.least("n_a", "n_b") - (q - 1)).alias("n"))
-    near = store(rows.mapInArrow(_hopeful(percent), "a long, b long"))
+    near = store(rows.mapInArrow(tidy(_hopeful(percent)), "a long, b long"))
     both = near.join(side("a", "line", "t"), "a").join(side("b", "line", "t"), "b").select("a", "b", "t_a", "t_b")
-    out = store(both.mapInArrow(_verify(q, percent), "a long, b long"))
+    out = store(both.mapInArrow(tidy(_verify(q, percent)), "a long, b long"))
     drop(near)
     return out
 
@@ -228,7 +229,7 @@ def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_
         at = F.broadcast(at)
     here = _lines(docs, F.col("doc_id").alias("_doc")).withColumnRenamed("at", "_at")
     texts = here.join(at, (here["id"] == at["id"]) & (here["_at"] == at["_at"]) & here["_doc"].eqNullSafe(at["_doc"]), "left_semi").select("id", "line")
-    texts = store(texts.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(_signed(characters), "id long, line string, sig binary"))
+    texts = store(texts.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(tidy(_signed(characters)), "id long, line string, sig binary"))
     drop(needed)
     verify = lambda some: _linked(some, texts, characters, percent)
     found = all_links(texts, _bands(characters, "line"), pairs, verify(pairs), lambda ids: texts.join(ids, "id", "left_semi").select("id", F.col("line").alias("text")), lambda column: _line_sets(column, characters), percent, verify)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ._bands import all_links, candidates
 from ._io import drop, parts_for, prepare, store, text_or_empty
+from ._packed import tidy
 from ._text import LOWER, chunks, mix, rolling, span_hashes, splitmix, word_spans
 
 U = np.uint64
@@ -172,7 +173,7 @@ def _linked(pairs: DataFrame, sigs: DataFrame, texts, k: int, percent: int) -> D
     body = store(texts(needed))
     text = lambda x: body.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     both = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
-    out = store(both.mapInArrow(_verify(k, percent), "a long, b long"))
+    out = store(both.mapInArrow(tidy(_verify(k, percent)), "a long, b long"))
     drop(body), drop(near), drop(needed)
     return out
 
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    sigs = store(docs.mapInArrow(_signatures(words, percent), "doc_id long, n long, set_a long, set_b long, p0 int, regs0 binary, p1 int, regs1 binary"))
+    sigs = store(docs.mapInArrow(tidy(_signatures(words, percent)), "doc_id long, n long, set_a long, set_b long, p0 int, regs0 binary, p1 int, regs1 binary"))
     full = sigs.filter("n > 0 and doc_id is not null")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep <> last")
     # Both sides of this join are plain shuffles, so that Spark splits the partition of a very large class.

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import prepare, store, text_or_empty
+from ._packed import tidy
 
 LENGTH, END = 4096, 2
 #: Word pieces a Python worker remembers before it starts anew.
@@ -240,7 +241,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     spark = prepare(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(F.col(source), F.lit(""))).alias("source"))
-    rows = store(rows.mapInArrow(_tokenize(path), "doc_id long, source string, part int, first long, n long, ids binary"))
+    rows = store(rows.mapInArrow(tidy(_tokenize(path)), "doc_id long, source string, part int, first long, n long, ids binary"))
     sizes = store(rows.groupBy("source", "part").agg(F.sum("n").alias("n")))
     by_source = sizes.groupBy("source").agg(F.sum("n").alias("n"))
     total = by_source.agg(F.sum("n")).first()[0] or 0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import LEAST_PARTS, prepare, store, text_or_empty
-from ._packed import Packer, exchange, groups, unpack
+from ._packed import Packer, exchange, groups, tidy, unpack
 from ._text import BYTE_VALUES, LOWER, SPACE, chunks, mix
 
 U = np.uint64
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, doc_id: str = "doc_id
         best = counted.orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
         features = np.sort(np.array([r["feature"] for r in best], np.int64).view(U))
     finder = spark.sparkContext.broadcast(Finder(features))
-    gathered = sample.mapInArrow(_sample_rows(finder), "one int, toxic int, plain binary, swapped binary")
+    gathered = sample.mapInArrow(tidy(_sample_rows(finder)), "one int, toxic int, plain binary, swapped binary")
     weights = gathered.groupBy("one").applyInArrow(_fit_group(len(features)), "k int, w double").orderBy("k").collect()  # at most FIT_ROWS rows of a few numbers
     return Model(features, np.array([r["w"] for r in weights]) if weights else fit(np.zeros(0), [], [], 0))
 
@@ -258,7 +258,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     """
     prepare(docs.sparkSession)
     m = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(_score(m), "doc_id long, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(tidy(_score(m)), "doc_id long, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
