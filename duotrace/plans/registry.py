@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from duotrace.plans import catalog, origin, search, sensitivity
+from duotrace.plans import catalog, origin, samples, search, sensitivity
 
-MODULES = (search, sensitivity, catalog, origin)
+MODULES = (search, sensitivity, catalog, origin, samples)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 #: With the reference's caps; not all have SQL.
