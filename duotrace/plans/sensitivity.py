@@ -109,6 +109,16 @@ def curve_table_lookup(spark, d):
     return out.select("inj_id", F.round("rate", R).alias("rate"), "rate_low", "rate_high")
 
 
+def aligned_scores(spark, d):
+    """The first stream's scores moved to the second's quantiles: both grids as one curve, looked up as of each score."""
+    win = fx.windows(spark, d)
+    at = [k / 512 for k in range(513)]
+    grids = win.filter("sigma >= 1").groupBy("det").agg(F.percentile("sigma", F.array(*map(F.lit, at))).alias("v")).select("det", F.posexplode("v").alias("k", "v"))
+    h, low = (grids.filter(F.col("det") == x).select("k", F.col("v").alias(n)) for x, n in (("H1", "a"), ("L1", "b")))
+    out = curves.interpolated(win.filter("det = 'H1'").select("seg", "idx", "sigma"), h.join(low, "k"), "sigma", "a", "b", "aligned")
+    return out.select("seg", "idx", F.round("aligned", 5).alias("aligned"))
+
+
 def veto_subtract(spark, d):
     e = fx.table(spark, d, "events")
     at = F.col("event_id")
@@ -158,7 +168,7 @@ def kernel_density(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        mass_efficiency, sensitive_volume, volume_curve, far_curve, roc_auc, reliability, mass_density, quantile_grid, curve_lookup, curve_table_lookup, veto_subtract, source_split,
+        mass_efficiency, sensitive_volume, volume_curve, far_curve, roc_auc, reliability, mass_density, quantile_grid, curve_lookup, curve_table_lookup, aligned_scores, veto_subtract, source_split,
         stratified_sample, poisson_bootstrap, quality_bits, kernel_density,
     )
 }
@@ -203,6 +213,10 @@ ORACLES = {
         a AS (SELECT inj_id, loglr, p.score AS x0, p.far AS y0 FROM (SELECT * FROM inj WHERE noise_half = 1) i ASOF LEFT JOIN p ON i.loglr >= p.score),
         b AS (SELECT a.*, p.score AS x1, p.far AS y1 FROM a ASOF LEFT JOIN p ON a.loglr < p.score)
         SELECT inj_id, round(CASE WHEN loglr <= lo THEN flo WHEN loglr >= hi THEN fhi ELSE exp(ln(y0) + (loglr - x0) * ((ln(y1) - ln(y0)) / (x1 - x0))) END, {R}) AS rate, loglr <= lo AS rate_low, loglr >= hi AS rate_high FROM b, e""",
+    "aligned_scores": _windows(""", g AS (SELECT det, unnest(quantile_cont(sigma, [k / 512.0::DOUBLE FOR k IN range(513)])) AS v, unnest(range(513)) AS k FROM win WHERE sigma >= 1 GROUP BY det),
+        c AS MATERIALIZED (SELECT h.v AS a, min(l.v) AS b FROM g h JOIN g l ON l.k = h.k AND h.det = 'H1' AND l.det = 'L1' GROUP BY h.v), w AS (SELECT seg, idx, sigma FROM win WHERE det = 'H1'),
+        x AS (SELECT w.*, c.a AS a0, c.b AS b0 FROM w ASOF LEFT JOIN c ON sigma >= c.a), y AS (SELECT x.*, c.a AS a1, c.b AS b1 FROM x ASOF LEFT JOIN c ON sigma < c.a)
+        SELECT seg, idx, round(CASE WHEN a0 IS NULL THEN (SELECT arg_min(b, a) FROM c) WHEN a1 IS NULL THEN (SELECT arg_max(b, a) FROM c) ELSE b0 + (sigma - a0) * ((b1 - b0) / (a1 - a0)) END, 5) AS aligned FROM y"""),
     "veto_subtract": """WITH i AS (SELECT user_id % 8 AS seg, event_id AS s, event_id + CASE WHEN event_type = 'error' THEN user_id % 7 ELSE 40 END AS e, event_type = 'error' AS veto FROM events),
         sec AS (SELECT DISTINCT seg, unnest(range(s, e)) AS t FROM i WHERE NOT veto), bad AS (SELECT DISTINCT seg, unnest(range(s, e)) AS t FROM i WHERE veto),
         good AS (SELECT seg, t, t - row_number() OVER (PARTITION BY seg ORDER BY t) AS island FROM (SELECT * FROM sec EXCEPT SELECT * FROM bad))
