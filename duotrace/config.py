@@ -46,6 +46,8 @@ class SearchConfig:
     lr_mean: tuple[float, ...] = (0.0, 0.0, 0.3, 50.0, 50.0, 0.0, 0.0)
     lr_scale: tuple[float, ...] = (1.0, 1.0, 0.17, 29.0, 29.0, 2.0, 2.0)
     lr_beta: tuple[float, ...] = (-3.0, 1.2, 1.2, 0.8, -0.1, -0.1, 0.3, 0.3)
+    #: Models of a search that fits its own: (means, scales, intercept and slopes) for the rows of either fold; None for the fixed values.
+    fold_models: tuple | None = None
     #: Known events: name, segment, time.
     known_events: tuple[tuple[str, int, float], ...] = (("EV0", 0, 100.3), ("EV3", 3, 3000250.7))
 

@@ -8,19 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duotrace.config import YEAR_S, SearchConfig
-from duotrace.functions.expr import features, kept_by, loglr
+from duotrace.functions.expr import features, kept_by, linear, loglr
 from duotrace.functions.stats import poisson_table, poisson_upper_large
 from duotrace.operators import dominance
 from duotrace.operators.pairing import arm_stubs, coherence_stub
 from duotrace.sources.tables import written
 
 
+def ratio(values, config: SearchConfig = SearchConfig()):
+    """The log likelihood ratio by the fixed values, or by the model for the row's fold (`fold`), which the other fold's rows made."""
+    if config.fold_models is None:
+        return loglr(values, config)
+    return F.when(F.col("fold") == 0, linear(values, *config.fold_models[0])).when(F.col("fold") == 1, linear(values, *config.fold_models[1]))
+
+
 def with_scores(rows: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Adds coh, loglr, hm and lm. rows: ai, bi, ih, il and both streams' sigma, centroid and g."""
     c = F.col
     rows = rows.withColumn("coh", coherence_stub(c("ih"), c("il"), c("ai"), c("bi")))
     hm, lm = arm_stubs(c("ai"), c("ih"), c("bi"), c("il"))
-    score = loglr(features(c("sigma_h"), c("sigma_l"), c("coh"), c("centroid_h"), c("centroid_l"), c("g_h"), c("g_l")), config)
+    score = ratio(features(c("sigma_h"), c("sigma_l"), c("coh"), c("centroid_h"), c("centroid_l"), c("g_h"), c("g_l")), config)
     return rows.withColumn("loglr", score).withColumn("hm", hm).withColumn("lm", lm)
 
 
@@ -37,7 +44,7 @@ def bounded_prune(slide: DataFrame, config: SearchConfig = SearchConfig(), bound
     """
     c = F.col
     if bound:
-        most = loglr(features(c("sigma_h"), c("sigma_l"), F.lit(config.coh_ceiling), c("centroid_h"), c("centroid_l"), c("g_h"), c("g_l")), config)
+        most = ratio(features(c("sigma_h"), c("sigma_l"), F.lit(config.coh_ceiling), c("centroid_h"), c("centroid_l"), c("g_h"), c("g_l")), config)
         slide = slide.filter(most > config.lr_floor)
     return with_scores(slide, config).filter(F.col("loglr") > config.lr_floor)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duotrace.config import FIXTURE, FULL, YEAR_S
 from duotrace.functions.expr import features, kept_by, loglr
-from duotrace.operators import cluster, far, pairing
+from duotrace.operators import cluster, far, likelihood, pairing
 from duotrace.sources import fixtures as fx
 from duotrace.sources.tables import written
 
@@ -60,15 +60,58 @@ def _triggers(spark, d, win, config=CONFIG):
     return far.known_matches(far.with_scores(far.as_pairs(trig), config), near, config)
 
 
-def _rated(spark, d, config=CONFIG):
-    """The whole search: windows, triggers, clusters, candidates, slid background, rates. Windows, candidates, survivors and families are each written once."""
+def _noise(clean, config=CONFIG):
+    """Up to noise_cap noise rows of each fold, those of least arithmetic hash: two partial sorts with a limit, so no task sorts a fold."""
+    mark = (F.col("ih") * 7919 + F.col("il") * 104729 + F.col("ai") * 1299709 + F.col("bi") * 15485863) % 1000003
+    rows = clean.filter(F.col("net") >= 3.0).withColumn("mark", mark)
+    half = lambda g: rows.filter(F.col("fold") == g).orderBy("mark", "ai", "ih", "bi", "il").limit(config.noise_cap)
+    return half(0).unionByName(half(1)).drop("mark")
+
+
+def _ceiling(noise, trig, segs, config=CONFIG):
+    """One row: n, most, p99 and excess of the noise sample's coherence, and the ceilings: the sample's largest, an exponential tail out to all slid
+    pairs, a Gumbel margin, and at least the triggers' largest; legacy is the older, wider one."""
+    top = noise.agg(F.coalesce(F.max("coh"), F.lit(0.0)).alias("most"), F.coalesce(F.percentile("coh", 0.99), F.lit(0.0)).alias("p99"), F.count("*").alias("n"))
+    excess = noise.join(F.broadcast(top), F.col("coh") > F.col("p99")).agg(F.greatest(F.coalesce(F.avg(F.col("coh") - F.col("p99")), F.lit(0.0)), F.lit(1e-4)).alias("excess"))
+    slid = pairing.pairings(segs, config).agg(F.count("*").alias("pairings")), segs.agg(F.min_by("n", "seg").alias("windows"))
+    out = top.withColumn("one", F.lit(1))
+    for row in (excess, *slid, trig.agg(F.coalesce(F.max("coh"), F.lit(0.0)).alias("trig"))):  # single rows
+        out = out.join(row.withColumn("one", F.lit(1)), "one")
+    tail = F.log(F.greatest(F.lit(1.0), F.col("pairings").cast("double") * F.col("windows") / F.greatest("n", F.lit(1)))) + config.ceiling_sigmas * math.pi / math.sqrt(6.0)
+    bound = F.least(F.lit(1.0), F.greatest(F.col("most") + F.col("excess") * tail, F.col("trig") + 0.02))
+    return out.select("n", "most", "p99", "excess", bound.alias("ceiling"), F.least(F.lit(1.0), F.greatest("most", "trig") + 0.15).alias("legacy"))
+
+
+def _signals(win, config=CONFIG):
+    """Stand-ins for injected signals with the features of a pair: every fifth zero-lag row made louder and more coherent."""
+    rows = far.with_scores(far.as_pairs(pairing.zero_lag(win).filter(F.col("idx") % 5 == 0)), replace(config, fold_models=None))
+    return rows.withColumn("sigma_h", F.col("sigma_h") + 3.0).withColumn("sigma_l", F.col("sigma_l") + 3.0).withColumn("coh", F.col("coh") + 0.35)
+
+
+def _models(win, noise, config=CONFIG):
+    """A model for the rows of either fold, fitted to signals and noise of the other."""
+    c = F.col
+    values = features(c("sigma_h"), c("sigma_l"), c("coh"), c("centroid_h"), c("centroid_l"), c("g_h"), c("g_l"))
+    put = lambda rows, label: rows.select("fold", F.lit(label).alias("signal"), *(v.alias(n) for v, n in zip(values, likelihood.FEATURES)))
+    rows = written(put(_signals(win, config), 1).unionByName(put(far.with_scores(noise, replace(config, fold_models=None)), 0)))
+    fits = [likelihood.fit(rows.filter(c("fold") == 1 - g)) for g in (0, 1)]
+    return tuple((tuple(m["mean"]), tuple(m["scale"]), tuple(m["beta"])) for m in fits)
+
+
+def _rated(spark, d, config=CONFIG, fitted=False):
+    """The whole search: windows, slid background without known events, a noise sample, the ratio's models (if fitted), triggers, clusters, the coherence
+    ceiling, candidates, pruned background, rates. Windows, candidates, noise, survivors and families are each written once."""
     win = written(_win(spark, d))
-    trig = written(_triggers(spark, d, win, config))
-    config = replace(config, lr_floor=far.floor_of(trig, config))
-    cand = written(far.top_candidates(trig, config))
     segs = fx.segments(win)
     slide = pairing.time_slide(win, pairing.pairings(segs, config), segs)
     clean = pairing.excise(slide, pairing.nearest_window(win, pairing.known_events(spark, config)), config)
+    noise = written(_noise(clean, config))
+    if fitted:
+        config = replace(config, fold_models=_models(win, noise, config))
+    trig = written(_triggers(spark, d, win, config))
+    ceiling = _ceiling(far.with_scores(noise, config), trig, segs, config).first()["ceiling"]
+    config = replace(config, lr_floor=far.floor_of(trig, config), coh_ceiling=ceiling)
+    cand = written(far.top_candidates(trig, config))
     background = written(_binned(far.tripwire(far.bounded_prune(clean, config), config), config).select("fold", "ai", "ih", "bi", "il", "l1bin", "loglr", "hm", "lm"))
     return far.detections(far.rates(cand, background, written(_families(clean, config)), written(far.livetime(clean, config)), config), config)
 
@@ -244,24 +287,14 @@ def pair_dedup_dominance(spark, d, config=CONFIG):
 
 
 def coherence_ceiling(spark, d, config=CONFIG):
-    """A bound on the coherence of the whole background from a sample of noise: the sample's largest, an exponential tail out to all slid pairs, a Gumbel margin, and at least the triggers' largest.
+    """A bound on the coherence of the whole background from the sample of noise.
 
-    percentile keeps counts by distinct value, which the stand-in bounds (1000); measured values need ranking.running_total.
+    percentile keeps counts by distinct value, of noise_cap rows a fold at most.
     """
     win, clean = _clean(spark, d, config)
-    noise = far.with_scores(clean.filter(F.col("net") >= 3.0), config).select("coh")
-    top = noise.agg(F.coalesce(F.max("coh"), F.lit(0.0)).alias("most"), F.coalesce(F.percentile("coh", 0.99), F.lit(0.0)).alias("p99"), F.count("*").alias("n"))
-    excess = noise.join(F.broadcast(top), F.col("coh") > F.col("p99")).agg(F.greatest(F.coalesce(F.avg(F.col("coh") - F.col("p99")), F.lit(0.0)), F.lit(1e-4)).alias("excess"))
-    segs = fx.segments(win)
-    slid = pairing.pairings(segs, config).agg(F.count("*").alias("pairings")), segs.agg(F.min_by("n", "seg").alias("windows"))
-    trig = _triggers(spark, d, win, config).agg(F.coalesce(F.max("coh"), F.lit(0.0)).alias("trig"))
-    out = top.withColumn("one", F.lit(1))
-    for row in (excess, *slid, trig):  # single rows
-        out = out.join(row.withColumn("one", F.lit(1)), "one")
-    tail = F.log(F.greatest(F.lit(1.0), F.col("pairings").cast("double") * F.col("windows") / F.greatest("n", F.lit(1)))) + config.ceiling_sigmas * math.pi / math.sqrt(6.0)
-    bound = F.least(F.lit(1.0), F.greatest(F.col("most") + F.col("excess") * tail, F.col("trig") + 0.02))
-    legacy = F.least(F.lit(1.0), F.greatest("most", "trig") + 0.15)
-    return out.select("n", *(F.round(c, R).alias(c) for c in ("most", "p99", "excess")), F.round(bound, R).alias("ceiling"), F.round(legacy, R).alias("legacy"))
+    noise = far.with_scores(_noise(clean, config), config).select("coh")
+    out = _ceiling(noise, _triggers(spark, d, win, config), fx.segments(win), config)
+    return rounded(out, "most", "p99", "excess", "ceiling", "legacy")
 
 
 def coherence_maxlag(spark, d):
@@ -279,12 +312,13 @@ def coherence_maxlag(spark, d):
 
 
 def noise_sample_cap(spark, d, config=CONFIG):
-    """Up to noise_cap noise rows of each fold, those of least arithmetic hash."""
-    _, clean = _clean(spark, d, config)
-    mark = (F.col("ih") * 7919 + F.col("il") * 104729 + F.col("ai") * 1299709 + F.col("bi") * 15485863) % 1000003
-    rank = F.row_number().over(Window.partitionBy("fold").orderBy("mark", "ai", "ih", "bi", "il"))
-    rows = clean.filter(F.col("net") >= 3.0).withColumn("mark", mark).withColumn("rank", rank).filter(F.col("rank") <= config.noise_cap)
-    return rows.select("fold", "ai", "ih", "bi", "il")
+    """The noise rows that the ratio and the ceiling are made from."""
+    return _noise(_clean(spark, d, config)[1], config).select("fold", "ai", "ih", "bi", "il")
+
+
+def fitted_detections(spark, d, config=CONFIG):
+    """The whole search with ratios fitted to its own noise and signals, each fold scored by the other's fit."""
+    return _rated(spark, d, config, fitted=True).select("seg", "idx", "fold", F.round("loglr", 4).alias("loglr"), *(F.round(c, 1).alias(c) for c in ("far_lr", "far_net", "best_far")), "channel", "detected")
 
 
 QUERIES = {
@@ -293,7 +327,7 @@ QUERIES = {
         scan_streams, sigma_norm, net_sigma, feature_gate, lr_score, cluster_triggers, topk_triggers, pairings, time_slide_join, nearest_event, excision_antijoin,
         livetime, bounded_prune, family_max, louder_families, per_arm_far, per_arm_net, gated_families, net_channel_far, poisson_ul, candidates, pairings_fine, best_far_detections, veto_detections, detections_in_order, named_events,
         kept_by_label, pair_dedup_dominance,
-        coherence_ceiling, coherence_maxlag, noise_sample_cap,
+        coherence_ceiling, coherence_maxlag, noise_sample_cap, fitted_detections,
     )
 }
 
@@ -451,7 +485,7 @@ ORACLES = {
         (SELECT fold, bi, l1bin, sum(n) AS n, count(*) AS pairs FROM (SELECT fold, ai, floor(gps_h / 4.0) AS h, bi, l1bin, count(*) AS n FROM bg GROUP BY ALL) GROUP BY ALL) GROUP BY fold"""
     ),
     "coherence_ceiling": _sql(
-        f""", {_CAND}, noise AS (SELECT coh FROM bg1 WHERE net >= 3.0), top AS (SELECT max(coh) AS most, quantile_cont(coh, 0.99) AS p99, count(*) AS n FROM noise),
+        f""", {_CAND}, noise AS (SELECT coh FROM bg1 WHERE net >= 3.0 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY (ih * 7919 + il * 104729 + ai * 1299709 + bi * 15485863) % 1000003, ai, ih, bi, il) <= 500), top AS (SELECT max(coh) AS most, quantile_cont(coh, 0.99) AS p99, count(*) AS n FROM noise),
         e AS (SELECT greatest(1e-4, avg(coh - p99)) AS excess FROM noise, top WHERE coh > p99), k AS (SELECT (SELECT count(*) FROM pairs) * (SELECT arg_min(n, seg) FROM segs) AS slid, (SELECT max(coh) FROM tc) AS trig)
         SELECT n, round(most, {R}) AS most, round(p99, {R}) AS p99, round(excess, {R}) AS excess,
         round(least(1.0, greatest(most + excess * (ln(greatest(1.0, slid::DOUBLE / n)) + {CONFIG.ceiling_sigmas} * pi() / sqrt(6.0::DOUBLE)), trig + 0.02)), {R}) AS ceiling,
