@@ -57,11 +57,12 @@ def test_arms_are_ranks_with_a_guard_for_the_own_segment(spark):
     assert got == {0: (1, 2), 2: (0, 0)}
 
 
-def test_blocks_give_the_same_counts(spark, monkeypatch):
+def test_cells_of_any_size_give_the_same_counts(spark, monkeypatch):
     t = spark.createDataFrame([(s, i, 0, float(i), 4.5, 0.1 * s, 0.2, None) for s in (1, 2) for i in range(5)], T)
     b = spark.createDataFrame([(0, 3, 4, k, k / 3, (k % 7) / 10, 0.3) for k in range(20)], B)
     want = sorted(map(tuple, far.per_arm(t, b, "loglr").collect()))
-    monkeypatch.setattr(far, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(far, "CELL", 3.1)
+    monkeypatch.setattr(far, "ARM_CELL", 0.013)
     assert sorted(map(tuple, far.per_arm(t, b, "loglr").collect())) == want
 
 
