@@ -7,5 +7,5 @@ from duotrace.plans import catalog, origin, samples, scans, search, sensitivity
 MODULES = (search, sensitivity, catalog, origin, samples, scans)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
-#: With the reference's caps; not all have SQL.
+#: With the caps of a whole search.
 FULL_QUERIES, FULL_ORACLES = search.FULL_QUERIES, search.FULL_ORACLES

@@ -502,8 +502,7 @@ ORACLES = {
     ),
 }
 ORACLES = {k: v.replace("WITH , ", "WITH ").replace(f"{_ALL} , ", f"{_ALL}, ") for k, v in ORACLES.items()}
-#: The others compare all pairs of triggers and background in SQL, too slowly at these sizes; tests count by brute force.
 FULL_ORACLES = {
     f"{k}_full": ORACLES[k].replace("off) <= 10)", f"off) <= {FULL.max_offsets})").replace("<= 500", f"<= {FULL.noise_cap}")
-    for k in ("pairings", "time_slide_join", "excision_antijoin", "livetime", "bounded_prune", "family_max", "pair_dedup_dominance", "coherence_ceiling", "noise_sample_cap")
+    for k in (f.__name__ for f in SLIDING)
 }
