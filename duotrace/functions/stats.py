@@ -54,6 +54,60 @@ def clopper_pearson(k: int, n: int, confidence: float = 0.95) -> tuple[float, fl
     return low, high
 
 
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, for 0 < x < 1 and all places together; the work doesn't grow with a and b as a sum would."""
+    swap = x > (a + 1) / (a + b + 2)  # where the other tail's fraction converges faster
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    # Numerators of the fraction, even and odd, evaluated from the front as a ratio of successive convergents.
+    num, den = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    den = 1 / np.where(np.abs(den) < tiny, tiny, den)
+    out = den.copy()
+    for m in range(1, 100_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            den, num = 1 + term * den, 1 + term / num
+            den, num = 1 / np.where(np.abs(den) < tiny, tiny, den), np.where(np.abs(num) < tiny, tiny, num)
+            step = den * num
+            out = out * step
+        if np.all(np.abs(step - 1) < 1e-14):
+            break
+    return np.where(swap, 1 - front * out, front * out)
+
+
+def share_bounds(k: np.ndarray, n: np.ndarray, confidence: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """clopper_pearson of many counts at once, of any size: quantiles of beta distributions, bisected together."""
+    tail = (1 - confidence) / 2
+
+    def quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(a)), np.ones(len(a))
+        for _ in range(60):
+            mid = (low + high) / 2
+            below = beta_cdf(mid, a, b) < p
+            low, high = np.where(below, mid, low), np.where(below, high, mid)
+        return (low + high) / 2
+
+    low = np.where(k == 0, 0.0, quantile(tail, np.maximum(k, 1).astype(float), n - k + 1.0))
+    high = np.where(k == n, 1.0, quantile(1 - tail, k + 1.0, np.maximum(n - k, 1).astype(float)))
+    return low, high
+
+
+def with_share_interval(rows: DataFrame, k: str, n: str, confidence: float = 0.95) -> DataFrame:
+    """rows (of counts, so few) with low and high, the exact interval of the share k / n; null where n is null or 0."""
+
+    def run(batches):
+        for pdf in batches:
+            ok = (pdf[n] > 0) & pdf[k].notna()
+            pdf["low"], pdf["high"] = np.nan, np.nan
+            if ok.any():
+                pdf.loc[ok, "low"], pdf.loc[ok, "high"] = share_bounds(pdf.loc[ok, k].to_numpy(np.int64), pdf.loc[ok, n].to_numpy(np.int64), confidence)
+            yield pdf
+
+    out = rows.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", low double, high double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})
+
+
 def poisson_uppers(counts: np.ndarray, tail: np.ndarray | float) -> np.ndarray:
     """For every count, the mean at which it or fewer has probability `tail`; all are bisected together."""
     k = np.arange(int(counts.max()) + 1)
