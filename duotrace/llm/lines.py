@@ -26,8 +26,8 @@ BASE = U(0xD1342543DE82EF95)
 ERRORS = 6
 NEWLINE, BLANKS = 10, (9, 10, 11, 12, 13, 32)
 BLANK = np.isin(np.arange(33), BLANKS)
-#: Places of lines whose texts are needed are broadcast up to this many (about 100 bytes each in memory); more are joined by a shuffle of all lines.
-PLACES_ROWS = 400_000
+#: The filter of wanted places has 64 bits for each of these words, and words without a bit have no row, so what is broadcast never exceeds this many rows of about 50 bytes.
+FILTER_WORDS_LOG2 = 21
 #: Bytes of text worked on at once, so that arrays of eight bytes a character stay in the processor's cache.
 PIECE = 1 << 18
 
@@ -203,6 +203,19 @@ def _lines(docs: DataFrame, *more: str | Column) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).withColumn("id", F.xxhash64("line"))
 
 
+def _wanted(rows: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among those of `some`: all that are, and others by chance, the more the fuller the filter.
+
+    One bit a key, or-ed into words that are broadcast. The filter's size has a bound, so in a corpus with far more wanted keys
+    than bits it lets more rows through; whoever needs these keys alone joins what is left.
+    """
+    h = F.xxhash64(*keys)
+    word = F.shiftrightunsigned(h, 64 - FILTER_WORDS_LOG2)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    words = some.select(word.alias("_of"), bit.alias("_one")).groupBy("_of").agg(F.bit_or("_one").alias("_bits"))
+    return rows.join(F.broadcast(words), (word == F.col("_of")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
+
+
 def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, gone): for each document with lines to remove, their numbers from 0, in order.
 
@@ -225,11 +238,9 @@ def repeated_lines(docs: DataFrame, characters: int = 8, percent: int = 80, doc_
     needed = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     # Their texts, from their first places alone, so that a common line doesn't meet in one task.
     at = distinct.join(needed, "id", "left_semi").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.at").alias("_at"))
-    if needed.count() <= PLACES_ROWS:
-        at = F.broadcast(at)
-    here = _lines(docs, F.col("doc_id").alias("_doc")).withColumnRenamed("at", "_at")
-    texts = here.join(at, (here["id"] == at["id"]) & (here["_at"] == at["_at"]) & here["_doc"].eqNullSafe(at["_doc"]), "left_semi").select("id", "line")
-    texts = store(texts.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(tidy(_signed(characters)), "id long, line string, sig binary"))
+    here = _wanted(_lines(docs, F.col("doc_id").alias("_doc")).withColumnRenamed("at", "_at"), at, ["id", "_doc", "_at"])
+    texts = here.groupBy("id").agg(F.min("line").alias("line")).join(needed, "id", "left_semi")
+    texts = store(texts.mapInArrow(tidy(_signed(characters)), "id long, line string, sig binary"))
     drop(needed)
     verify = lambda some: _linked(some, texts, characters, percent)
     found = all_links(texts, _bands(characters, "line"), pairs, verify(pairs), lambda ids: texts.join(ids, "id", "left_semi").select("id", F.col("line").alias("text")), lambda column: _line_sets(column, characters), percent, verify)

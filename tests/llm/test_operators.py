@@ -176,6 +176,29 @@ def test_line_dedup_as_brute_force(spark):
     assert {d: got[d] for d in want} == want and gone
 
 
+@pytest.mark.parametrize("log2", [1, 8, 21])
+def test_the_filter_of_places_loses_nothing_however_full(spark, monkeypatch, log2):
+    """What is wanted passes at any size of the filter; rows beside it pass by chance, fewer with more bits."""
+    from pyspark.sql import functions as F
+
+    from duotrace.llm import lines
+
+    monkeypatch.setattr(lines, "FILTER_WORDS_LOG2", log2)
+    rows = spark.range(20000).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc"))
+    some = rows.filter("id % 10 = 0")
+    got = {r["id"] for r in lines._wanted(rows, some, ["id", "doc"]).collect()}
+    assert got >= set(range(0, 20000, 10))
+    assert {1: len(got) == 20000, 8: 2000 < len(got) < 6000, 21: len(got) < 2010}[log2]
+    assert lines._wanted(rows, some.limit(0), ["id", "doc"]).count() == 0
+
+
+def test_line_dedup_with_a_full_filter(spark, monkeypatch):
+    from duotrace.llm import lines
+
+    monkeypatch.setattr(lines, "FILTER_WORDS_LOG2", 1)
+    test_line_dedup_as_brute_force(spark)
+
+
 def test_line_dedup_of_awkward_rows(spark):
     docs = awkward(spark)
     rows = dedup_lines(docs).collect()
