@@ -62,15 +62,20 @@ def volume_curve(spark, d):
     return out.select("bin", "threshold", "found", F.round(F.col("found") / F.col("n") * F.col("v") / 1e6, 4).alias("volume"))
 
 
+def _hundredths(x):
+    """x to two digits as SQL's engine rounds: the product with 100, halves away from zero. F.round(x, 2) rounds the number's decimal form, which differs where the product falls on a half."""
+    return F.round(x * 100.0) / 100.0
+
+
 def far_curve(spark, d):
     """How many noise rows reach each score, and the rate that is over half a year."""
-    noise = _inj(spark, d).filter("noise_half = 0").withColumn("score", F.round("loglr", 2))
+    noise = _inj(spark, d).filter("noise_half = 0").withColumn("score", _hundredths(F.col("loglr")))
     out = ranking.running_total(noise, "score", 0.5, n=F.lit(1))
     return out.select("score", (F.col("n") + F.col("n_above")).alias("rank"), ((F.col("n") + F.col("n_above")) / 0.5).alias("far"))
 
 
 def roc_auc(spark, d):
-    out = ranking.auc(_inj(spark, d).withColumn("score", F.round("loglr", 2)), "score", F.col("mtot") >= 200, 0.5)
+    out = ranking.auc(_inj(spark, d).withColumn("score", _hundredths(F.col("loglr"))), "score", F.col("mtot") >= 200, 0.5)
     return out.select("n_pos", "n_neg", F.round("auc", R).alias("auc"))
 
 
