@@ -47,3 +47,20 @@ def test_offsets_do_not_depend_on_stretches(spark, monkeypatch):
 def test_no_exchange_of_slid_rows(spark, name):
     plan = registry.FULL_QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert all("il#" not in line and "ih#" not in line for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
+
+
+def test_copies_do_not_grow_with_the_length_of_streams(spark, monkeypatch):
+    """A stream of any length is BLOCKS blocks, only blocks that meet are sent, and their size changes no row."""
+    monkeypatch.setattr(pairing, "BLOCK", 16)
+    sent = {}
+    for n in (400, 3200):
+        windows = spark.sql(
+            f"select s.id * 2 as seg, d.det, w.id as idx, w.id + 0.5D as gps, (w.id % 7) + 0.0D as sigma, 0.0D as centroid, 0.0D as g, 0 as fold from range(2) s, (values ('H1'), ('L1')) d(det), range({n}) w"
+        )
+        segs = spark.createDataFrame([(0, 0, n), (2, 0, n)], "seg long, fold int, n long")
+        pairs = pairing.pairings(segs, replace(FIXTURE, offset_step=1, min_self_offset=1, max_offsets=n))
+        slid = pairing.time_slide(windows, pairs, segs)
+        assert slid.count() == pairs.agg({"off": "count"}).first()[0] * n - pairs.selectExpr("sum(abs(off))").first()[0]
+        assert slid.filter("il <> ih + off or gps_l <> il + 0.5D or gps_h <> ih + 0.5D or sigma_l <> il % 7").count() == 0
+        sent[n] = -(-n // pairing.block_size(segs))
+    assert sent == {400: 8, 3200: 8}
