@@ -125,3 +125,32 @@ def test_draws_follow_the_weights(spark):
 def test_defaults_are_those_of_a_whole_analysis():
     whole = OriginConfig()
     assert (whole.reps, whole.mock, whole.tail, whole.bulk, whole.threshold, whole.seen_rate) == (1000, 150_000, 40_000, 40_000, 0.9, 10.0) and STAND_IN.high_shares == whole.high_shares
+
+
+def test_kernels_by_expansions_equal_those_of_rows(spark):
+    """Points meet a row a cell, not a row of the sample; sums agree with brute force to the last digits, also nine widths away and far from zero."""
+    r = random.Random(5)
+    sample = [(k, 1e4 * k + r.gauss(0, 2), r.random(), 0.3 + k) for k in (0, 1) for _ in range(4000)]
+    points = [(p, k, 1e4 * k + r.uniform(-12, 12)) for p in range(40) for k in (0, 1)] + [(98, 0, min(s[1] for s in sample if s[0] == 0) - 0.3 * 8.9), (99, 0, 1e6)]
+    rows = spark.createDataFrame(sample, "key int, v double, w double, width double")
+    cells = origin.expansions(rows, ["key"], "v", "w")
+    assert cells.count() == len({(k, math.floor(v / (origin.STEP * h))) for k, v, _, h in sample}) < 200
+    got = {(x["p"], x["key"]): x["k"] for x in origin.kernel_sums(spark.createDataFrame(points, "p int, key int, x double"), rows, ["p", "key"], "x", "v", "w", []).collect()}
+    assert (99, 0) not in got
+    for p, k, x in points[:-1]:
+        want = math.fsum(w * normal(x, v, h) for kk, v, w, h in sample if kk == k)
+        assert got.get((p, k), 0.0) == pytest.approx(want, rel=1e-9, abs=1e-17)
+
+
+def test_shares_of_resampled_segments(spark):
+    """The same quantiles as from a row a repetition, for events with several pairs, one, or none."""
+    kernels = [(1, 0, 0, 0.5), (1, 0, 1, 0.25), (1, 2, 1, 1.0), (2, 2, 2, 4.0)]
+    events = [(e, s, 0.1 * s + e, 2.0, 3.0 + s) for e in (1, 2, 3) for s in (0, 1)]
+    k = spark.createDataFrame(kernels, "e int, a long, b long, k double")
+    each = spark.createDataFrame(events, "e int, share int, ps double, rate_s double, rate_n double")
+    got = {(x["e"], x["share"]): (x["mid"], x["low"]) for x in origin.resampled_shares(each, k, ["e"], "a", "b", 200, {"mid": 0.5, "low": 0.05}).collect()}
+    noise = {(x["e"], x["rep"]): x["k"] for x in origin.resampled(k, ["e"], "a", "b", 200).collect()}
+    assert len(got) == 6
+    for e, s, ps, rate_s, rate_n in events:
+        p = [rate_s * ps / (rate_s * ps + rate_n * max(noise.get((e, rep), 0.0), origin.TINY)) for rep in range(200)]
+        assert got[e, s] == pytest.approx((np.quantile(p, 0.5), np.quantile(p, 0.05)), rel=1e-12)
