@@ -9,8 +9,9 @@ from pathlib import Path
 import pytest
 
 from duotrace.config import FIXTURE
-from duotrace.operators import pairing
-from duotrace.plans import registry
+from duotrace.operators import far, pairing
+from duotrace.plans import registry, search
+from duotrace.sources.tables import written
 
 SF = "/root/testdata/sf0.01"
 
@@ -64,3 +65,40 @@ def test_copies_do_not_grow_with_the_length_of_streams(spark, monkeypatch):
         assert slid.filter("il <> ih + off or gps_l <> il + 0.5D or gps_h <> ih + 0.5D or sigma_l <> il % 7").count() == 0
         sent[n] = -(-n // pairing.block_size(segs))
     assert sent == {400: 8, 3200: 8}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", ["per_arm_far", "fitted_detections", "best_far_detections", "named_events", "needed_pairs"])
+def test_generated_code_of_slid_rows_is_compiled(spark, monkeypatch, name):
+    """The JVM never compiles a method of over 8000 bytes, and one that all slid rows pass through takes ten times the seconds."""
+    plans = []
+
+    def kept(df):
+        plans.append(df)
+        return written(df)
+
+    for module in (pairing, far, search):
+        monkeypatch.setattr(module, "written", kept)
+    plans.append(registry.QUERIES[name](spark, SF))
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plans show no code before they run
+    try:
+        sizes = {}
+        for df in plans:
+            code = debug.codegenStringSeq(df.select("*")._jdf.queryExecution().executedPlan()).iterator()
+            while code.hasNext():
+                part = code.next()
+                sizes[part._1()] = part._3().maxMethodCodeSize()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    passed = {tree: size for tree, size in sizes.items() if "explode(offs" in tree and "CollectMetrics bounded" not in tree}  # up to the bound, which few rows pass
+    assert passed and max(passed.values()) < 8000
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", ["needed_pairs", "noise_sample_cap_full"])
+def test_blocks_and_offsets_are_made_once(spark, name):
+    """Passes over slid pairs read the blocks and offsets that were written; windows aren't numbered, sorted into blocks or paired again."""
+    plan = registry.QUERIES.get(name, registry.FULL_QUERIES.get(name))(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(offs") > 1
+    assert "row_number" not in plan and "collect_list(struct" not in plan
