@@ -13,6 +13,7 @@ from ._bands import all_links, candidates
 from ._io import drop, parts_for, prepare, store, text_or_empty
 from ._packed import tidy
 from ._text import LOWER, chunks, mix, rolling, span_hashes, splitmix, word_spans
+from .lines import _wanted
 
 U = np.uint64
 #: Registers of 16 bits: 6 for the leading zeros of a bucket's least hash (0: empty bucket), MANTISSA for the bits after.
@@ -214,9 +215,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         pairs = pairs.join(members.select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")), x, "left").withColumn(x, F.coalesce(f"rep_{x}", x)).drop(f"rep_{x}")
     pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     # Only members of these pairs share a band with another set.
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    items = store(signed.join(needed, "id", "left_semi").dropDuplicates(["id"]))
-    texts = lambda ids: docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    needed = store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    # A filter goes before these joins, so that they shuffle the signatures and texts of few other documents.
+    items = store(_wanted(signed, needed, ["id"]).join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    drop(needed)
+    bodies = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "id")
+    texts = lambda ids: _wanted(bodies, ids, ["id"]).groupBy("id").agg(F.first("text").alias("text")).join(ids, "id", "left_semi")
     verify = lambda some: _linked(some, items, texts, words, percent)
     found = all_links(items, _bands, pairs, verify(pairs), texts, lambda column: _sets(column, words), percent, verify)
     drop(items), drop(pairs)

@@ -70,3 +70,51 @@ def test_few_pairs_meet_in_a_group_of_near_copies(spark, monkeypatch):
         docs.append((i, " ".join(words)))
     near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), words=3, percent=85).count()
     assert seen and seen[-1] < n * n // 8  # 137,372 in order of hash, before rarity decided
+
+
+@pytest.mark.parametrize("block", [1_000_000, 9])
+def test_members_of_large_bands_make_no_row_a_band(spark, monkeypatch, block):
+    """Items find a band's pivot by looking it up: two members of a large mixed band share a pivot, and an item has a row a pivot, not a band."""
+    import numpy as np
+
+    from duotrace.llm import _bands
+    from duotrace.llm._io import store
+
+    monkeypatch.setattr(_bands, "BROADCAST_ROWS", block)
+    r = random.Random(1)
+    held = {i: {100 + k for k in range(30) if r.random() < 0.8} | {1000 + i // 5} for i in range(60)}
+    component = {i: i // 2 for i in held}
+
+    def bands(batch):
+        pairs = [(i, k) for i, keys in zip(batch.column("id").to_pylist(), batch.column("keys").to_pylist()) for k in keys]
+        x, y = np.array(pairs, np.int64).reshape(-1, 2).T
+        return x, np.ascontiguousarray(y).view(np.uint64)
+
+    items = store(spark.createDataFrame([(i, component[i], sorted(k)) for i, k in held.items()], "id long, component long, keys array<long>").repartition(3))
+    got = _bands._mixed(items, bands)
+    small = {(row["item"], k) for entries, _ in got for row in entries.collect() for k in row["small"]}
+    assert small == {(i, 1000 + i // 5) for i in held}
+    met = [(row["p"], row["item"]) for _, rows in got for row in rows.collect()]
+    pivots = {i: {p for p, j in met if j == i} for i in held}
+    assert all(pivots[i] & pivots[j] for i in held for j in held if held[i] & held[j] & set(range(100, 130)))
+    assert len(set(met)) < sum(map(len, held.values())) // 3
+    assert len(got) == (1 if block > 9 else 5)
+
+
+def test_few_signatures_reach_the_join_with_candidates(spark, monkeypatch):
+    from duotrace.llm import neardup
+
+    seen, real = [], neardup._wanted
+
+    def counted(rows, some, keys):
+        out = real(rows, some, keys)
+        seen.append((out.select("id").count(), rows.select("id").count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_wanted", counted)
+    r = random.Random(2)
+    docs = [(d, " ".join(f"w{r.randrange(10**6)}" for _ in range(60))) for d in range(200)]
+    docs += [(500, docs[7][1] + " more"), (None, docs[7][1])]
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85).collect()}
+    assert got[500] == got[7] == 7 and got[8] == 8
+    assert seen[0] == (2, 201) and seen[1] == (2, 201)
