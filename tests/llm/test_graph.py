@@ -118,3 +118,31 @@ def test_few_signatures_reach_the_join_with_candidates(spark, monkeypatch):
     got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85).collect()}
     assert got[500] == got[7] == 7 and got[8] == 8
     assert seen[0] == (2, 201) and seen[1] == (2, 201)
+
+
+def test_a_centre_has_what_most_of_its_group_has(spark, monkeypatch):
+    """Differences from a centre are no more than those from the pivot."""
+    from pyspark.sql import functions as F
+
+    from duotrace.llm import _bands
+    from duotrace.llm.neardup import near_duplicates
+
+    seen, real = {}, _bands.store
+
+    def kept(df):
+        out = real(df)
+        for x, y in (("added", "lacking"), ("beyond", "short")):
+            if x in out.columns and y in out.columns:
+                seen[x] = out.agg(F.sum(F.size(x) + F.size(y))).first()[0]
+        return out
+
+    monkeypatch.setattr(_bands, "store", kept)
+    r = random.Random(4)
+    docs = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(150)]
+        for j in range(4):
+            words[r.randrange(150)] = f"o{i}_{j}"
+        docs.append((i, " ".join(words)))
+    near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85).count()
+    assert 0 < seen["beyond"] < seen["added"]
