@@ -7,6 +7,7 @@ from dataclasses import replace
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from duotrace.config import FIXTURE
 from duotrace.operators import far, pairing
@@ -102,3 +103,31 @@ def test_blocks_and_offsets_are_made_once(spark, name):
     plan = registry.QUERIES.get(name, registry.FULL_QUERIES.get(name))(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(offs") > 1
     assert "row_number" not in plan and "collect_list(struct" not in plan
+
+
+def test_generated_code_holds_a_stretch_of_pairs(spark, monkeypatch):
+    """Of slid pairs, no more are made than a stretch before the next step takes the first, whatever the lengths of blocks and of lists of offsets."""
+    monkeypatch.setattr(pairing, "STRETCH", 64, raising=False)
+    n = 3200
+    windows = spark.sql(f"select s.id * 2 as seg, d.det, w.id as idx, w.id + 0.5D as gps, (w.id % 7) + 0.0D as sigma, 0.0D as centroid, 0.0D as g, 0 as fold from range(2) s, (values ('H1'), ('L1')) d(det), range({n}) w")
+    segs = spark.createDataFrame([(0, 0, n), (2, 0, n)], "seg long, fold int, n long")
+    pairs = pairing.pairings(segs, replace(FIXTURE, offset_step=100, min_self_offset=100, max_offsets=20))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = pairing.time_slide(windows, pairs, segs).observe("slid", F.count("*")).limit(1)
+        assert len(one.collect()) == 1
+        plan, made = one._jdf.queryExecution().executedPlan(), []
+        while plan.children().size():
+            if plan.nodeName() == "Generate":
+                made.append(plan.metrics().apply("numOutputRows").value())
+            plan = plan.children().apply(0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < made[0] <= 64
+
+
+def test_tasks_grow_with_the_windows(spark):
+    """A task makes blocks of, and is dealt, bounded bytes: six times the windows get six times the tasks."""
+    segs = lambda n: spark.createDataFrame([(s, s % 2, n) for s in range(8)], "seg long, fold int, n long")
+    few, many = (pairing.task_parts(segs(n), pairing.block_size(segs(n))) for n in (400_000, 2_400_000))
+    assert few == (25, 49) and many == (147, 293)
