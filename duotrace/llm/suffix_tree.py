@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import drop, parts_for, prepare, store, text_bytes, text_or_empty
-from ._packed import Packer, exchange, groups, unpack
+from ._packed import Packer, exchange, groups, tidy, unpack
 from ._text import LOWER, chunks, mix, span_hashes, word_spans
 
 U = np.uint64
@@ -277,19 +279,29 @@ def _gram_mapper(n_parts: int):
 
 
 def _gram_reducer(short):
-    """Builds the part of the tree whose contexts end here, and answers every block with its runs' logs, in the order received."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = [_unplanes(x) for x in table.column("grams").to_pylist()]
-        sizes = np.array([len(x) for x in keys])
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        n = np.bincount(inverse, weights=np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint32))
-        logs = gram_logs(key, n, short.value).astype(np.float32)[inverse]
-        ends = np.cumsum(sizes)
-        return pa.table({"part": table.column("part"), "block": table.column("block"), "logs": pa.array([logs[a:b].tobytes() for a, b in zip(ends - sizes, ends)], pa.binary())})
+    """Builds the part of the tree whose contexts end here, and answers every block with its runs' logs, in the order received.
 
-    return run
+    Every block sends the runs of a frequent context, which can't be dealt to several parts. So batches are summed into one
+    table as they come, and of what came only the runs are kept until it is whole, compressed: blocks repeat each other's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, held = np.zeros(0, U), np.zeros(0), []
+        for batch in batches:
+            grams = batch.column("grams").to_pylist()
+            times = np.frombuffer(b"".join(batch.column("times").to_pylist()), np.uint32)
+            key, inverse = np.unique(np.concatenate([key, *map(_unplanes, grams)]), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate([n, times]), minlength=len(key))
+            ends = np.cumsum([len(x) for x in grams]).tolist()
+            held.append((batch.column("part").to_numpy(), batch.column("block").to_numpy(), ends, pa.compress(b"".join(grams), codec="zstd", asbytes=True)))
+        del inverse, grams, times, batch
+        logs = gram_logs(key, n, short.value).astype(np.float32)
+        for part, block, ends, packed in held:
+            grams = pa.decompress(packed, ends[-1], codec="zstd", asbytes=True)
+            answers = [logs[np.searchsorted(key, _unplanes(grams[a:b]))].tobytes() for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(answers, pa.binary())], names=["part", "block", "logs"])
+
+    return tidy(run)
 
 
 def _adder(n_parts: int):
@@ -324,23 +336,23 @@ def score_texts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     Rows that repeat a doc_id with the same text give one row; a null doc_id counts as an id. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    n = parts_for(spark, GRAM_BYTES * text_bytes(docs, text))
+    n = parts_for(spark, GRAM_BYTES * text_bytes(docs, text))  # also where answers meet their blocks, so that a task gathers as few blocks' answers however many there are
     null = -(1 << 63)
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("doc_id"), text_or_empty(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = store(docs.mapInArrow(_word_blocks, "block long, words binary, counts binary, docs binary, sizes binary, tokens binary"))
+    blocks = store(docs.mapInArrow(tidy(_word_blocks), "block long, words binary, counts binary, docs binary, sizes binary, tokens binary"))
     found = store(exchange(blocks.select("block", "words", "counts"), _count_mapper(n), 4, _count_reducer, "block long, places binary, totals binary, tokens long, distinct long"))
     tokens, distinct = (int(x or 0) for x in found.agg(F.sum("tokens"), F.sum("distinct")).first())
-    per_block = found.filter("block <> -1").groupBy("block").agg(F.collect_list(F.struct("places", "totals")).alias("found"))
-    base = store(blocks.select("block", "docs", "sizes", "tokens").join(per_block, "block").mapInArrow(_base, "doc_id long, n_tokens long, n_known long, logs double"))
+    per_block = found.filter("block <> -1").repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("places", "totals")).alias("found"))
+    base = store(blocks.select("block", "docs", "sizes", "tokens").join(per_block, "block").mapInArrow(tidy(_base), "doc_id long, n_tokens long, n_known long, logs double"))
 
     drop(found), drop(blocks)
-    texts = store(docs.mapInArrow(_symbol_blocks, "block long, docs binary, symbols binary, lengths binary, train binary"))
-    rows = texts.mapInArrow(_short_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    texts = store(docs.mapInArrow(tidy(_symbol_blocks), "block long, docs binary, symbols binary, lengths binary, train binary"))
+    rows = texts.mapInArrow(tidy(_short_counts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     short = spark.sparkContext.broadcast(Short(*(rows.column(c).to_numpy() for c in ("gram", "n"))))
-    packed = texts.mapInArrow(_gram_mapper(n), "part int, block long, grams binary, times binary")
+    packed = texts.mapInArrow(tidy(_gram_mapper(n)), "part int, block long, grams binary, times binary")
     logs = store(packed.groupBy("part").applyInArrow(_gram_reducer(short), "part int, block long, logs binary"))
-    per_block = logs.groupBy("block").agg(F.collect_list(F.struct("part", "logs")).alias("found"))
-    scores = store(texts.join(per_block, "block").mapInArrow(_adder(n), "doc_id long, score double"))
+    per_block = logs.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("part", "logs")).alias("found"))
+    scores = store(texts.join(per_block, "block").mapInArrow(tidy(_adder(n)), "doc_id long, score double"))
     drop(logs), drop(texts)
     joined = base.unionByName(scores, allowMissingColumns=True).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")))
     return joined.select(
